@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, url_filters
-from .common import table
+from . import html_text, media, mixing, pieces, sharding, toxicity, url_filters
+from .common import table, whole
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,36 @@ def op2_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media.read_media(media.to_media(table(spark, sf_dir, "documents")))
+    return out.drop("error")
+
+
+def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.Vocabulary.load(pieces.MODEL)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", whole("text").alias("original"))
+    coded = pieces.encode(docs, vocabulary, dropout=0.1, seed=1, variants=4, keep=("doc_id", "original"))
+    back = pieces.decode(coded, vocabulary, keep=("doc_id", "original", "n_bytes", "n_pieces", "ids"))
+    return back.select("doc_id", "n_bytes", "n_pieces", F.crc32("ids").alias("ids_crc32"), (F.col("text") == F.col("original")).alias("lossless"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = toxicity.tag(docs, toxicity.train(docs, labels))
+    return out.select(
+        "doc_id",
+        (toxicity.bucket(F.col("doc_id")) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "n_toxic",
+        F.size("spans").alias("n_spans"),
+    )
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [url_filters.host_rule(*r) for r in URL_RULES]
     out = url_filters.filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -50,5 +80,9 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_shard_documents": op2_shard_documents,
+    "op3_media_png": op3_media_png,
+    "op4_merge_dropout": op4_merge_dropout,
     "op7_url_filter": op7_url_filter,
+    "op8_toxicity": op8_toxicity,
+    "op10_html_text": op10_html_text,
 }
