@@ -65,3 +65,28 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", most: int =
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         tops.select("node", F.col("node").alias("component"))
     )
+
+
+def by_group(batches, column: str, most: int = 200_000):
+    """Arrow batches sorted by column -> tables that hold whole groups, of about ``most`` rows."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held: list = []
+    rows = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        rows += b.num_rows
+        if rows < most:
+            continue
+        t = pa.Table.from_batches(held)
+        last = t.column(column)[-1]
+        n = t.num_rows - pc.sum(pc.equal(t.column(column), last)).as_py()
+        if n:
+            yield t.slice(0, n).combine_chunks()
+        rest = t.slice(n)
+        held, rows = rest.to_batches(), rest.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

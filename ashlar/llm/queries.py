@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, media, mixing, pieces, sharding, toxicity, url_filters
+from . import chosen_path, html_text, media, mixing, pieces, sharding, toxicity, url_filters
 from .common import table, whole
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.join(table(spark, sf_dir, "documents"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -84,5 +88,6 @@ QUERIES: dict[str, Query] = {
     "op4_merge_dropout": op4_merge_dropout,
     "op7_url_filter": op7_url_filter,
     "op8_toxicity": op8_toxicity,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_html_text": op10_html_text,
 }
