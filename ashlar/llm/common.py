@@ -90,3 +90,48 @@ def by_group(batches, column: str, most: int = 200_000):
         held, rows = rest.to_batches(), rest.num_rows
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+
+
+def by_size(batches, column: int, most: int = 4_000_000):
+    """Slices of Arrow batches with about ``most`` bytes of text in the column, at least a row each."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for b in batches:
+        sums = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            done = sums[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(sums, done + most, side="right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
+def roots(n: int, left, right):
+    """The lowest member of each of n nodes' components under the links (left, right)."""
+    import numpy as np
+
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[left], root[right])
+        new = root.copy()
+        np.minimum.at(new, root[left], low)
+        np.minimum.at(new, root[right], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def forest(ids, times, left, right):
+    """An Arrow batch (id, links, root) of linked nodes: links counts neighbours with their multiplicity."""
+    import numpy as np
+    import pyarrow as pa
+
+    n = np.bincount(left, times[right], minlength=len(ids)) + np.bincount(right, times[left], minlength=len(ids))
+    order = np.argsort(ids, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    root = order[roots(len(ids), place[left], place[right])[place]]
+    hit = n > 0
+    return pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(n[hit].astype(np.int64)), pa.array(ids[root[hit]])], ["id", "links", "root"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, html_text, media, mixing, pieces, sharding, toxicity, url_filters
+from . import chosen_path, html_text, media, mixing, pieces, sharding, toxicity, url_filters, vector_join
 from .common import table, whole
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,10 +48,10 @@ def op3_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = pieces.Vocabulary.load(pieces.MODEL)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", whole("text").alias("original"))
-    coded = pieces.encode(docs, vocabulary, dropout=0.1, seed=1, variants=4, keep=("doc_id", "original"))
-    back = pieces.decode(coded, vocabulary, keep=("doc_id", "original", "n_bytes", "n_pieces", "ids"))
-    return back.select("doc_id", "n_bytes", "n_pieces", F.crc32("ids").alias("ids_crc32"), (F.col("text") == F.col("original")).alias("lossless"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(whole("text").cast("binary"), 256).alias("sha"))
+    coded = pieces.encode(docs, vocabulary, dropout=0.1, seed=1, variants=4, keep=("doc_id", "sha"))
+    back = pieces.decode(coded.withColumn("ids_crc32", F.crc32("ids")), vocabulary, keep=("doc_id", "sha", "n_bytes", "n_pieces", "ids_crc32"))
+    return back.select("doc_id", "n_bytes", "n_pieces", "ids_crc32", (F.sha2(F.col("text").cast("binary"), 256) == F.col("sha")).alias("lossless"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [url_filters.host_rule(*r) for r in URL_RULES]
     out = url_filters.filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -86,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op2_shard_documents": op2_shard_documents,
     "op3_media_png": op3_media_png,
     "op4_merge_dropout": op4_merge_dropout,
+    "op6_vector_join": op6_vector_join,
     "op7_url_filter": op7_url_filter,
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
