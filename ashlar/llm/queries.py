@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, html_text, media, mixing, pieces, sharding, toxicity, url_filters, vector_join
+from . import chosen_path, html_text, media, mixing, pieces, sharding, suffix_dedup, toxicity, url_filters, vector_join
 from .common import table, whole
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.with_sha(suffix_dedup.dedup(table(spark, sf_dir, "documents")))
+
+
 def op6_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op2_shard_documents": op2_shard_documents,
     "op3_media_png": op3_media_png,
     "op4_merge_dropout": op4_merge_dropout,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_vector_join": op6_vector_join,
     "op7_url_filter": op7_url_filter,
     "op8_toxicity": op8_toxicity,
