@@ -124,6 +124,9 @@ def anchors(docs: np.ndarray, texts: Sequence[bytes], c: Config) -> Anchors:
     p = p[np.concatenate([[True], np.diff(p) > 0])]
     own = np.searchsorted(start + size, p, side="right")
     at = p - start[own] + begin[own]
+    new = np.ones(len(p), dtype=bool)  # stretches of one text may share an anchor
+    new[1:] = (doc[own[1:]] != doc[own[:-1]]) | (at[1:] != at[:-1])
+    p, own, at = p[new], own[new], at[new]
     left = np.minimum(c.reach, at)
     right = np.minimum(c.span, length[own] - at)
     around = (sums[p + right] - sums[p - left]) * down[p - left]
@@ -157,13 +160,21 @@ def multikey(keys: Sequence[np.ndarray]) -> np.ndarray:
 
 
 def _settle(a: Anchors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, whether a row shares token and lead with the one before, whether it shares the surroundings, too)."""
+    """(order, whether a row shares token and lead with the one before, whether an earlier row has the same surroundings)."""
     order = multikey([a.token, a.lead, a.around, a.doc, a.at])
     s = a.take(order)
     lead, full = np.zeros(len(order), dtype=bool), np.zeros(len(order), dtype=bool)
     lead[1:] = (s.token[1:] == s.token[:-1]) & (s.lead[1:] == s.lead[:-1])
     full[1:] = lead[1:] & (s.around[1:] == s.around[:-1])
-    return order, lead, full
+    return order, lead, _later(full, s.doc, s.at)
+
+
+def _later(same: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which rows equal the one before (as same says) and stand elsewhere than the first of their run."""
+    if not len(same):
+        return same
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+    return same & ((doc != doc[first]) | (at != at[first]))
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -407,7 +418,8 @@ def dedup(documents: DataFrame, c: Config = Config(), key: str = "doc_id", text:
     def compare(t: pa.Table) -> pa.Table:
         doc, at, left, right, before, after, h1, h2, wdoc, wat = _unpacked(t.column("blob").to_pylist(), kinds)
         order = np.lexsort((at, doc))
-        before, after = before.reshape(len(doc), c.reach)[order], after.reshape(len(doc), c.span)[order]
+        order = order[np.concatenate([[True], (np.diff(doc[order]) != 0) | (np.diff(at[order]) != 0)])] if len(order) else order
+        before, after = before.reshape(-1, c.reach)[order], after.reshape(-1, c.span)[order]
         doc, at, left, right = doc[order], at[order], left[order], right[order]
         first, stop = compared(doc, at, left, right, before, after, c)
         hit = stop > first
@@ -416,7 +428,7 @@ def dedup(documents: DataFrame, c: Config = Config(), key: str = "doc_id", text:
             order = multikey([h1, h2, wdoc, wat])
             again = np.zeros(len(order), dtype=bool)
             again[1:] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
-            w = order[again]
+            w = order[_later(again, wdoc[order], wat[order])]
             doc, lo, hi = np.concatenate([doc, wdoc[w]]), np.concatenate([lo, wat[w]]), np.concatenate([hi, wat[w] + c.span])
         nothing = np.zeros(0, dtype=np.int64)
         return _for_groups(doc, lo, hi, nothing, nothing)
