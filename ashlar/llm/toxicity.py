@@ -24,15 +24,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import by_size, whole
+from .pieces import ragged
 
 
 @dataclass(frozen=True)
 class Config:
     """toxic, clean: most documents of either label that training takes; bits: of the feature hash."""
 
-    toxic: int = 2000
-    clean: int = 3000
+    toxic: int = 1200
+    clean: int = 1800
     bits: int = 18
     odds: float = 2.3
     least: int = 4
@@ -40,6 +41,7 @@ class Config:
     rate: float = 0.15
     ridge: float = 2e-3
     stretch: int = 256
+    chunk: int = 200_000
     seed: int = 11
 
 
@@ -133,17 +135,14 @@ def _labelled_tokens(counts: np.ndarray, ids: np.ndarray, words: list[str], toxi
     """Which distinct tokens count as offences in toxic documents, by document frequencies of their features."""
     feats = [features(w, c.bits) for w in words]
     size = np.array([len(f) for f in feats])
-    flat = np.fromiter((x for f in feats for x in f), dtype=np.int64, count=int(size.sum()))
-    owner = np.repeat(np.arange(len(counts)), counts)
-    pairs = np.unique(owner.astype(np.int64) * len(words) + ids)
-    doc, word = pairs // len(words), pairs % len(words)
-    starts = np.cumsum(size) - size
-    rep = size[word]
-    at = np.repeat(starts[word], rep) + np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep)
-    held = np.unique(np.repeat(doc, rep) * (1 << c.bits) + flat[at])
-    feat, bad = held & ((1 << c.bits) - 1), toxic[held >> c.bits]
-    n1 = np.bincount(feat[bad], minlength=1 << c.bits)
-    n0 = np.bincount(feat[~bad], minlength=1 << c.bits)
+    flat = np.fromiter((x for f in feats for x in f), dtype=np.int32, count=int(size.sum()))
+    starts, ends = np.cumsum(size) - size, np.cumsum(counts)
+    seen = np.zeros((2, 1 << c.bits), dtype=np.int64)
+    for i in range(len(counts)):
+        word = np.unique(ids[ends[i] - counts[i] : ends[i]])
+        held = np.unique(flat[ragged(starts[word], size[word])])
+        seen[int(toxic[i]), held] += 1
+    n0, n1 = seen
     odds = np.log((n1 + 0.5) / (toxic.sum() + 1)) - np.log((n0 + 0.5) / ((~toxic).sum() + 1))
     strong = (odds >= c.odds) & (n1 >= c.least)
     return np.array([bool(strong[f].any()) for f in feats], dtype=bool)
@@ -156,43 +155,38 @@ def fit(texts: Sequence[str], toxic: Sequence[bool], c: Config = Config()) -> Mo
     if not len(ids) or toxic.all() or not toxic.any():
         share = (toxic.sum() + 0.5) / (len(toxic) + 1)
         return Model(np.zeros(1 << c.bits, dtype=np.float32), np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0, 0, 0]), c.bits)
+    ids = ids.astype(np.int32)
     bad_word = _labelled_tokens(counts, ids, words, toxic, c)
-    owner = np.repeat(np.arange(len(counts)), counts)
-    y = (bad_word[ids] & toxic[owner]).astype(np.float64)
+    owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    y = bad_word[ids] & toxic[owner]
     # toxic documents in which no token is marked tell nothing of their tokens
     known = ~toxic | (np.bincount(owner, y, minlength=len(counts)) > 0)
-    use = known[owner]
-    rank = np.arange(len(ids)) - (np.cumsum(counts) - counts)[owner]
-    part = owner.astype(np.int64) * (1 << 24) + rank // c.stretch  # long texts train in stretches, all of them
-    y, wid = y[use], ids[use]
-    lengths = np.unique(part[use], return_counts=True)[1]
+    y, wid = y[known[owner]], ids[known[owner]]
+    del owner
+    # long texts train in stretches, all of them
+    lengths = np.concatenate([[c.stretch] * (n // c.stretch) + [n % c.stretch] * (n % c.stretch > 0) for n in counts[known].tolist()]).astype(np.int64)
+    ends = np.cumsum(lengths)
+    cuts = np.searchsorted(ends, np.arange(0, ends[-1], c.chunk), side="right")
+    chunks = [(int(a), int(b)) for a, b in zip(cuts, [*cuts[1:], len(lengths)], strict=True) if b > a]
     feats = [features(w, c.bits) for w in words]
     size = np.array([len(f) for f in feats])
-    flat = np.fromiter((x for f in feats for x in f), dtype=np.int64, count=int(size.sum()))
-    of = np.repeat(np.arange(len(words)), size)
+    flat = np.fromiter((x for f in feats for x in f), dtype=np.int32, count=int(size.sum()))
+    of = np.repeat(np.arange(len(words), dtype=np.int32), size)
+    del feats
     theta, chain = np.zeros(1 << c.bits), np.array([[0.0, -2.0], [-1.0, -1.0]])
-    first = np.cumsum(lengths) - lengths
-    inner = np.ones(len(y), dtype=bool)
-    inner[first] = False
-    inner = np.flatnonzero(inner)
     bias = -4.0
     moments = [np.zeros(x) for x in (1 << c.bits, 1 << c.bits, 4, 4)]
-    seen = np.array([np.sum((y[inner - 1] == i) & (y[inner] == j)) for i in (0, 1) for j in (0, 1)], dtype=float)
-    scale = max(y.sum(), 1.0)
+    scale = max(float(y.sum()), 1.0)
     for step in range(1, c.epochs + 1):
         word_e = np.bincount(of, theta[flat], minlength=len(words)) + bias * (size > 0)
-        e = word_e[wid]
-        f, b = forward_backward(e, lengths, chain)
-        m = 1 / (1 + np.exp(-np.clip(f + b, -60, 60)))
-        g = np.bincount(flat, np.bincount(wid, y - m, minlength=len(words))[of], minlength=1 << c.bits) / scale - c.ridge * theta
-        # pairs: forward of the first, transition, emission and backward of the second
-        ahead = e[inner] + b[inner]
-        before = f[inner - 1]
-        logs = np.stack([chain[i, j] + i * before + j * ahead for i in (0, 1) for j in (0, 1)])
-        logs -= logs.max(axis=0)
-        p = np.exp(logs)
-        h = (seen - (p / p.sum(axis=0)).sum(axis=1)) / scale
-        for k, (x, grad) in enumerate(((theta, g), (chain.reshape(-1), h))):
+        by_word, h = np.zeros(len(words)), np.zeros(4)
+        for a, b in chunks:
+            at = slice(ends[a] - lengths[a], ends[b - 1])
+            surplus, pairs = _gradient(word_e[wid[at]], y[at].astype(np.float64), lengths[a:b], chain)
+            by_word += np.bincount(wid[at], surplus, minlength=len(words))
+            h += pairs
+        g = np.bincount(flat, by_word[of], minlength=1 << c.bits) / scale - c.ridge * theta
+        for k, (x, grad) in enumerate(((theta, g), (chain.reshape(-1), h / scale))):
             u, v = moments[2 * k], moments[2 * k + 1]
             u += 0.1 * (grad - u)
             v += 0.01 * (grad * grad - v)
@@ -205,6 +199,23 @@ def fit(texts: Sequence[str], toxic: Sequence[bool], c: Config = Config()) -> Mo
     return Model(weights, chain + np.array([[0.0, bias], [0.0, bias]]), head, c.bits)
 
 
+def _gradient(e: np.ndarray, y: np.ndarray, lengths: np.ndarray, chain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(label minus marginal of each token; counts of tag pairs minus their expectation) over sequences end to end."""
+    f, b = forward_backward(e, lengths, chain)
+    inner = np.ones(len(y), dtype=bool)
+    inner[np.cumsum(lengths) - lengths] = False
+    inner = np.flatnonzero(inner)
+    was, now = y[inner - 1], y[inner]
+    seen = np.array([np.sum((was == i) & (now == j)) for i in (0, 1) for j in (0, 1)], dtype=float)
+    # forward of the first, transition, emission and backward of the second, relative to tags 0 and 0
+    before, ahead = f[inner - 1], e[inner] + b[inner]
+    logs = [np.zeros(len(inner))] + [chain[i, j] - chain[0, 0] + i * before + j * ahead for i, j in ((0, 1), (1, 0), (1, 1))]
+    top = np.maximum.reduce(logs)
+    p = [np.exp(x - top) for x in logs]
+    norm = sum(p)
+    return y - 1 / (1 + np.exp(-np.clip(f + b, -60, 60))), seen - np.array([np.sum(x / norm) for x in p])
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Newton's method with a small ridge."""
     w = np.zeros(x.shape[1])
@@ -258,10 +269,10 @@ def tag(documents: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), t
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
-        for b in batches:
+        for b in by_size(batches, len(keep)):
             texts = b.column(len(keep))
             counts, ids, words = tokenized(texts)
-            if len(known) > 400_000:
+            if len(known) > 200_000:
                 known.clear()
             new = [w for w in words if w not in known]
             known.update(zip(new, emissions(new, model.weights, model.bits), strict=True))
@@ -281,4 +292,4 @@ def tag(documents: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), t
             yield pa.RecordBatch.from_arrays(arrays, [*keep, "score", "n_toxic", "spans"])
 
     kept = ", ".join(f"`{k}` {documents.schema[k].dataType.simpleString()}" for k in keep)
-    return documents.select(*keep, text).mapInArrow(run, f"{kept}, score double, n_toxic int, spans {SPANS}")
+    return documents.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{kept}, score double, n_toxic int, spans {SPANS}")
