@@ -206,9 +206,9 @@ def _group_of(docs: np.ndarray, groups: int) -> np.ndarray:
     return np.array([zlib.crc32(str(d).encode()) % groups for d in own.tolist()], dtype=np.int64)[back]
 
 
-def _grouped(documents: DataFrame, groups: int, key: str, text: str) -> DataFrame:
+def _grouped(documents: DataFrame, groups: int, key: str, text: str, keep: Sequence[str]) -> DataFrame:
     group = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(groups)).cast("int")
-    return documents.where(F.col(key).isNotNull()).select(group.alias("grp"), F.col(key).cast("long").alias("doc"), whole(text).alias("text"))
+    return documents.where(F.col(key).isNotNull()).select(group.alias("grp"), F.col(key).cast("long").alias("doc"), whole(text).alias("text"), *keep)
 
 
 class Ranges:
@@ -308,8 +308,11 @@ def removed_runs(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return lo[starts], hi[np.concatenate([starts[1:], [len(lo)]]) - 1]
 
 
-def dedup(documents: DataFrame, c: Config = Config(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept): kept holds the remaining bytes."""
+def dedup(documents: DataFrame, c: Config = Config(), key: str = "doc_id", text: str = "text", keep: Sequence[str] = (), as_text: bool = False) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept, keep...): kept holds the remaining bytes.
+
+    as_text: kept is a string; of characters that a cut splits nothing stays. keep: further columns to carry along.
+    """
     spark = documents.sparkSession
     parts = spread(spark)
     rows = documents.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), whole(text).alias("text"))
@@ -374,7 +377,7 @@ def dedup(documents: DataFrame, c: Config = Config(), key: str = "doc_id", text:
         return pa.table({"grp": pa.array(names, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     marks = cut(rows.mapInArrow(suffixes, "bucket int, blob binary").groupBy("bucket").applyInArrow(settle, "grp int, blob binary"))
-    texts = _grouped(documents, int(groups), key, text)
+    texts = _grouped(documents, int(groups), key, text, keep)
     hot = np.array(sorted(edges.hot), dtype=np.uint64).reshape(-1, 2)
 
     def surroundings(t: pa.Table, m: pa.Table) -> pa.Table:
@@ -451,15 +454,18 @@ def dedup(documents: DataFrame, c: Config = Config(), key: str = "doc_id", text:
             n_bytes.append(len(raw))
             n_removed.append(gone)
             n_spans.append(spans)
-            kept.append(left)
-        return pa.table([t.column("doc"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
+            kept.append(left.decode("utf-8", "ignore") if as_text else left)
+        made = [pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)]
+        made.append(pa.array(kept, pa.string() if as_text else pa.binary()))
+        return pa.table([t.column("doc"), *made, *(t.column(k) for k in keep)], names=["doc", "n_bytes", "n_removed", "n_spans", "kept", *keep])
 
     by_grp = texts.groupBy("grp")
     found = by_grp.cogroup(marks.groupBy("grp")).applyInArrow(surroundings, "bucket int, blob binary").groupBy("bucket").applyInArrow(compare, "grp int, blob binary")
-    schema = "doc long, n_bytes long, n_removed long, n_spans long, kept binary"
+    carried = "".join(f", `{k}` {documents.schema[k].dataType.simpleString()}" for k in keep)
+    schema = f"doc long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}{carried}"
     out = by_grp.cogroup(marks.unionByName(found).groupBy("grp")).applyInArrow(remove, schema).withColumnRenamed("doc", key)
     t = whole(text).cast("binary")
-    lost = documents.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias(key), F.octet_length(t).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), t.alias("kept"))
+    lost = documents.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias(key), F.octet_length(t).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), (whole(text) if as_text else t).alias("kept"), *keep)
     return out.unionByName(lost)
 
 
