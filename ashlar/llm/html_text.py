@@ -81,7 +81,8 @@ def pieces(page: str) -> Iterator[tuple[str, str, str, bool]]:
         at = m.end()
         name = m[2]
         if name is None:
-            if page[m.start()] != "<" or m.end() - m.start() == 1:
+            # a bare < is text, but at the very end it is a tag that was cut off
+            if page[m.start()] != "<" or m.end() - m.start() == 1 and at < len(page):
                 yield "word", m[0], stack[-1][1] if stack else "loose", links > 0
             continue
         name = name.lower()
