@@ -26,6 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_size
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units of up to so many characters are merged together; longer ones one by one.
 WIDE = 64
@@ -73,8 +75,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Coder:
     """Encodes and decodes batches; one for each Python worker."""
 
-    def __init__(self, vocabulary: Vocabulary, dropout: float = 0.1, seed: int = 1) -> None:
-        self.v, self.dropout, self.seed = vocabulary, dropout, seed
+    def __init__(self, vocabulary: Vocabulary, dropout: float = 0.1, seed: int = 1, most: int = 150_000) -> None:
+        """most: units that are remembered from batch to batch before the memory is cleared."""
+        self.v, self.dropout, self.seed, self.most = vocabulary, dropout, seed, most
+        self._clear()
         ids = {p: i for i, p in enumerate(vocabulary.pieces) if p}
         singles = sorted({c for p in ids for c in p})
         n = len(vocabulary.pieces)
@@ -92,7 +96,7 @@ class Coder:
                 if a is not None and b is not None:
                     pairs[a << 20 | b] = i
         self.pairs = pairs
-        self.bits = 22
+        self.bits = 19
         keys = np.fromiter(pairs, dtype=np.uint64, count=len(pairs))
         made = np.fromiter(pairs.values(), dtype=np.int32, count=len(pairs))
         # two hash tables without chains; the few keys that neither holds are looked up by bisection
@@ -280,10 +284,38 @@ class Coder:
         keep = ~empty[doc]
         doc, unit = doc[keep], unit[keep]
         most = int(variant.max(initial=0)) + 1
-        pair, back = np.unique(unit * most + variant[doc], return_inverse=True)
-        n, ids = self.encode_units([words[i] for i in pair // most], pair % most)
-        total = np.bincount(doc, n[back], minlength=len(counts)).astype(np.int64)
-        return total, ids[ragged((np.cumsum(n) - n)[back], n[back])]
+        code = unit * most + variant[doc]
+        held = np.zeros(len(words) * most, dtype=bool)
+        held[code] = True
+        pair = np.flatnonzero(held)
+        back = (np.cumsum(held) - 1)[code]
+        at = self._stored(words, pair // most, pair % most)[back]
+        n, start = self.store_n[: self.stored][at], self.store_start[: self.stored][at]
+        total = np.bincount(doc, n, minlength=len(counts)).astype(np.int64)
+        return total, self.store_ids[ragged(start, n)]
+
+    def _stored(self, words: list[str], word: np.ndarray, variant: np.ndarray) -> np.ndarray:
+        """Places in the store of units under their variants; the store keeps what earlier batches had, to a bound."""
+        if self.stored > self.most:
+            self._clear()
+        keys = [words[i] + chr(v) for i, v in zip(word.tolist(), variant.tolist(), strict=True)]
+        known = self.known
+        new = [i for i, k in enumerate(keys) if k not in known]
+        if new:
+            n, ids = self.encode_units([words[word[i]] for i in new], variant[new])
+            known.update(zip((keys[i] for i in new), range(self.stored, self.stored + len(new)), strict=True))
+            base = len(self.store_ids)
+            self.store_n = np.concatenate([self.store_n[: self.stored], n])
+            self.store_start = np.concatenate([self.store_start[: self.stored], base + np.cumsum(n) - n])
+            self.store_ids = np.concatenate([self.store_ids, ids.astype(np.int32)])
+            self.stored += len(new)
+        return np.fromiter((known[k] for k in keys), dtype=np.int64, count=len(keys))
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.stored = 0
+        self.store_n = self.store_start = np.zeros(0, dtype=np.int64)
+        self.store_ids = np.zeros(0, dtype=np.int32)
 
     def decode(self, counts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of each text, bytes end to end), without the implied first blank."""
@@ -296,10 +328,19 @@ class Coder:
         return np.maximum(length - 1, 0), np.delete(data, drop)
 
 
+    def unpacked(self, packed: Sequence[bytes | None]) -> list[bytes]:
+        """The texts' bytes of packed ids."""
+        rows = [np.frombuffer(x or b"", dtype="<u4") for x in packed]
+        n, data = self.decode(np.array([len(r) for r in rows], dtype=np.int64), np.concatenate([*rows, np.zeros(0, dtype="<u4")]).astype(np.int64))
+        raw = data.tobytes()
+        return [raw[e - k : e] for e, k in zip(np.cumsum(n).tolist(), n.tolist(), strict=True)]
+
+
 def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0] .. start[0]+size[0]-1, start[1] .. and so on."""
-    total = int(size.sum())
-    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(total)
+    out = np.repeat(start - (np.cumsum(size) - size), size)
+    out += np.arange(len(out))
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -317,23 +358,31 @@ def _worker_coder(vocabulary: Vocabulary, dropout: float, seed: int) -> Coder:
     return _coder(token)
 
 
-def encode(documents: DataFrame, vocabulary: Vocabulary, dropout: float = 0.1, seed: int = 1, variants: int = 4, keep: Sequence[str] = ("doc_id",), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(keep..., n_bytes, n_pieces, ids): ids as little-endian unsigned 32-bit numbers in a binary column."""
+def encode(documents: DataFrame, vocabulary: Vocabulary, dropout: float = 0.1, seed: int = 1, variants: int = 4, keep: Sequence[str] = ("doc_id",), key: str = "doc_id", text: str = "text", verify: bool = False) -> DataFrame:
+    """(keep..., n_bytes, n_pieces, ids): ids as little-endian unsigned 32-bit numbers in a binary column.
+
+    verify: adds ``lossless``, whether decoding the packed ids gives back the text's bytes.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _worker_coder(vocabulary, dropout, seed)
-        for b in batches:
+        for b in by_size(batches, len(keep), 1_000_000):
             texts, variant = b.column(len(keep)), b.column(len(keep) + 1).to_numpy(zero_copy_only=False).astype(np.int64)
             n, ids = coder.encode(texts, variant)
             raw = ids.astype("<u4").tobytes()
             ends = np.cumsum(n) * 4
             packed = [raw[e - 4 * k : e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
             size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], size, pa.array(n), pa.array(packed, pa.binary())], [*keep, "n_bytes", "n_pieces", "ids"])
+            made, names = [*b.columns[: len(keep)], size, pa.array(n), pa.array(packed, pa.binary())], [*keep, "n_bytes", "n_pieces", "ids"]
+            if verify:
+                back = coder.unpacked(packed)
+                made.append(pa.array([x == (y or "").encode("utf-8", "surrogatepass") for x, y in zip(back, texts.to_pylist(), strict=True)]))
+                names.append("lossless")
+            yield pa.RecordBatch.from_arrays(made, names)
 
     kept = ", ".join(f"`{k}` {documents.schema[k].dataType.simpleString()}" for k in keep)
     variant = F.pmod(F.xxhash64(F.col(key)), F.lit(variants)).alias("_variant")
-    return documents.select(*keep, F.col(text).alias("_text"), variant).mapInArrow(run, f"{kept}, n_bytes long, n_pieces long, ids binary")
+    return documents.select(*keep, F.col(text).alias("_text"), variant).mapInArrow(run, f"{kept}, n_bytes long, n_pieces long, ids binary{', lossless boolean' if verify else ''}")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, keep: Sequence[str] = ("doc_id",), column: str = "ids") -> DataFrame:
@@ -341,11 +390,8 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, keep: Sequence[str] = ("d
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _worker_coder(vocabulary, 0.0, 0)
-        for b in batches:
-            rows = [np.frombuffer(x.as_py() or b"", dtype="<u4") for x in b.column(len(keep))]
-            n, data = coder.decode(np.array([len(r) for r in rows], dtype=np.int64), np.concatenate([*rows, np.zeros(0, dtype="<u4")]).astype(np.int64))
-            raw, ends = data.tobytes(), np.cumsum(n)
-            texts = [raw[e - k : e].decode("utf-8", "surrogatepass") for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
+        for b in by_size(batches, len(keep)):
+            texts = [x.decode("utf-8", "surrogatepass") for x in coder.unpacked(b.column(len(keep)).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string())], [*keep, "text"])
 
     kept = ", ".join(f"`{k}` {encoded.schema[k].dataType.simpleString()}" for k in keep)
