@@ -58,3 +58,39 @@ def test_stream(spark, tmp_path):
     q = ingest.into(ingest.unseen(ingest.arriving(spark, src, "id string, ts timestamp")), out, str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == ["a", "b"]
+
+
+def test_remote_reader_and_replies(spark):
+    from ashlar.operators import generate
+    from ashlar.sources import remote
+
+    r = remote.PaperReader({"keywords": "a;b", "url": "http://x"}, lambda url: {"data": [{"paperId": url[-1], "year": 2020}]} if "query=a" in url else {})
+    assert [len(list(r.read(p))) for p in r.partitions()] == [1, 0]
+    spark.dataSource.register(remote.PaperSearch)
+    assert spark.read.format("papers").load().count() == 0
+
+    def ask(prompt):
+        if "bad" in prompt:
+            raise ValueError("no")
+        return prompt.upper()
+
+    got = {x["q"]: x for x in generate.replies(spark.createDataFrame([(1, "hi"), (2, "bad")], "q int, prompt string"), ask, "m").collect()}
+    assert got[1]["text"] == "HI" and got[2]["error"].startswith("ValueError") and not got[2]["success"]
+
+
+def test_question_plan(spark):
+    from ashlar.operators import bm25
+    from ashlar.operators.vectors import RetrievalConfig
+    from ashlar.plans import question
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"The method shows that topic{i % 3} is a good idea for networks. It works well on all of the data sets.", f"T{i}", ["A"], "2020", "abstract", False, False, True) for i in range(8)]
+    chunks = spark.createDataFrame(rows, "doc long, content string, title string, authors array<string>, published string, section string, has_formulas boolean, has_code boolean, has_citations boolean")
+    embed = lambda t: hashed(t, 16)
+    chunks = chunks.withColumn("embedding", embed(F.col("content")))
+    asked = spark.createDataFrame([(1, "what is the method"), (2, "zzz")], "q int, question string")
+    got = question.answer(asked, chunks, bm25.build(chunks, "doc", "content"), embed, RetrievalConfig(top_k=3))
+    assert got["answers"].where("q = 1").count() == 1
+    assert got["contexts"].where("q = 1").count() <= 5
+    assert question.replied(got["entries"], None, got["answers"]).first()["by"] == "rules"
+    assert got["quality"].where("q = 1").count() == 1
