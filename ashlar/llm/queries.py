@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chosen_path, html_text, media, mixing, pieces, sharding, suffix_dedup, toxicity, url_filters, vector_join
-from .common import table, whole
+from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,10 +48,8 @@ def op3_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = pieces.Vocabulary.load(pieces.MODEL)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(whole("text").cast("binary"), 256).alias("sha"))
-    coded = pieces.encode(docs, vocabulary, dropout=0.1, seed=1, variants=4, keep=("doc_id", "sha"))
-    back = pieces.decode(coded.withColumn("ids_crc32", F.crc32("ids")), vocabulary, keep=("doc_id", "sha", "n_bytes", "n_pieces", "ids_crc32"))
-    return back.select("doc_id", "n_bytes", "n_pieces", "ids_crc32", (F.sha2(F.col("text").cast("binary"), 256) == F.col("sha")).alias("lossless"))
+    out = pieces.encode(table(spark, sf_dir, "documents"), vocabulary, dropout=0.1, seed=1, variants=4, verify=True)
+    return out.select("doc_id", "n_bytes", "n_pieces", F.crc32("ids").alias("ids_crc32"), "lossless")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
