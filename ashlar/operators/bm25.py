@@ -52,25 +52,30 @@ def search(index: Index, questions: DataFrame, k: int, q: str = "q", text: str =
     """(q, doc, score, rank): the k best documents of each question, ties by document; unmatched ones score 0."""
     found = score(index, questions, q, text)
     order = Window.partitionBy("q").orderBy(F.desc("score"), "doc")
-    # candidates: the k best by score, the k worst below zero cannot be needed, and k unmatched as a filler
+    # candidates: the k best by score, and k unmatched ones where fewer than k are positive
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     positive = best.where("score > 0").groupBy("q").agg(F.count("*").alias("have"))
     short = questions.select(F.col(q).alias("q")).join(positive, "q", "left").where(F.coalesce("have", F.lit(0)) < k).select("q")
-    # an unmatched document is among the first (matched + k) documents by id
-    matched = found.join(short, "q", "left_semi")
-    most = matched.groupBy("q").agg(F.count("*").alias("m"))
-    first = index.docs.select("doc").orderBy("doc")
-    filler = _unmatched(short, most, first, matched, k)
+    filler = _unmatched(short, index.docs, found.join(short, "q", "left_semi"), k)
     return best.select("q", "doc", "score").unionByName(filler).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _unmatched(short: DataFrame, most: DataFrame, docs: DataFrame, matched: DataFrame, k: int) -> DataFrame:
-    """For questions with fewer than k positive scores: the first k documents by id that share no term with them."""
-    reach = short.join(most, "q", "left").select("q", (F.coalesce("m", F.lit(0)) + k).alias("reach"))
-    top = reach.agg(F.coalesce(F.max("reach"), F.lit(0))).first()[0]
-    if not top:
-        return matched.limit(0).select("q", "doc", F.lit(0.0).alias("score"))
-    some = docs.limit(int(top))
-    pairs = short.join(some).join(matched.select("q", "doc"), ["q", "doc"], "left_anti")
+def _unmatched(short: DataFrame, docs: DataFrame, matched: DataFrame, k: int) -> DataFrame:
+    """For questions with fewer than k positive scores: the first k documents by id that share no term with them.
+
+    The first n ids are taken, n growing until they hold k unmatched ones for every such question; most questions
+    miss most documents, so n stays near k.
+    """
+    n = 4 * k
+    while True:
+        ids = [r[0] for r in docs.select("doc").orderBy("doc").limit(n).collect()]
+        if not ids:
+            return matched.limit(0).select("q", "doc", F.lit(0.0).alias("score"))
+        hit = matched.where(F.col("doc") <= ids[-1]).groupBy("q").agg(F.count("*").alias("m"))
+        most = hit.agg(F.coalesce(F.max("m"), F.lit(0))).first()[0]
+        if len(ids) < n or len(ids) - most >= k:
+            break
+        n *= 4
+    pairs = short.withColumn("doc", F.explode(F.array(*map(F.lit, ids)))).join(matched.select("q", "doc"), ["q", "doc"], "left_anti")
     order = Window.partitionBy("q").orderBy("doc")
     return pairs.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).select("q", "doc", F.lit(0.0).alias("score"))
