@@ -4,7 +4,7 @@ import pytest
 SF = "/root/testdata/sf0.001"
 
 
-def test_stages(spark):
+def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen = set()
     for name, stage in p.STAGES:
@@ -15,6 +15,8 @@ def test_stages(spark):
         assert len(ids) == len(set(ids)) > 0
         assert not seen or set(ids) <= seen
         seen = set(ids)
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
 
 
 @pytest.mark.parametrize("n", [0, 1])
