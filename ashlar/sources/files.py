@@ -101,6 +101,12 @@ def paper_documents(papers_: DataFrame) -> DataFrame:
     return papers_.select(F.concat(F.lit("paper_"), "id").alias("doc_id"), text.alias("text"), F.array_join("authors", ", ").alias("authors"))
 
 
+def classic_list(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON list of papers to fetch (arxiv_id, title, estimated_citations, category), with their page and file."""
+    rows = spark.read.option("multiLine", True).schema("arxiv_id string, title string, estimated_citations bigint, category string").json(path)
+    return rows.withColumns({"url": F.concat(F.lit("https://arxiv.org/abs/"), "arxiv_id"), "pdf_url": F.concat(F.lit("https://arxiv.org/pdf/"), "arxiv_id", F.lit(".pdf"))})
+
+
 def flat_metadata(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Arrays to joined strings, structs and maps to JSON, the rest to strings."""
     kinds = dict(rows.dtypes)

@@ -94,3 +94,21 @@ def test_question_plan(spark):
     assert got["contexts"].where("q = 1").count() <= 5
     assert question.replied(got["entries"], None, got["answers"]).first()["by"] == "rules"
     assert got["quality"].where("q = 1").count() == 1
+
+
+def test_embedding_hooks(spark, tmp_path):
+    from ashlar.operators import embed
+
+    assert embed.differences(embed.EmbeddingConfig()) == []
+    assert embed.differences(embed.EmbeddingConfig(model_name="x", batch_size=1)) == ["model_name"]
+    texts = spark.createDataFrame([(1, "ab"), (2, None)], "i int, text string")
+    made = embed.encoded(texts, lambda: lambda ts: [[3.0 * len(t), 4.0] for t in ts])
+    assert {r["i"]: [round(x, 2) for x in r["embedding"]] for r in made.collect()} == {1: [0.83, 0.55], 2: [0.0, 1.0]}
+    with pytest.raises(ValueError, match="kind"):
+        embed.manager("nope")
+    ok = lambda t: t.withColumn("embedding", embed.manager("hybrid", 4)(t["text"]))
+    bad = lambda t: t.select("missing")
+    got = {r["model"]: r for r in embed.benchmark(texts, {"ok": ok, "bad": bad}).collect()}
+    assert got["ok"]["n"] >= 1 and got["bad"]["error"]
+    (tmp_path / "c.json").write_text('[{"arxiv_id": "1", "title": "T", "estimated_citations": 5, "category": "c"}]')
+    assert files.classic_list(spark, str(tmp_path / "c.json")).first()["pdf_url"] == "https://arxiv.org/pdf/1.pdf"
