@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, whole
+from .common import by_size, releasing, whole
 from .pieces import ragged
 
 
@@ -119,16 +119,20 @@ def marginals(e: np.ndarray, counts: np.ndarray, chain: np.ndarray) -> np.ndarra
 
 
 def summary(m: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For each sequence: 1, the log of its expected offences, the log odds of its strongest, log of their density."""
+    """For each sequence: 1, offences up to one, the next one, the log of the rest, the log of the expected count.
+
+    An offence counts by how far its marginal lies from a quarter to three quarters, so that the faint marginals of
+    long texts do not add up to one.
+    """
     ends = np.cumsum(counts)
-    sums = np.concatenate([[0.0], np.cumsum(m)])
-    total = np.maximum(sums[ends] - sums[ends - counts], 0)
-    top = np.zeros(len(counts))
-    full = counts > 0
-    if full.any():
-        top[full] = np.maximum.reduceat(m, (ends - counts)[full])
-    top = np.clip(top, 1e-6, 1 - 1e-6)
-    return np.column_stack([np.ones(len(counts)), np.log(total + 0.05), np.log(top / (1 - top)) / 4, np.log((total + 0.05) / (counts + 20))])
+
+    def total(x: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0.0], np.cumsum(x)])
+        return np.maximum(sums[ends] - sums[ends - counts], 0)
+
+    n = total(np.clip(2 * m - 0.5, 0, 1))
+    steps = [np.minimum(n, 1), np.clip(n - 1, 0, 1), np.log1p(np.maximum(n - 2, 0))]
+    return np.column_stack([np.ones(len(counts)), *steps, np.log(total(m) + 0.05) / 10])
 
 
 def _labelled_tokens(counts: np.ndarray, ids: np.ndarray, words: list[str], toxic: np.ndarray, c: Config) -> np.ndarray:
@@ -148,13 +152,13 @@ def _labelled_tokens(counts: np.ndarray, ids: np.ndarray, words: list[str], toxi
     return np.array([bool(strong[f].any()) for f in feats], dtype=bool)
 
 
-def fit(texts: Sequence[str], toxic: Sequence[bool], c: Config = Config()) -> Model:
-    """Fits the field and the score on labelled texts."""
+def fit(texts: Sequence[str], toxic: Sequence[bool], c: Config = Config(), share: float | None = None) -> Model:
+    """Fits the field and the score on labelled texts. share: of toxic documents where the texts come from, if it is another."""
     toxic = np.asarray(toxic, dtype=bool)
     counts, ids, words = tokenized(pa.array(texts, pa.string()))
     if not len(ids) or toxic.all() or not toxic.any():
-        share = (toxic.sum() + 0.5) / (len(toxic) + 1)
-        return Model(np.zeros(1 << c.bits, dtype=np.float32), np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0, 0, 0]), c.bits)
+        rate = (toxic.sum() + 0.5) / (len(toxic) + 1)
+        return Model(np.zeros(1 << c.bits, dtype=np.float32), np.zeros((2, 2)), np.array([np.log(rate / (1 - rate)), 0, 0, 0, 0]), c.bits)
     ids = ids.astype(np.int32)
     bad_word = _labelled_tokens(counts, ids, words, toxic, c)
     owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
@@ -194,7 +198,9 @@ def fit(texts: Sequence[str], toxic: Sequence[bool], c: Config = Config()) -> Mo
     weights = theta.astype(np.float32)
     full = np.bincount(of, weights[flat].astype(np.float64), minlength=len(words)) + bias * (size > 0)
     x = summary(marginals(full[ids], counts, chain), counts)
-    head = _logistic(x, toxic)
+    have = toxic.mean()
+    weight = np.where(toxic, (share or have) / have, (1 - (share or have)) / (1 - have))
+    head = _logistic(x, toxic, weight)
     # the bias of each token goes to the chain, as it goes with every entry of tag 1
     return Model(weights, chain + np.array([[0.0, bias], [0.0, bias]]), head, c.bits)
 
@@ -216,13 +222,14 @@ def _gradient(e: np.ndarray, y: np.ndarray, lengths: np.ndarray, chain: np.ndarr
     return y - 1 / (1 + np.exp(-np.clip(f + b, -60, 60))), seen - np.array([np.sum(x / norm) for x in p])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Newton's method with a small ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """Newton's method with a small ridge on weighted rows."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(x.shape[1])
-        w += np.linalg.solve(h, x.T @ (y - p) - 0.5 * w)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(x.shape[1])
+        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - 0.1 * w)
+        w += step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
     return w
 
 
@@ -238,12 +245,14 @@ def train(documents: DataFrame, labels: DataFrame, c: Config = Config(), key: st
     chosen = [r for y, n in ((1, c.toxic), (0, c.clean)) for r in known.where(F.col("_y") == y).orderBy(order, "_k").limit(n).collect()]
     if not chosen:
         return fit([], [], c)
+    sizes = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
+    share = sizes.get(1, 0) / sum(sizes.values())
     spark = documents.sparkSession
     # at most c.toxic + c.clean ids
     picked = spark.createDataFrame([(r["_k"], int(r["_y"])) for r in chosen], f"_k {labels.schema[key].dataType.simpleString()}, _y int").dropDuplicates(["_k"])
     rows = documents.select(F.col(key).alias("_k"), whole(text).alias("_t")).join(F.broadcast(picked), "_k").select("_t", "_y").toPandas()
     rows = rows.sort_values(["_t", "_y"], kind="stable")
-    return fit(rows["_t"].tolist(), rows["_y"].to_numpy() == 1, c)
+    return fit(rows["_t"].tolist(), rows["_y"].to_numpy() == 1, c, share)
 
 
 SPANS = "array<struct<start:int,stop:int,p:double>>"
@@ -269,10 +278,10 @@ def tag(documents: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), t
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
-        for b in by_size(batches, len(keep)):
+        for b in by_size(batches, len(keep), 2_000_000):
             texts = b.column(len(keep))
             counts, ids, words = tokenized(texts)
-            if len(known) > 200_000:
+            if len(known) > 300_000:
                 known.clear()
             new = [w for w in words if w not in known]
             known.update(zip(new, emissions(new, model.weights, model.bits), strict=True))
@@ -292,4 +301,4 @@ def tag(documents: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), t
             yield pa.RecordBatch.from_arrays(arrays, [*keep, "score", "n_toxic", "spans"])
 
     kept = ", ".join(f"`{k}` {documents.schema[k].dataType.simpleString()}" for k in keep)
-    return documents.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{kept}, score double, n_toxic int, spans {SPANS}")
+    return documents.select(*keep, F.col(text).alias("_text")).mapInArrow(releasing(run), f"{kept}, score double, n_toxic int, spans {SPANS}")
