@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, components, cut, spread, whole
+from .common import by_group, components, cut, releasing, roots, spread, whole
 from .pieces import mixed, ragged
 
 
@@ -123,7 +123,7 @@ def digest(documents: DataFrame, c: Config, key: str, text: str) -> DataFrame:
 
     t = whole(text)
     rows = documents.select(F.col(key).cast("long").alias("doc"), F.md5(t.cast("binary")).alias("same"), t.alias("text")).where("doc is not null")
-    return rows.mapInArrow(run, "doc long, same string, n long, sketch array<int>")
+    return rows.mapInArrow(releasing(run), "doc long, same string, n long, sketch array<int>")
 
 
 def leaves(nodes: DataFrame, c: Config) -> DataFrame:
@@ -136,7 +136,8 @@ def leaves(nodes: DataFrame, c: Config) -> DataFrame:
     rows = nodes.select("doc", F.explode(F.sequence(F.lit(0), F.lit(c.runs - 1))).alias("r"), "sketch").select("doc", "r", *keys)
     out = None
     for d in range(c.depth):
-        sizes = rows.groupBy(f"k{d}").agg(F.count("*").alias("size")).where("size > 1")
+        # written, so that both sides of the join are shuffled for it, and a hot token's rows can be split over tasks
+        sizes = cut(rows.groupBy(f"k{d}").agg(F.count("*").alias("size")).where("size > 1"))
         rows = cut(rows.drop("size").join(sizes, f"k{d}"))
         done = rows if d == c.depth - 1 else rows.where(F.col("size") <= c.limit)
         done = done.select("doc", "r", F.col(f"k{d}").alias("leaf"), "size")
@@ -151,7 +152,7 @@ def _numpy(t: pa.Table, name: str, width: int = 0) -> np.ndarray:
     return c.flatten().to_numpy().reshape(-1, width) if width else c.to_numpy(zero_copy_only=False)
 
 
-def _pairs(t: pa.Table, c: Config, most: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(t: pa.Table, c: Config, most: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows (left, right) of the pairs that belong to this run and pass the screen."""
     bucket, r, mine, across = (_numpy(t, x) for x in ("bucket", "r", "mine", "across"))
     leaf, sketch = _numpy(t, "leafs", c.runs), _numpy(t, "sketch", c.runs * c.depth)
@@ -196,20 +197,6 @@ def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thresho
     return shared * (1 + threshold) >= threshold * (size[left] + size[right]) - 1e-9
 
 
-def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The lowest member of each of n nodes' components."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[left], root[right])
-        new = root.copy()
-        np.minimum.at(new, root[left], low)
-        np.minimum.at(new, root[right], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def join(documents: DataFrame, c: Config = Config(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, class_id, n_links, n_shingles): class_id is the smallest id that links lead to, n_links counts the documents of at least the threshold's similarity."""
     spark = documents.sparkSession
@@ -228,7 +215,7 @@ def join(documents: DataFrame, c: Config = Config(), key: str = "doc_id", text:
     wide = spots.join(members, "doc")
 
     def screen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_group(batches, "bucket"):
+        for t in by_group(batches, "bucket", 50_000):
             keep = np.zeros(t.num_rows, dtype=bool)
             for left, right in _pairs(t, c):
                 keep[left] = keep[right] = True
@@ -236,7 +223,7 @@ def join(documents: DataFrame, c: Config = Config(), key: str = "doc_id", text:
             yield from t.select(names).filter(pa.array(keep)).combine_chunks().to_batches()
 
     screened = cut(
-        wide.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(screen, "doc long, r int, mine int, bucket long, across boolean")
+        wide.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(releasing(screen), "doc long, r int, mine int, bucket long, across boolean")
     )
     spot = F.collect_list(F.struct("bucket", "r", "mine", "across")).alias("spots")
     wanted = screened.groupBy("doc").agg(spot).join(members, "doc")
@@ -259,7 +246,7 @@ def join(documents: DataFrame, c: Config = Config(), key: str = "doc_id", text:
                     yield pa.RecordBatch.from_arrays([x.slice(j, 1000) for x in [*fields, *rest, packed.take(own)]], [k.split()[0] for k in kinds.split(", ")])
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_group(batches, "bucket", 4000):
+        for t in by_group(batches, "bucket", 1500):
             doc, times, bucket = (_numpy(t, x) for x in ("doc", "times", "bucket"))
             found = [p for p in _pairs(t, c) if len(p[0])]
             if not found:
@@ -280,11 +267,11 @@ def join(documents: DataFrame, c: Config = Config(), key: str = "doc_id", text:
             rank = np.lexsort((doc, bucket))
             place = np.empty_like(rank)
             place[rank] = np.arange(len(rank))
-            root = rank[_roots(len(doc), place[left], place[right])[place]]
+            root = rank[roots(len(doc), place[left], place[right])[place]]
             hit = n > 0
             yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(n[hit].astype(np.int64)), pa.array(doc[root[hit]])], ["doc", "links", "root"])
 
-    found = cut(wanted.mapInArrow(fill, kinds).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(verify, "doc long, links long, root long"))
+    found = cut(wanted.mapInArrow(releasing(fill), kinds).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(releasing(verify), "doc long, links long, root long"))
     classes = components(found.select(F.col("doc").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("node", "doc")
     links = found.groupBy("doc").agg(F.sum("links").alias("links"))
     known = nodes.select("same", "doc", "times").join(links, "doc", "left").join(classes, "doc", "left")
