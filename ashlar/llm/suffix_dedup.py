@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, cut, spread, whole
+from .common import by_size, cut, releasing, spread, whole
 from .pieces import mixed, ragged
 
 
@@ -340,6 +340,8 @@ def dedup(documents: DataFrame, c: Config = Config(), key: str = "doc_id", text:
             order, _, full = _settle(a)
             a = a.take(order)
             bucket = edges.of(a)
+            # what is settled here only passes through: it is dealt out evenly and not by its key
+            bucket[full] = a.doc[full] % (len(edges.s) + 1)
             names, blobs = [], []
             for i, own in _dealt(bucket, len(edges.s) + 1):
                 first, again = own[~full[own]], own[full[own]]
@@ -376,7 +378,7 @@ def dedup(documents: DataFrame, c: Config = Config(), key: str = "doc_id", text:
             blobs.append(_packed(doc[f], lo[f].astype(np.int32), hi[f].astype(np.int32), open_doc[p], open_at[p].astype(np.int32)))
         return pa.table({"grp": pa.array(names, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
-    marks = cut(rows.mapInArrow(suffixes, "bucket int, blob binary").groupBy("bucket").applyInArrow(settle, "grp int, blob binary"))
+    marks = cut(rows.mapInArrow(releasing(suffixes), "bucket int, blob binary").groupBy("bucket").applyInArrow(settle, "grp int, blob binary"))
     texts = _grouped(documents, int(groups), key, text, keep)
     hot = np.array(sorted(edges.hot), dtype=np.uint64).reshape(-1, 2)
 
