@@ -23,6 +23,7 @@ Copies inside one Arrow slice are settled before anything is shuffled.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
@@ -56,6 +57,8 @@ BASE = np.uint64(0xA0761D6478BD642F | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Texts longer than this are worked on in overlapping stretches.
 STRETCH = 1 << 21
+#: Stretches that end in the same so many bytes are worked on at once: with a stretch's overlaps still below 2**24.
+BLOB = 1 << 22
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -106,6 +109,18 @@ def anchors(docs: np.ndarray, texts: Sequence[bytes], c: Config) -> Anchors:
             spans.append((d, begin, first - begin, last - begin, len(t)))
     if not parts:
         return Anchors(*(np.zeros(0, dtype=k) for k in FIELDS.values()))
+    # blobs stay far below the 24 bits of a place, however long the texts are
+    lot = (np.cumsum([len(x) for x in parts]) - 1) // BLOB
+    edges = [0, *(np.flatnonzero(np.diff(lot)) + 1).tolist(), len(parts)]
+    found = [_anchors(parts[i:j], spans[i:j], c) for i, j in itertools.pairwise(edges)]
+    a = Anchors(*(np.concatenate([getattr(x, f) for x in found]) for f in FIELDS))
+    new = np.ones(len(a.at), dtype=bool)  # stretches of one text may share an anchor
+    new[1:] = (a.doc[1:] != a.doc[:-1]) | (a.at[1:] != a.at[:-1])
+    return a.take(new)
+
+
+def _anchors(parts: Sequence[bytes], spans: Sequence[tuple[int, int, int, int, int]], c: Config) -> Anchors:
+    """The anchors of stretches that follow each other; two of one text may both have the anchor where they meet."""
     blob = np.frombuffer(b"".join(parts), dtype=np.uint8)
     doc, begin, first, last, length = (np.array(x, dtype=np.int64) for x in zip(*spans, strict=True))
     size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
@@ -124,9 +139,6 @@ def anchors(docs: np.ndarray, texts: Sequence[bytes], c: Config) -> Anchors:
     p = p[np.concatenate([[True], np.diff(p) > 0])]
     own = np.searchsorted(start + size, p, side="right")
     at = p - start[own] + begin[own]
-    new = np.ones(len(p), dtype=bool)  # stretches of one text may share an anchor
-    new[1:] = (doc[own[1:]] != doc[own[:-1]]) | (at[1:] != at[:-1])
-    p, own, at = p[new], own[new], at[new]
     left = np.minimum(c.reach, at)
     right = np.minimum(c.span, length[own] - at)
     around = (sums[p + right] - sums[p - left]) * down[p - left]

@@ -139,6 +139,18 @@ def test_anchors_of_long_texts_do_not_depend_on_stretches(monkeypatch):
     assert (whole.at == parts.at).all() and (whole.around == parts.around).all()
 
 
+def test_anchors_beyond_16_mib_are_those_of_the_same_bytes_elsewhere():
+    c = suffix_dedup.Config()
+    tail = np.random.default_rng(6).integers(97, 123, 3_000_000, dtype=np.uint8).tobytes()
+    head = np.random.default_rng(7).integers(97, 123, (1 << 24) + 1000, dtype=np.uint8).tobytes()
+    alone = suffix_dedup.anchors(np.array([1]), [tail], c)
+    behind = suffix_dedup.anchors(np.array([2]), [head + tail], c)
+    assert (np.diff(behind.at) > 0).all() and (np.diff(behind.at) <= c.span).all()
+    inner = alone.at >= c.span
+    beyond = behind.at >= len(head) + c.span
+    assert (behind.at[beyond] - len(head) == alone.at[inner]).all() and (behind.around[beyond] == alone.around[inner]).all()
+
+
 def test_multikey():
     rng = np.random.default_rng(3)
     keys = [rng.integers(0, 4, 500) for _ in range(5)]
