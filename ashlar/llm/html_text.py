@@ -5,6 +5,9 @@ weights are log odds learned from labelled pages. One linear scan finds the cont
 is the content region. Inside it, words of containers that are never content (menus, adverts, forms, comments) are
 left out, character references are decoded and blocks are joined by a blank line.
 
+Containers are told by their element or by a whole class, id or role. Where only a part of one fits (has-sidebar), or
+where the container holds an article, the scores decide: it is left out unless it holds the content itself.
+
 Null html counts as empty; a page without a positive run gives an empty text. Cut off and unclosed markup is read as
 browsers do: an unfinished tag is dropped, an end tag closes what was opened inside it. Every page is judged by
 itself, so repeated rows and ids give repeated results.
@@ -17,6 +20,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +36,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 #: Containers that make the context of a word, by element.
 CONTEXT = {"nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "button": "form", "dialog": "notice", "head": "head", "article": "article", "main": "article", "figcaption": "article"}
-#: And by words in class, id or role, the first that fits.
+#: And by class, id or role, the first that fits; as a part of one only in doubt.
 MARKS = (
     ("comments", re.compile(r"\b(?:comments?|disqus|replies|respond|discussion)\b")),
     ("advert", re.compile(r"\b(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner-?ad|adsense)\b")),
@@ -58,23 +62,49 @@ LABELLED = (
 )
 
 
-def _context(name: str, attributes: str, stack: Sequence[tuple[str, str]]) -> str:
-    """The context that an element makes for the words in it; that of its parent if it makes none."""
-    outer = stack[-1][1] if stack else "loose"
-    if outer in DROPPED:
-        return outer
-    own = CONTEXT.get(name, "")
-    if attributes and not own:
-        marks = " ".join(m.strip("\"'") for m in MARK.findall(attributes)).lower().replace("_", "-")
-        own = next((k for k, r in MARKS if marks and r.search(marks)), "")
-    if own == "header":  # that of an article is the article's
-        return outer if outer == "article" else own
-    return own or outer
+@dataclass(slots=True, eq=False)
+class Element:
+    """kind: the context that it makes by its name or marks. sure: by its name or a whole mark, not by a part of one.
 
+    first, stop: its pieces. holds: whether an article is in it. free: whether it makes no context after all.
+    """
 
-def pieces(page: str) -> Iterator[tuple[str, str, str, bool]]:
-    """(kind, value, context, in a link): kind is word for a text between tags, tag or block for markup."""
-    stack: list[tuple[str, str]] = []
+    name: str
+    kind: str
+    sure: bool
+    outer: Element | None
+    first: int
+    stop: int = -1
+    holds: bool = False
+    free: bool = False
+    context: str = "loose"
+
+    @property
+    def doubtful(self) -> bool:
+        return self.kind in DROPPED and (self.holds or not self.sure) or self.kind == "header" and not self.sure
+
+
+def _kind(name: str, attributes: str) -> tuple[str, bool]:
+    """(kind, sure) of an element. A page as a whole has no kind; a part of a mark makes no article."""
+    if name in ("html", "body"):
+        return "", True
+    if name in CONTEXT and name != "article" or not attributes:
+        return CONTEXT.get(name, ""), True
+    marks = [w for m in MARK.findall(attributes) for w in m.strip("\"'").lower().replace("_", "-").split()]
+    sure = next((k for k, r in MARKS if any(r.fullmatch(w) for w in marks)), "")
+    if name == "article":  # a comment may be one
+        return "comments" if sure == "comments" else "article", True
+    if sure or not marks:
+        return sure, True
+    line = " ".join(marks)
+    return next((k for k, r in MARKS if k != "article" and r.search(line)), ""), False
+
+
+def _walk(page: str) -> tuple[list[tuple[str, str, Element | None, bool]], list[Element]]:
+    """((kind, value, element, in a link) of each piece, elements, outer ones first): kind is word for a text between tags, tag or block for markup."""
+    parts: list[tuple[str, str, Element | None, bool]] = []
+    elements: list[Element] = []
+    stack: list[Element] = []
     at, links = 0, 0
     while at < len(page):
         m = PIECE.match(page, at)
@@ -83,15 +113,18 @@ def pieces(page: str) -> Iterator[tuple[str, str, str, bool]]:
         if name is None:
             # a bare < is text, but at the very end it is a tag that was cut off
             if page[m.start()] != "<" or m.end() - m.start() == 1 and at < len(page):
-                yield "word", m[0], stack[-1][1] if stack else "loose", links > 0
+                parts.append(("word", m[0], stack[-1] if stack else None, links > 0))
             continue
         name = name.lower()
         kind = "tag" if name in INLINE else "block"
         if m[1]:
-            if any(n == name for n, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
-            links = sum(n == "a" for n, _ in stack) if name == "a" or kind == "block" else links
+            if any(e.name == name for e in stack):
+                while True:
+                    e = stack.pop()
+                    e.stop = len(parts)
+                    if e.name == name:
+                        break
+            links = sum(e.name == "a" for e in stack) if name == "a" or kind == "block" else links
         elif name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -99,8 +132,36 @@ def pieces(page: str) -> Iterator[tuple[str, str, str, bool]]:
             if name == "a":
                 links += 1
             if name not in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):  # these are often left unclosed
-                stack.append((name, _context(name, m[3], stack)))
-        yield kind, name, stack[-1][1] if stack else "loose", links > 0
+                e = Element(name, *_kind(name, m[3]), stack[-1] if stack else None, len(parts))
+                if name in ("article", "main") and e.kind == "article":
+                    over = e.outer
+                    while over and not over.holds:
+                        over.holds = True
+                        over = over.outer
+                stack.append(e)
+                elements.append(e)
+        parts.append((kind, name, stack[-1] if stack else None, links > 0))
+    for e in stack:
+        e.stop = len(parts)
+    return parts, elements
+
+
+def _settled(parts: Sequence[tuple], elements: Sequence[Element]) -> list[tuple[str, str, str, bool]]:
+    """(kind, value, context, in a link): the context of a word is that of the nearest element that makes one."""
+    for e in elements:
+        outer = e.outer.context if e.outer else "loose"
+        if e.name in ("html", "body"):
+            e.context = "loose" if outer in DROPPED else outer
+        elif outer in DROPPED or e.free or not e.kind or e.kind == "header" and outer == "article":  # that of an article is the article's
+            e.context = outer
+        else:
+            e.context = e.kind
+    return [(kind, value, e.context if e else "loose", link) for kind, value, e, link in parts]
+
+
+def pieces(page: str) -> Iterator[tuple[str, str, str, bool]]:
+    """The pieces with all elements of the kind that they seem to be."""
+    yield from _settled(*_walk(page))
 
 
 def _feature(kind: str, value: str, context: str, link: bool, has: bool) -> str:
@@ -147,23 +208,67 @@ def learned(labelled: Sequence = LABELLED) -> dict[str, float]:
 DEFAULT_WEIGHTS = {"tag": -0.1, "block": -0.3}
 
 
-def main_text(page: str | None, weights: dict[str, float]) -> str:
-    parts = list(pieces(page or ""))
-    has = _has_article(parts)
-    best, run, start, span = 0.0, 0.0, 0, (0, 0)
-    for i, (kind, value, context, link) in enumerate(parts):
+def _steps(parts: Sequence[tuple], has: bool, weights: dict[str, float]) -> list[float]:
+    steps = []
+    for kind, value, context, link in parts:
         f = _feature(kind, value, context, link, has)
         if kind == "word":
             n = len(value.split())
             default = -2.0 if context in DROPPED or context == "header" or has and context != "article" or link else 1.0
-            step = n * weights.get(f, default)
+            steps.append(n * weights.get(f, default))
         else:
-            step = weights.get(f, DEFAULT_WEIGHTS[kind])
+            steps.append(weights.get(f, DEFAULT_WEIGHTS[kind]))
+    return steps
+
+
+def _best(steps: Sequence[float]) -> tuple[int, int]:
+    best, run, start, span = 0.0, 0.0, 0, (0, 0)
+    for i, step in enumerate(steps):
         if run <= 0:
             run, start = 0.0, i
         run += step
         if run > best:
             best, span = run, (start, i + 1)
+    return span
+
+
+def _decide(parts: Sequence[tuple], elements: Sequence[Element], weights: dict[str, float]) -> None:
+    """Sets which doubtful elements are free: those that hold the content themselves.
+
+    Scored as if all were free, an element stays so if it has at least half the score of the best of its neighbours
+    (what stands beside it within the next doubtful element around, and each doubtful element there).
+    """
+    for e in elements:
+        e.free = e.doubtful
+    open_ = _settled(parts, elements)
+    steps = _steps(open_, _has_article(open_), weights)
+    a, b = _best(steps)
+    sums = [0.0]
+    for i, step in enumerate(steps):
+        sums.append(sums[-1] + (step if a <= i < b and step > 0 and parts[i][0] == "word" else 0.0))
+    scope: dict[Element | None, Element | None] = {None: None}  # the nearest doubtful element from here on outwards
+    held: dict[Element, float] = {}
+    beside: dict[Element | None, float] = {None: sums[-1]}
+    most: dict[Element | None, float] = {}
+    for e in elements:
+        around = scope[e.outer]
+        scope[e] = e if e.free else around
+        if e.free:
+            held[e] = beside[e] = sums[e.stop] - sums[e.first]
+            beside[around] -= held[e]
+            most[around] = max(most.get(around, 0.0), held[e])
+    for e, score in held.items():
+        around = scope[e.outer]
+        e.free = score > 0 and 2 * score >= max(beside[around], most[around]) - 1e-9
+
+
+def main_text(page: str | None, weights: dict[str, float]) -> str:
+    found, elements = _walk(page or "")
+    if any(e.doubtful for e in elements):
+        _decide(found, elements, weights)
+    parts = _settled(found, elements)
+    has = _has_article(parts)
+    span = _best(_steps(parts, has, weights))
     blocks: list[str] = []
     held: list[str] = []
 

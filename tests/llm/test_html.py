@@ -12,6 +12,38 @@ def test_article_without_its_surroundings():
     assert html_text.main_text(page, W) == "Big & news\n\nFirst line of <text>.\n\nSecond line goes on here.\n\nThird café line."
 
 
+def test_marks_on_wrappers_do_not_empty_the_page():
+    text = "<p>The river runs wide and slow below the old mill.</p><p>In spring it floods the fields.</p>"
+    want = "The river runs wide and slow below the old mill.\n\nIn spring it floods the fields."
+    rest = "<nav><a href='/'>Home</a></nav>", "<div class='sidebar'>Read this too</div><footer>End of it</footer>"
+    for begin, inner in (
+        ("<html><body class='has-sidebar'>", f"<article>{text}</article>"),
+        ("<html><body class='no-sidebar'>", text),
+        ("<html><body class='sidebar'>", f"<article>{text}</article>"),
+        ("<html class='js-nav'><body>", f"<article>{text}</article>"),
+        ("<html><body>", f"<div class='content with-sidebar'>{text}</div>"),
+        ("<html><body>", f"<div class='content with_sidebar'><article>{text}</article></div>"),
+        ("<html><body>", f"<div class='sidebar'><main>{text}</main></div>"),
+        ("<html><body>", f"<form id='form'><main>{text}</main></form>"),
+        ("<html><head>", f"<body><article>{text}</article>"),
+    ):
+        assert html_text.main_text(begin + rest[0] + inner + rest[1] + "</body></html>", W) == want, (begin, inner)
+
+
+def test_loose_marks_are_left_out_beside_the_content():
+    text = "<p>The river runs wide and slow below the old mill.</p>"
+    more = "<p>In spring it floods all the fields along it.</p>"
+    want = "The river runs wide and slow below the old mill.\n\nIn spring it floods all the fields along it."
+    for inner in (
+        f"<article>{text}<div class='ad-slot'>Buy now</div>{more}</article>",
+        f"<div class='with-sidebar'>{text}<div class='ad-slot'>Buy now</div>{more}</div>",
+        f"<div class='row-menu'>{text}</div><div class='row-menu'>{more}</div>",
+        f"<article>{text}{more}</article><aside><article>Ten cakes</article></aside>",
+        f"<article>{text}{more}</article><section id='comments'><article class='comment'>{'nice ' * 99}</article></section>",
+    ):
+        assert html_text.main_text(f"<html><body>{inner}</body></html>", W) == want, inner
+
+
 def test_odd_pages():
     for page in ("", None, "<", "<div", "<!-- open", "<script>never closed", "</p></div>", "<nav>only a menu</nav>"):
         assert html_text.main_text(page, W) == ""
