@@ -13,7 +13,8 @@ sets. Each task gives back counts of links and a spanning forest of what it foun
 Exact copies of a text are one node with a multiplicity. Words are what ASCII white space parts, case and punctuation
 kept; texts of fewer words than a shingle have one shingle of all their words. Null texts and those without words are
 linked with nothing, not even with their copies. Rows with a null id get null results. Ids are integers; rows that
-share an id are one document of several texts.
+share an id are one document of several texts: each text has its own links, which count rows, and all that have words
+are of one class.
 """
 
 from __future__ import annotations
@@ -127,20 +128,20 @@ def digest(documents: DataFrame, c: Config, key: str, text: str) -> DataFrame:
 
 
 def leaves(nodes: DataFrame, c: Config) -> DataFrame:
-    """(doc, r, leaf, size): the bucket of more than one member in which each node ends in each run."""
+    """(node, r, leaf, size): the bucket of more than one member in which each node ends in each run."""
     path = F.col("r")
     keys = []
     for d in range(c.depth):
         path = F.xxhash64(path, F.element_at("sketch", F.col("r") * c.depth + d + 1))
         keys.append(path.alias(f"k{d}"))
-    rows = nodes.select("doc", F.explode(F.sequence(F.lit(0), F.lit(c.runs - 1))).alias("r"), "sketch").select("doc", "r", *keys)
+    rows = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(c.runs - 1))).alias("r"), "sketch").select("node", "r", *keys)
     out = None
     for d in range(c.depth):
         # written, so that both sides of the join are shuffled for it, and a hot token's rows can be split over tasks
         sizes = cut(rows.groupBy(f"k{d}").agg(F.count("*").alias("size")).where("size > 1"))
         rows = cut(rows.drop("size").join(sizes, f"k{d}"))
         done = rows if d == c.depth - 1 else rows.where(F.col("size") <= c.limit)
-        done = done.select("doc", "r", F.col(f"k{d}").alias("leaf"), "size")
+        done = done.select("node", "r", F.col(f"k{d}").alias("leaf"), "size")
         out = done if out is None else out.unionByName(done)
         rows = rows.where(F.col("size") > c.limit)
     return out
@@ -156,7 +157,7 @@ def _pairs(t: pa.Table, c: Config, most: int = 100_000) -> Iterator[tuple[np.nda
     """Rows (left, right) of the pairs that belong to this run and pass the screen."""
     bucket, r, mine, across = (_numpy(t, x) for x in ("bucket", "r", "mine", "across"))
     leaf, sketch = _numpy(t, "leafs", c.runs), _numpy(t, "sketch", c.runs * c.depth)
-    doc = _numpy(t, "doc")
+    node = _numpy(t, "node")
     stop = np.searchsorted(bucket, bucket, side="right")
     after = stop - np.arange(len(bucket)) - 1
     done = np.concatenate([[0], np.cumsum(after)])
@@ -166,7 +167,7 @@ def _pairs(t: pa.Table, c: Config, most: int = 100_000) -> Iterator[tuple[np.nda
         left = np.repeat(np.arange(at, to), after[at:to])
         right = ragged(np.arange(at, to) + 1, after[at:to])
         at = to
-        ok = (doc[left] != doc[right]) & (~across[left] | (mine[left] != mine[right]))
+        ok = (node[left] != node[right]) & (~across[left] | (mine[left] != mine[right]))
         left, right = left[ok], right[ok]
         same = (leaf[left] == leaf[right]) & (leaf[left] != 0)
         ok = same.argmax(axis=1) == r[left]
@@ -198,37 +199,43 @@ def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thresho
 
 
 def join(documents: DataFrame, c: Config = Config(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, class_id, n_links, n_shingles): class_id is the smallest id that links lead to, n_links counts the documents of at least the threshold's similarity."""
+    """(key, class_id, n_links, n_shingles): class_id is the smallest id that links lead to, n_links counts the other rows of at least the threshold's similarity."""
     spark = documents.sparkSession
     parts = spread(spark)
     rows = cut(digest(documents, c, key, text))
     texts = rows.groupBy("same").agg(F.min("doc").alias("doc"), F.count("*").alias("times"))
-    nodes = cut(rows.where("n > 0").select("same", "doc", "sketch").join(texts, ["same", "doc"]).dropDuplicates(["same"]))
+    # a node is a text; an id may name several of them, and a row may be there more than once
+    nodes = rows.where("n > 0").select("same", "doc", "sketch").join(texts, ["same", "doc"])
+    nodes = nodes.groupBy("same").agg(*(F.first(x).alias(x) for x in ("doc", "sketch", "times")), F.count("*").alias("rows"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     leaf = cut(leaves(nodes, c))
-    ends = leaf.groupBy("doc", "r").agg(F.min("leaf").alias("leaf")).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("r", "leaf"))).alias("m"))
-    ends = ends.select("doc", F.transform(F.sequence(F.lit(0), F.lit(c.runs - 1)), lambda r: F.coalesce(F.try_element_at("m", r), F.lit(0))).cast("array<long>").alias("leafs"))
+    ends = leaf.groupBy("node", "r").agg(F.min("leaf").alias("leaf")).groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("r", "leaf"))).alias("m"))
+    ends = ends.select("node", F.transform(F.sequence(F.lit(0), F.lit(c.runs - 1)), lambda r: F.coalesce(F.try_element_at("m", r), F.lit(0))).cast("array<long>").alias("leafs"))
     tiles = F.ceil(F.col("size") / c.tile).cast("int")
-    mine = F.pmod(F.xxhash64("doc", F.lit("tile")), tiles).cast("int")
-    spots = leaf.select("doc", "r", "leaf", mine.alias("mine"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
-    spots = spots.select("doc", "r", "mine", F.xxhash64("r", "leaf", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), (F.col("mine") != F.col("other")).alias("across"))
-    members = nodes.select("doc", "sketch", "times").join(ends, "doc")
-    wide = spots.join(members, "doc")
+    mine = F.pmod(F.xxhash64("node", F.lit("tile")), tiles).cast("int")
+    spots = leaf.select("node", "r", "leaf", mine.alias("mine"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+    spots = spots.select("node", "r", "mine", F.xxhash64("r", "leaf", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), (F.col("mine") != F.col("other")).alias("across"))
+    members = nodes.select("node", "doc", "same", "sketch", "times").join(ends, "node")
+    wide = spots.join(members.drop("doc", "same", "times"), "node")
 
     def screen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_group(batches, "bucket", 50_000):
             keep = np.zeros(t.num_rows, dtype=bool)
             for left, right in _pairs(t, c):
                 keep[left] = keep[right] = True
-            names = ["doc", "r", "mine", "bucket", "across"]
+            names = ["node", "r", "mine", "bucket", "across"]
             yield from t.select(names).filter(pa.array(keep)).combine_chunks().to_batches()
 
     screened = cut(
-        wide.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(releasing(screen), "doc long, r int, mine int, bucket long, across boolean")
+        wide.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(releasing(screen), "node long, r int, mine int, bucket long, across boolean")
     )
     spot = F.collect_list(F.struct("bucket", "r", "mine", "across")).alias("spots")
-    wanted = screened.groupBy("doc").agg(spot).join(members, "doc")
-    wanted = documents.select(F.col(key).cast("long").alias("doc"), whole(text).alias("text")).join(wanted, "doc")
-    kinds = "bucket long, r int, mine int, across boolean, doc long, times long, leafs array<long>, sketch array<int>, shingles binary"
+    wanted = screened.groupBy("node").agg(spot).join(members, "node")
+    t = whole(text)
+    wanted = documents.select(F.col(key).cast("long").alias("doc"), F.md5(t.cast("binary")).alias("same"), t.alias("text")).join(wanted, ["doc", "same"])
+    if not nodes.where("rows > 1").isEmpty():  # repeated rows: times has them already
+        wanted = wanted.dropDuplicates(["node"])
+    kinds = "bucket long, r int, mine int, across boolean, node long, doc long, times long, leafs array<long>, sketch array<int>, shingles binary"
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -241,13 +248,13 @@ def join(documents: DataFrame, c: Config = Config(), key: str = "doc_id", text:
                 own = pa.array(np.repeat(np.arange(part.num_rows), np.diff(spots.offsets.to_numpy())))
                 flat = spots.flatten()
                 fields = [flat.field(x) for x in ("bucket", "r", "mine", "across")]
-                rest = [part.column(x).take(own) for x in ("doc", "times", "leafs", "sketch")]
+                rest = [part.column(x).take(own) for x in ("node", "doc", "times", "leafs", "sketch")]
                 for j in range(0, len(own), 1000):
                     yield pa.RecordBatch.from_arrays([x.slice(j, 1000) for x in [*fields, *rest, packed.take(own)]], [k.split()[0] for k in kinds.split(", ")])
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_group(batches, "bucket", 1500):
-            doc, times, bucket = (_numpy(t, x) for x in ("doc", "times", "bucket"))
+            node, doc, times, bucket = (_numpy(t, x) for x in ("node", "doc", "times", "bucket"))
             found = [p for p in _pairs(t, c) if len(p[0])]
             if not found:
                 continue
@@ -269,12 +276,18 @@ def join(documents: DataFrame, c: Config = Config(), key: str = "doc_id", text:
             place[rank] = np.arange(len(rank))
             root = rank[roots(len(doc), place[left], place[right])[place]]
             hit = n > 0
-            yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(n[hit].astype(np.int64)), pa.array(doc[root[hit]])], ["doc", "links", "root"])
-
-    found = cut(wanted.mapInArrow(releasing(fill), kinds).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(releasing(verify), "doc long, links long, root long"))
-    classes = components(found.select(F.col("doc").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("node", "doc")
-    links = found.groupBy("doc").agg(F.sum("links").alias("links"))
-    known = nodes.select("same", "doc", "times").join(links, "doc", "left").join(classes, "doc", "left")
+            yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(doc[hit]), pa.array(n[hit].astype(np.int64)), pa.array(doc[root[hit]])], ["node", "doc", "links", "root"])
+
+    found = cut(wanted.mapInArrow(releasing(fill), kinds).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(releasing(verify), "node long, doc long, links long, root long"))
+    edges = found.select(F.col("doc").alias("src"), F.col("root").alias("dst"))
+    several = rows.where("n > 0").groupBy("doc").agg(F.min("same").alias("a"), F.max("same").alias("b")).where("a <> b").select("doc")
+    several = cut(rows.where("n > 0").select("doc", "same").join(several, "doc"))
+    if not several.isEmpty():  # a text links its documents, too, where they have other ones
+        first = texts.select("same", F.col("doc").alias("dst"))
+        edges = edges.unionByName(several.withColumnRenamed("doc", "src").join(first, "same").select("src", "dst"))
+    classes = components(edges).withColumnRenamed("node", "doc")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    known = nodes.select("same", "doc", "node", "times").join(links, "node", "left").join(classes, "doc", "left")
     known = known.select("same", F.coalesce("component", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"))
     out = rows.select("doc", "same", "n").join(known, "same", "left")
     out = out.select(F.col("doc").alias(key), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n").alias("n_shingles"))

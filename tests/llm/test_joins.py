@@ -59,6 +59,23 @@ def test_jaccard_join(spark):
     assert chosen_path.join(df.limit(0)).count() == 0
 
 
+def test_jaccard_of_repeated_rows_and_shared_ids(spark):
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(40)]
+    near = lambda k: " ".join([*base[k][:-1], "edit"])
+    text = lambda k: " ".join(base[k])
+    rows = [(1, text(0)), (1, text(0)), (1, text(0)), (2, near(0))]  # a repeated row and its partner
+    rows += [(10 + k // 4, text(k)) for k in range(4, 36)] + [(100 + k, near(k)) for k in range(4, 36)]  # four texts an id
+    rows += [(50, text(36)), (51, text(36)), (51, text(37)), (52, near(37)), (53, text(38)), (53, near(38))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = chosen_path.join(df).collect()
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8 - 1e-12]
+    n = np.bincount(np.array(pairs).ravel(), minlength=len(rows))
+    top = classes({d for d, _ in rows}, [(rows[a][0], rows[b][0]) for a, b in pairs])
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == sorted((d, top[d], n[i]) for i, (d, _) in enumerate(rows))
+
+
 def test_vector_join(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((60, 16))
