@@ -147,6 +147,19 @@ def corpus_score(citations: str | Column, q: str | Column, year: str | Column) -
     return F.coalesce(col(citations), F.lit(0)) * 0.6 + F.coalesce(col(q), F.lit(0)) * 100 * 0.3 + (F.coalesce(col(year), F.lit(0)) - 2015) / 10 * 10
 
 
+def collected_score(citations: str | Column, q: str | Column) -> Column:
+    return F.coalesce(col(citations), F.lit(0)) * 0.7 + F.coalesce(col(q), F.lit(0)) * 100 * 0.3
+
+
+def arxiv_id(name: str | Column) -> Column:
+    """Without its version."""
+    return F.regexp_replace(col(name), r"v\d+$", "")
+
+
+def arxiv_urls(name: str | Column) -> dict[str, Column]:
+    return {"url": F.concat(F.lit("https://arxiv.org/abs/"), arxiv_id(name)), "pdf_url": F.concat(F.lit("https://arxiv.org/pdf/"), arxiv_id(name), F.lit(".pdf"))}
+
+
 def year_of(date: str | Column) -> Column:
     return F.substring(col(date), 1, 4).try_cast("int")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -19,18 +20,23 @@ def any_of(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words))
 
 
-def any_match(text: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, (text.rlike(p) for p in patterns))
+def any_match(text: Column, patterns: list[str], flags: str = "") -> Column:
+    return reduce(lambda a, b: a | b, (text.rlike(flags + p) for p in patterns))
 
 
 def letters_tokens(text: str | Column) -> Column:
     """Words of the letters a-z only, in lower case; words that hold other letters, digits or _ give nothing."""
-    return F.filter(F.split(F.lower(col(text)), r"[^\p{L}\p{N}_]+"), lambda t: t.rlike("^[a-z]+$"))
+    return F.regexp_extract_all(F.lower(col(text)), F.lit(r"(?<![\p{L}\p{N}_])[a-z]++(?![\p{L}\p{N}_])"), F.lit(0))
 
 
 def words(text: str | Column) -> Column:
     """What white space parts."""
-    return F.filter(F.split(col(text), r"\s+"), lambda t: t != "")
+    return F.regexp_extract_all(col(text), F.lit(r"\S+"), F.lit(0))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it: a one-element array binds it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def word_set(text: str | Column) -> Column:
@@ -72,8 +78,8 @@ def normal_title(text: str | Column) -> Column:
 def content_features(text: str | Column) -> dict[str, Column]:
     t = col(text)
     return {
-        "has_formulas": t.rlike(K.HAS_FORMULAS),
-        "has_code": t.rlike(K.HAS_CODE),
+        "has_formulas": t.rlike("(?i)" + K.HAS_FORMULAS),
+        "has_code": t.rlike("(?i)" + K.HAS_CODE),
         "has_citations": t.rlike(K.HAS_CITATIONS),
         "has_numbers": t.rlike("(?U)" + K.HAS_NUMBERS),
         "has_urls": t.rlike(K.HAS_URLS),
@@ -87,11 +93,12 @@ def has_formulas(text: str | Column) -> Column:
 
 
 def has_tables(text: str | Column) -> Column:
-    return any_match(col(text), K.TABLE_MARKS)
+    """Three repetitions stand for three or more: a search finds the same texts, and Java's matcher does not recurse by word."""
+    return any_match(col(text), [p.replace("{3,}", "{3}") for p in K.TABLE_MARKS], "(?i)")
 
 
 def has_figures(text: str | Column) -> Column:
-    return any_match(col(text), K.FIGURE_MARKS)
+    return any_match(col(text), K.FIGURE_MARKS, "(?i)")
 
 
 def language(text: str | Column) -> Column:
@@ -111,7 +118,7 @@ def section_of(line: str | Column) -> Column:
 def heading_of(line: str | Column) -> Column:
     """The section whose heading a whole line of 3 to 100 characters is, null if none."""
     t = F.trim(col(line))
-    found = F.coalesce(*(F.when(t.rlike(f"(?i)^({p})$"), F.lit(s)) for s, p in K.SECTION_LINES))
+    found = F.coalesce(*(F.when(any_match(t, ps, "(?i)"), F.lit(s)) for s, ps in K.SECTION_LINES.items()))
     return F.when(F.length(t).between(3, 100), found)
 
 

@@ -1,4 +1,4 @@
-"""BM25: an inverted index as tables, and batch search for any number of questions.
+"""BM25: an inverted index as a table of documents with their term counts, and batch search for any number of questions.
 
 The idf has no floor, so terms in more than half of the documents count negative, and documents without a match (0)
 can rank above documents with one. ``search`` therefore fills up with unmatched documents where fewer than k score
@@ -7,32 +7,79 @@ above zero.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import letters_tokens
+from ..functions.text import bound, letters_tokens
+from ..shared import cut, numbered, shared_folder
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings (doc, term, tf), terms (term, df, idf), docs (doc, len), stats (n, avgdl; one row)."""
+    """entries (doc, len, terms: array of (term, tf)); the other tables follow from it. kept: whether it is a written table."""
 
-    postings: DataFrame
-    terms: DataFrame
-    docs: DataFrame
-    stats: DataFrame
+    entries: DataFrame
+    kept: bool = False
+
+    @property
+    def docs(self) -> DataFrame:
+        """(doc, len)"""
+        return self.entries.select("doc", "len")
+
+    @property
+    def postings(self) -> DataFrame:
+        """(doc, len, term, tf): no shuffle, as an entry has all terms of its document."""
+        return self.entries.select("doc", "len", F.inline("terms"))
+
+    @property
+    def stats(self) -> DataFrame:
+        """(n, avgdl): one row."""
+        return self.entries.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+
+    @property
+    def terms(self) -> DataFrame:
+        """(term, df, idf)"""
+        return self.weighed(self.postings.groupBy("term").agg(F.count("*").alias("df")))
+
+    def weighed(self, df: DataFrame) -> DataFrame:
+        idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
+        return df.crossJoin(F.broadcast(self.stats)).select("term", "df", idf)
+
+    def write(self, path: str | None = None) -> Index:
+        """The index as Parquet, read back: documents are tokenised once, whatever asks for it. Without a path it lies in the shared folder."""
+        if self.kept:
+            return self
+        path = path or f"{shared_folder(self.entries.sparkSession)}/bm25-{uuid.uuid4().hex}"
+        self.entries.write.parquet(path)
+        return load(self.entries.sparkSession, path)
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.parquet(path), True)
+
+
+def _counted(tokens: Column) -> Column:
+    """The distinct tokens with how often each occurs, from runs of the sorted tokens."""
+
+    def runs(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+        return bound(starts, lambda s: F.transform(s, lambda at, i: F.struct(F.get(t, at).alias("term"), (F.coalesce(F.get(s, i + 1), F.size(t)) - at).cast("long").alias("tf"))))
+
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return F.when(F.size(tokens) > 0, bound(F.array_sort(tokens), runs)).otherwise(none)
 
 
 def build(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> Index:
-    tokens = documents.select(F.col(doc).alias("doc"), letters_tokens(text).alias("tokens"))
-    docs = tokens.select("doc", F.size("tokens").alias("len"))
-    postings = tokens.select("doc", F.explode("tokens").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    terms = df.crossJoin(F.broadcast(stats)).select("term", "df", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    return Index(postings, terms, docs, stats)
+    """Null texts count as empty ones of length 0; ids are taken as unique."""
+    tokens = documents.select(F.col(doc).alias("doc"), letters_tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+    return Index(tokens.select("doc", F.size("tokens").alias("len"), _counted(F.col("tokens")).alias("terms")))
+
+
+def _asked(questions: DataFrame, q: str, text: str) -> DataFrame:
+    return questions.select(F.col(q).alias("q"), F.explode(letters_tokens(text)).alias("term")).groupBy("q", "term").agg(F.count("*").alias("times"))
 
 
 def score(index: Index, questions: DataFrame, q: str = "q", text: str = "question", k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -40,42 +87,60 @@ def score(index: Index, questions: DataFrame, q: str = "q", text: str = "questio
 
     Scores are rounded to nine places, so that equal texts tie whatever the order of their sums.
     """
-    asked = questions.select(F.col(q).alias("q"), F.explode(letters_tokens(text)).alias("term")).groupBy("q", "term").agg(F.count("*").alias("times"))
-    # the terms asked for prune the postings before anything else meets them
-    hits = index.postings.join(asked, "term").join(index.terms.select("term", "idf"), "term").join(index.docs, "doc").crossJoin(F.broadcast(index.stats))
+    asked = _asked(questions, q, text)
+    # only postings of terms that are asked for go on; their counts are the document frequencies
+    wanted = index.postings.join(asked.select("term").distinct(), "term")
+    idf = index.weighed(wanted.groupBy("term").agg(F.count("*").alias("df"))).select("term", "idf")
+    hits = wanted.join(asked.join(idf, "term"), "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
     length = k1 * (1 - b + b * F.col("len") / F.col("avgdl"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + length)
     return hits.groupBy("q", "doc").agg(F.round(F.sum(part), 9).alias("score"))
 
 
 def search(index: Index, questions: DataFrame, k: int, q: str = "q", text: str = "question") -> DataFrame:
-    """(q, doc, score, rank): the k best documents of each question, ties by document; unmatched ones score 0."""
-    found = score(index, questions, q, text)
+    """(q, doc, score, rank): the k best documents of each question, ties by document; unmatched ones score 0.
+
+    The index is written if it is not yet, as are the k best matches of each question.
+    """
+    index = index.write()
     order = Window.partitionBy("q").orderBy(F.desc("score"), "doc")
-    # candidates: the k best by score, and k unmatched ones where fewer than k are positive
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    positive = best.where("score > 0").groupBy("q").agg(F.count("*").alias("have"))
-    short = questions.select(F.col(q).alias("q")).join(positive, "q", "left").where(F.coalesce("have", F.lit(0)) < k).select("q")
-    filler = _unmatched(short, index.docs, found.join(short, "q", "left_semi"), k)
+    best = cut(score(index, questions, q, text).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    # questions with fewer than k positive scores get the k first unmatched documents as candidates, too
+    enough = best.where("score > 0").groupBy("q").count().where(F.col("count") >= k).select("q")
+    short = questions.select(F.col(q).alias("q"), F.col(text).alias("question")).join(enough, "q", "left_anti")
+    if short.isEmpty():
+        return best
+    filler = unmatched(index, short, k)
     return best.select("q", "doc", "score").unionByName(filler).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _unmatched(short: DataFrame, docs: DataFrame, matched: DataFrame, k: int) -> DataFrame:
-    """For questions with fewer than k positive scores: the first k documents by id that share no term with them.
+#: Numbers of documents in a block, in which unmatched ones are counted.
+NUMBERS = 65_536
+
+
+def unmatched(index: Index, questions: DataFrame, k: int, block: int = NUMBERS) -> DataFrame:
+    """(q, doc, score 0): for each question the first k documents by id that share no term with it.
 
-    The first n ids are taken, n growing until they hold k unmatched ones for every such question; most questions
-    miss most documents, so n stays near k.
+    Documents are numbered. What a question matches is counted in blocks of numbers: blocks that match wholly are passed
+    over, and in the first k of the others the j-th unmatched number is j plus the matched ones before it. No question
+    meets documents that it does not match, and no task holds more than a block of them.
     """
-    n = 4 * k
-    while True:
-        ids = [r[0] for r in docs.select("doc").orderBy("doc").limit(n).collect()]
-        if not ids:
-            return matched.limit(0).select("q", "doc", F.lit(0.0).alias("score"))
-        hit = matched.where(F.col("doc") <= ids[-1]).groupBy("q").agg(F.count("*").alias("m"))
-        most = hit.agg(F.coalesce(F.max("m"), F.lit(0))).first()[0]
-        if len(ids) < n or len(ids) - most >= k:
-            break
-        n *= 4
-    pairs = short.withColumn("doc", F.explode(F.array(*map(F.lit, ids)))).join(matched.select("q", "doc"), ["q", "doc"], "left_anti")
-    order = Window.partitionBy("q").orderBy("doc")
-    return pairs.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).select("q", "doc", F.lit(0.0).alias("score"))
+    order = numbered(index.docs.select("doc"), "doc").withColumn("r", F.col("number") - 1).select("doc", "r")
+    total = index.stats.select("n")
+    asked = _asked(questions, "q", "question").select("q", "term")
+    met = index.postings.select("doc", "term").join(asked, "term").select("q", "doc").distinct().join(order, "doc")
+    met = cut(met.select("q", F.floor(F.col("r") / block).alias("b"), (F.col("r") % block).alias("p")))
+    size = F.least(F.lit(block), F.col("n") - F.col("b") * block)
+    full = met.groupBy("q", "b").agg(F.count("*").alias("c")).crossJoin(F.broadcast(total)).where(F.col("c") >= size)
+    # the j-th block that is not full lies behind as many full ones as have fewer than j others before them
+    place = Window.partitionBy("q").orderBy("b")
+    gaps = full.withColumn("gap", F.col("b") - F.row_number().over(place) + 1).groupBy("q").agg(*(F.count_if(F.col("gap") <= j).alias(f"g{j}") for j in range(k)))
+    firsts = F.array(*(F.coalesce(f"g{j}", F.lit(0)) + j for j in range(k)))
+    open_ = questions.select("q").distinct().join(gaps, "q", "left").select("q", F.explode(firsts).alias("b")).crossJoin(F.broadcast(total)).withColumn("size", size).where("size > 0")
+    place = Window.partitionBy("q", "b").orderBy("p")
+    inside = met.join(open_.select("q", "b"), ["q", "b"]).withColumn("gap", F.col("p") - F.row_number().over(place) + 1)
+    inside = inside.groupBy("q", "b").agg(*(F.count_if(F.col("gap") <= j).alias(f"g{j}") for j in range(k)))
+    spots = open_.join(inside, ["q", "b"], "left").select("q", "b", "size", F.explode(firsts).alias("p")).where("p < size")
+    place = Window.partitionBy("q").orderBy("r")
+    spots = spots.select("q", (F.col("b") * block + F.col("p")).alias("r")).withColumn("rn", F.row_number().over(place)).where(F.col("rn") <= k)
+    return spots.join(order, "r").select("q", "doc", F.lit(0.0).alias("score"))

@@ -91,11 +91,14 @@ def paragraphs(text: str, c: ChunkConfig) -> list[Piece]:
         if held:
             out.append((held[0][0], held[-1][0] + len(held[-1][1]), "content", "\n\n".join(b for _, b in held)))
 
+    size = 0
     for spot in spots:
-        if held and sum(len(b) for _, b in held) + len(spot[1]) > c.size:
+        if held and size + len(spot[1]) > c.size:
             close()
             held = [held[-1]] if c.overlap > 0 and len(held) > 1 else []
+            size = sum(len(b) for _, b in held)
         held.append(spot)
+        size += len(spot[1])
     close()
     return out
 

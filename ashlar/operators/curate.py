@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.text import normal_title
+from ..shared import cut, numbered
 
 
 def admit(papers: DataFrame, title: int = 10, abstract: int = 50) -> DataFrame:
@@ -32,9 +33,9 @@ def standardised(papers: DataFrame) -> DataFrame:
 
 
 def first_seen(batches: DataFrame, key: str = "id", order: str = "batch") -> DataFrame:
-    """Of each id the row of the earliest batch."""
-    w = Window.partitionBy(key).orderBy(order)
-    return batches.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Of each id the row of the earliest batch; of several there, the one with the lowest hash. Aggregated before the shuffle."""
+    row = F.struct(*batches.columns)
+    return batches.groupBy(F.col(key).alias("_key")).agg(F.min_by(row, F.struct(order, F.xxhash64(F.to_json(row)))).alias("_row")).select("_row.*")
 
 
 def not_duplicates(new: DataFrame, old: DataFrame, ratio: float = 0.8) -> DataFrame:
@@ -45,9 +46,9 @@ def not_duplicates(new: DataFrame, old: DataFrame, ratio: float = 0.8) -> DataFr
     than four fifths of its length: the longer is filed under the few characters at its middle, and the shorter looks
     up the pieces of its own middle, so only pairs that share such a piece are compared.
     """
-    # both sides are met several times: titles are normalised once, and recomputed should an executor be lost
-    n = new.select("id", normal_title("title").alias("nt")).persist()
-    o = old.select(F.col("id").alias("oid"), normal_title("title").alias("ot")).persist()
+    # both sides are met several times: titles are normalised once, and written
+    n = cut(new.select("id", normal_title("title").alias("nt")))
+    o = cut(old.select(F.col("id").alias("oid"), normal_title("title").alias("ot")))
     fresh = n.join(o.select(F.col("oid").alias("id")).distinct(), "id", "left_anti").join(o.select(F.col("ot").alias("nt")).distinct(), "nt", "left_anti")
     left = fresh.select("id", "nt").where("nt <> ''")
     right = o.select("ot").distinct().where("ot <> ''")
@@ -97,6 +98,20 @@ def ordered(papers: DataFrame) -> DataFrame:
     return papers.orderBy(scores.corpus_score("citationCount", "quality_score", "year").desc(), "id")
 
 
+def collected_order(papers: DataFrame) -> DataFrame:
+    """The order of a collection before it is integrated."""
+    return papers.orderBy(scores.collected_score("citationCount", "quality_score").desc(), "id")
+
+
+def statistics(papers: DataFrame, by: tuple[str, ...] = ("year", "venue", "category"), citations: str = "citationCount", quality: str = "quality_score") -> DataFrame:
+    """(by, value, n, avg_citations, avg_quality) of each value of each column, nulls apart, in one pass."""
+    g = papers.groupingSets([[F.col(k)] for k in by], *by).agg(F.grouping_id().alias("_g"), F.count("*").alias("n"), F.avg(citations).alias("avg_citations"), F.avg(quality).alias("avg_quality"))
+    mine = [F.col("_g").bitwiseAND(1 << (len(by) - 1 - i)) == 0 for i in range(len(by))]
+    value = F.coalesce(*(F.when(m, F.col(k).cast("string")) for m, k in zip(mine, by, strict=True)))
+    name = F.coalesce(*(F.when(m, F.lit(k)) for m, k in zip(mine, by, strict=True)))
+    return g.select(name.alias("by"), value.alias("value"), "n", "avg_citations", "avg_quality").where("value IS NOT NULL")
+
+
 def distribution(papers: DataFrame, by: str) -> DataFrame:
     return papers.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n"))
 
@@ -120,9 +135,9 @@ def top_years(papers: DataFrame, year: str = "year", n: int = 5) -> DataFrame:
 def quotas(batches: DataFrame, target: int, floors: tuple[int, ...] = (100, 50, 20), keyword: str = "keyword", citations: str = "citations") -> DataFrame:
     """The batch form of collecting by keywords: in each third of them another floor of citations, and the best rows
     up to each keyword's share, between 10 and 100."""
-    count = batches.select(F.count_distinct(keyword).alias("k"))
-    place = batches.select(keyword).distinct().withColumn("_place", F.row_number().over(Window.orderBy(keyword)) - 1)
-    rows = batches.join(F.broadcast(place), keyword).crossJoin(F.broadcast(count))
+    words = batches.select(keyword).where(F.col(keyword).isNotNull()).distinct()
+    place = numbered(words, keyword, name="_place").withColumn("_place", F.col("_place") - 1)
+    rows = batches.join(place, keyword).crossJoin(F.broadcast(words.agg(F.count("*").alias("k"))))  # one row
     floor = F.element_at(F.array(*map(F.lit, floors)), F.least((F.col("_place") * len(floors) / F.col("k")).cast("int"), F.lit(len(floors) - 1)) + 1)
     share = F.least(F.greatest((F.lit(target) / F.col("k")).cast("int"), F.lit(10)), F.lit(100))
     w = Window.partitionBy(keyword).orderBy(F.desc(citations), "id")

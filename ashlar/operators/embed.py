@@ -74,6 +74,22 @@ def manager(kind: str, size: int = 64) -> Callable[[Column], Column]:
     raise ValueError(f"unknown kind {kind!r}")
 
 
+def device(prefer: Sequence[str] = ("cuda", "mps", "cpu")) -> str:
+    """The first device that torch can use on this machine, cpu without torch. Called in an encoder's ``load``, on the worker."""
+    try:
+        import torch
+    except ImportError:
+        return "cpu"
+    there = {"cuda": torch.cuda.is_available(), "mps": torch.backends.mps.is_available(), "cpu": True}
+    return next(d for d in (*prefer, "cpu") if there.get(d))
+
+
+def encoder_stats(report: DataFrame) -> DataFrame:
+    """(total, seconds, per_text) over the rows of ``benchmark``: one row."""
+    total, seconds = F.sum("n"), F.coalesce(F.sum("seconds"), F.lit(0.0))
+    return report.agg(total.alias("total"), seconds.alias("seconds"), (seconds / F.greatest(total, F.lit(1))).alias("per_text"))
+
+
 def benchmark(texts: DataFrame, models: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """(model, n, seconds, per_text, error): each model encodes all texts; one that fails is a row with its error."""
     rows = []

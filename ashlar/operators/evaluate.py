@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..functions.text import words
+from ..shared import numbered
+
+Embed = Callable[[Column], Column]
 
 METRICS = ("context_relevance", "faithfulness", "answer_relevance", "context_precision", "context_recall", "overall_score")
 
@@ -33,6 +37,59 @@ def overall(cases: DataFrame) -> DataFrame:
     return cases.withColumn("overall_score", scores.overall(*METRICS[:5]))
 
 
+def faithfulness(cosine: str | Column, overlap: str | Column) -> Column:
+    """Of an answer: its cosine to the joined contexts, and the share of its words that they have."""
+    c, o = (F.col(x) if isinstance(x, str) else x for x in (cosine, overlap))
+    return scores.clip(0.7 * c + 0.3 * o)
+
+
+def evaluate_cases(cases: DataFrame, embed: Embed) -> DataFrame:
+    """cases (case_id, question, contexts array, answer, relevant array, ...) with the five metrics, overall_score and details.
+
+    A case without contexts has relevance, precision and faithfulness by words alone 0; one without relevant contexts
+    has recall 0. Null contexts and answers count as empty. All metrics of all cases come from one plan.
+    """
+    none = F.array().cast("array<string>")
+    c = cases.withColumns({"contexts": F.coalesce("contexts", none), "relevant": F.coalesce("relevant", none), "answer": F.coalesce("answer", F.lit(""))})
+    c = c.withColumn("_joined", F.array_join("contexts", " "))
+    c = c.withColumns({"_q": embed(F.col("question")), "_a": embed(F.col("answer")), "_c": F.transform("contexts", lambda t: embed(t)), "_r": F.transform("relevant", lambda t: embed(t)), "_j": embed(F.col("_joined"))})
+    c = c.withColumns({"_cos": F.transform("_c", lambda v: scores.cosine("_q", v)), "_near": F.transform("_r", lambda r: F.coalesce(F.array_max(F.transform("_c", lambda v: scores.cosine(r, v))), F.lit(0.0)))})
+    n = F.size("contexts")
+    total = F.aggregate("_cos", F.lit(0.0), lambda s, x: s + x)
+    share = lambda a, least: F.size(F.filter(a, lambda x: x > least)) / F.size(a)
+    counted = F.aggregate("contexts", F.lit(0), lambda s, x: s + F.size(words(x)))
+    out = c.withColumns(
+        {
+            "context_relevance": F.when(n > 0, scores.clip(0.7 * total / n + 0.3 * F.array_max("_cos"))).otherwise(0.0),
+            "faithfulness": F.when(n > 0, faithfulness(scores.cosine("_a", "_j"), scores.overlap("answer", "_joined"))).otherwise(0.0),
+            "answer_relevance": scores.clip(scores.cosine("_q", "_a")),
+            "context_precision": F.when(n > 0, share("_cos", 0.5)).otherwise(0.0),
+            "context_recall": F.when(F.size("relevant") > 0, share("_near", 0.7)).otherwise(0.0),
+            "answer_words": F.size(words("answer")),
+            "context_count": n,
+            "context_words": F.when(n > 0, counted / n).otherwise(0.0),
+        }
+    )
+    return overall(out).drop("_joined", "_q", "_a", "_c", "_r", "_j", "_cos", "_near")
+
+
+def evaluate_system(system: Callable[[DataFrame], DataFrame], dataset: DataFrame, embed: Embed, judge: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The whole loop: dataset (id, question, ground truths, relevant_contexts, difficulty, category) through a system.
+
+    system: from (case_id, question) to (case_id, contexts, answer, error); a case that it does not answer has no
+    contexts, an empty answer and its error, and is left out of the summary. judge: from (q, prompt) to (q, reply).
+    """
+    asked = dataset.select(F.col("id").alias("case_id"), "question", F.col("relevant_contexts").alias("relevant"), "difficulty", "category")
+    said = system(asked.select("case_id", "question")).select("case_id", "contexts", "answer", "error")
+    cases = evaluate_cases(asked.join(said, "case_id", "left"), embed)
+    if judge is not None:
+        asks = cases.select(F.col("case_id").alias("q"), judge_prompt("question", "contexts", "answer").alias("prompt"))
+        marks = judged(judge(asks)).select(F.col("q").alias("case_id"), *(F.col(k).alias(f"judge_{k}") for k in JUDGED))
+        cases = cases.join(marks, "case_id", "left")
+    good = cases.where("error IS NULL")
+    return {"cases": cases, "summary": summary(good), "groups": group_stats(good), "best": top_cases(good), "worst": top_cases(good, False)}
+
+
 def _stats(metrics: Sequence[str]) -> list:
     out = [F.count("*").alias("n")]
     for m in metrics:
@@ -71,11 +128,33 @@ def correlations(cases: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a in metrics for b in metrics))).alias("x")).select("x.*")
 
 
+#: Marks that a judge gives.
+JUDGED = ("context_relevance", "faithfulness", "answer_relevance", "completeness", "clarity")
+
+
+def judge_prompt(question: str | Column, contexts: str | Column, answer: str | Column) -> Column:
+    q, c, a = (F.col(x) if isinstance(x, str) else x for x in (question, contexts, answer))
+    keys = ", ".join(f'"{k}": n' for k in JUDGED)
+    return F.concat(
+        F.lit("Judge the answer by its sources. Give each mark from 1 (worst) to 5 (best) and reply with JSON only: {" + keys + "}\n"),
+        F.lit("Question: "), q, F.lit("\nSources:\n"), F.array_join(c, "\n"), F.lit("\nAnswer: "), a,
+    )
+
+
 def judged(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """The five marks of a judge's reply, from the JSON between its first { and last }, brought from 1..5 to 0..1."""
-    keys = ("context_relevance", "faithfulness", "answer_relevance", "completeness", "clarity")
-    js = F.from_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0), ", ".join(f"{k} double" for k in keys))
-    return replies.withColumn("_j", js).withColumns({k: (F.col(f"_j.{k}") - 1) / 4 for k in keys}).drop("_j")
+    js = F.from_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0), ", ".join(f"{k} double" for k in JUDGED))
+    return replies.withColumn("_j", js).withColumns({k: (F.col(f"_j.{k}") - 1) / 4 for k in JUDGED}).drop("_j")
+
+
+def printed(summary_: DataFrame, groups: DataFrame, best: DataFrame) -> str:
+    """The summary as lines: mean and deviation of each metric, means of each group, the best cases. All three are small."""
+    s = summary_.first()
+    lines = [f"cases: {s['n']}"]
+    lines += [f"{m}: {s[f'avg_{m}']:.3f} +- {s[f'std_{m}']:.3f}" for m in METRICS if s["n"]]
+    lines += [f"{g['key']} {g['value']}: {g['avg_overall_score']:.3f} ({g['n']})" for g in groups.orderBy("key", "value").collect()]
+    lines += [f"{i}. {r['overall_score']:.3f} {r['question']}" for i, r in enumerate(best.collect(), 1)]
+    return "\n".join(lines)
 
 
 def report_rows(cases: DataFrame) -> DataFrame:
@@ -84,4 +163,4 @@ def report_rows(cases: DataFrame) -> DataFrame:
 
 
 def ranked(cases: DataFrame, score: str = "overall_score") -> DataFrame:
-    return cases.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), "case_id")))
+    return numbered(cases, F.desc(score), "case_id", name="rank")

@@ -26,6 +26,20 @@ def http(base: str, model: str, tokens: int = 512, temperature: float = 0.7, tim
     return ask
 
 
+def models(base: str, timeout: float = 5) -> list[str]:
+    """Names of the models that a local completion service has; none if it does not answer."""
+    try:
+        with urllib.request.urlopen(f"{base}/api/tags", timeout=timeout) as r:
+            return [m["name"] for m in json.load(r).get("models", [])]
+    except (OSError, ValueError, KeyError):
+        return []
+
+
+def chosen(wanted: str, have: list[str], others: tuple[str, ...] = ()) -> str | None:
+    """The model wanted if it is there, else the first of the others, else any; None without models."""
+    return next((m for m in (wanted, *others) if m in have), have[0] if have else None)
+
+
 def replies(prompts: DataFrame, ask: Ask, model: str = "") -> DataFrame:
     """(q, text, success, error, model) for prompts (q, prompt); a failing call is a row with its error."""
 
@@ -44,13 +58,14 @@ def replies(prompts: DataFrame, ask: Ask, model: str = "") -> DataFrame:
 
 
 def questions(chunks: DataFrame, ask: Ask, n: int, seed: int = 0, per_paper: int = 3) -> DataFrame:
-    """Synthetic question-answer pairs: n papers by seeded order, some chunks of each, kept if both parts are long enough."""
+    """Synthetic question-answer pairs: n papers by seeded order, two to four chunks of each, kept if both parts are long enough."""
     from pyspark.sql import Window
 
     draw = F.xxhash64(F.lit(seed), "paper_id")
     papers = chunks.select("paper_id").distinct().orderBy(draw, "paper_id").limit(n)
     w = Window.partitionBy("paper_id").orderBy(F.xxhash64(F.lit(seed), "chunk_id"))
-    some = chunks.join(F.broadcast(papers), "paper_id").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_paper)
+    # two chunks of a paper at least, and up to per_paper + 1, by its hash
+    some = chunks.join(papers, "paper_id").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= 2 + F.pmod(F.xxhash64(F.lit(seed + 1), "paper_id"), F.lit(per_paper)))
     context = some.groupBy("paper_id").agg(F.array_sort(F.collect_list("text")).alias("contexts"))
     asked = context.withColumns({"q": F.xxhash64("paper_id"), "prompt": F.concat(F.lit('Write one question and its answer as JSON with "question" and "answer" about:\n'), F.array_join("contexts", "\n"))})
     got = replies(asked, ask).select("q", F.from_json(F.regexp_extract("text", r"(?s)\{.*\}", 0), "question string, answer string").alias("j"))

@@ -20,12 +20,41 @@ TEMPLATES = [
 ]
 
 
-def templates(spark: SparkSession, custom: list[tuple[str, str, str]] | None = None) -> DataFrame:
+#: By intent, for answers with named sources; wording of our own.
+CITED = [
+    ("definition", "You define terms and cite.", "Define the term and cite the sources by number.\n{context}\nQuestion: {query}\nAnswer:"),
+    ("comparison", "You compare and cite.", "Compare point by point and cite the sources by number.\n{context}\nQuestion: {query}\nAnswer:"),
+    ("method", "You explain methods and cite.", "Describe the steps and cite the sources by number.\n{context}\nQuestion: {query}\nAnswer:"),
+    ("recent_work", "You report recent work and cite.", "Report what is new, the latest first, and cite the sources by number.\n{context}\nQuestion: {query}\nAnswer:"),
+    ("general", "You answer and cite.", "Answer from the sources and cite them by number.\n{context}\nQuestion: {query}\nAnswer:"),
+]
+
+
+def templates(spark: SparkSession, custom: list[tuple[str, str, str]] | None = None, base: list[tuple[str, str, str]] = TEMPLATES) -> DataFrame:
     """The template table; custom rows replace those of their type."""
-    rows = {t[0]: t for t in [*TEMPLATES, *(custom or [])]}
+    rows = {t[0]: t for t in [*base, *(custom or [])]}
     return spark.createDataFrame(list(rows.values()), "query_type string, system string, layout string")
 
 
+def template_info(table: DataFrame) -> DataFrame:
+    """(query_type, system_length, layout_length, fields): what each template is made of."""
+    return table.select("query_type", F.length("system").alias("system_length"), F.length("layout").alias("layout_length"), F.regexp_extract_all("layout", F.lit(r"\{(\w+)\}"), F.lit(1)).alias("fields"))
+
+
+def cited_prompts(entries: DataFrame, spark: SparkSession) -> DataFrame:
+    """Prompts by the intent of the question, over the templates that cite. entries: (q, question, place, entry)."""
+    rows = entries.withColumn("query_type", scores.intent("question")["intent"])
+    return prompts(rows, templates(spark, base=CITED))
+
+
+def assembled(answers: DataFrame, citations: DataFrame, most: int = 3) -> DataFrame:
+    """answers (q, answer) and citations (q, place, citation) -> (q, answer, n_citations): the first three follow the answer."""
+    c = citations.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("place", "citation"))).alias("c"))
+    c = c.select("q", F.transform(F.slice("c", 1, most), lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x["citation"])).alias("lines"))
+    out = answers.join(c, "q", "left").withColumn("n_citations", F.greatest(F.size("lines"), F.lit(0)))
+    return out.select("q", F.when(F.col("n_citations") > 0, F.concat("answer", F.lit("\n\nSources:\n"), F.array_join("lines", "\n"))).otherwise(F.col("answer")).alias("answer"), "n_citations")
+
+
 def contexts(results: DataFrame, k: int = 5) -> DataFrame:
     """results (q, question, doc, content, title, section, score, rank) -> the k of highest priority, with their place."""
     r = results.withColumns({"query_type": scores.query_type("question"), "context_type": scores.context_class("section", "title")})

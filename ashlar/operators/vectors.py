@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import scores
 
@@ -39,61 +41,117 @@ class RetrievalConfig:
         return max(2 * k, 20) if self.adaptive else k
 
 
-#: Question vectors up to so many are shipped to every task; more are joined in blocks.
-BLOCK = 4096
+#: Question vectors that are shipped to every task at most, rows that meet them at once, candidates held before they are sorted out.
+BLOCK, SLICE, HELD = 1024, 256, 500_000
+
+
+class Best:
+    """The k best of each question, ties by id, from slices of rows that come one after the other."""
+
+    def __init__(self, names: Sequence[Any], vectors: Sequence[Sequence[float]], k: int) -> None:
+        self.names, self.k = names, k
+        self.by_size = {}
+        for size in {len(v) for v in vectors}:
+            own = [i for i, v in enumerate(vectors) if len(v) == size]
+            m = np.array([vectors[i] for i in own], dtype=np.float64)
+            self.by_size[size] = np.array(own), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        self.least = np.full(len(names), -np.inf)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
+        if x.shape[1] not in self.by_size:
+            return
+        own, m = self.by_size[x.shape[1]]
+        for a in range(0, len(x), SLICE):
+            part = x[a : a + SLICE]
+            part = part / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-300)
+            c = np.round(m @ part.T, 9)  # equal vectors tie
+            i, j = np.nonzero(c >= self.least[own][:, None])
+            self.parts.append((own[i], c[i, j], ids[a + j]))
+            self.held += len(i)
+            if self.held > max(HELD, 2 * self.k * len(self.names)):
+                self.sort_out()
+
+    def sort_out(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=object)
+        q, c, ids = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
+        order = np.lexsort((np.unique(ids, return_inverse=True)[1], -c, q))
+        q, c, ids = q[order], c[order], ids[order]
+        first = np.searchsorted(q, q)
+        place = np.arange(len(q)) - first
+        self.least[q[place == self.k - 1]] = c[place == self.k - 1]
+        keep = place < self.k
+        self.parts, self.held = [(q[keep], c[keep], ids[keep])], int(keep.sum())
+        return self.parts[0]
+
+    def rows(self, q_type: pa.DataType, key_type: pa.DataType) -> pa.RecordBatch:
+        q, c, ids = self.sort_out()
+        return pa.RecordBatch.from_arrays([pa.array([self.names[i] for i in q], q_type), pa.array(ids.tolist(), key_type), pa.array(c, pa.float64())], ["q", "id", "cosine"])
+
+
+def _listed(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of rows with vectors of one length."""
+    sizes = np.diff(vectors.offsets.to_numpy())
+    flat, names = vectors.flatten(), ids.to_numpy(zero_copy_only=False)
+    values, starts = flat.to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(sizes) - sizes
+    for size in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == size)
+        if size:
+            yield names[own], values[starts[own][:, None] + np.arange(size)]
 
 
 def top_k(store: DataFrame, queries: DataFrame, k: int, where: Mapping[str, Any] | None = None, key: str = "vec_id", vector: str = "embedding", q: str = "q", block: int = BLOCK) -> DataFrame:
     """(q, key, cosine, rank): metadata is filtered before ranking, so pushdown and pruning apply.
 
-    Query vectors are collected in blocks of bounded size; every task multiplies its batch with a block and keeps k
-    candidates of each query, so what is shuffled is k rows a query and task.
+    Up to ``block`` questions are shipped to every task, which multiplies slices of its rows with them and keeps a
+    running k of each. More of them are dealt into blocks and the store into tiles, and each block meets each tile in a
+    group of its own. What is shuffled for the ranking is k rows for each question and task or tile.
+
+    Null and empty vectors, those with null or NaN components and those of another length match nothing; a zero vector
+    has cosine 0 with all. Repeated questions are one by their name; repeated ids each count.
     """
     for name, value in (where or {}).items():
         store = store.where(F.col(name) == value)
-    rows = queries.select(F.col(q).alias("q"), F.col(vector).cast("array<double>").alias("v"))
-    out = None
-    for part in _blocks(rows, block):
-        found = _scan(store, part, k, key, vector, queries.schema[q].dataType.simpleString())
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = queries.limit(0).select(F.col(q).alias("q")).crossJoin(store.limit(0).select(key)).withColumn("cosine", F.lit(0.0))
-    order = Window.partitionBy("q").orderBy(F.desc("cosine"), key)
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _blocks(rows: DataFrame, block: int):
-    part: list = []
-    for r in rows.toLocalIterator():
-        part.append(r)
-        if len(part) == block:
-            yield part
-            part = []
-    if part:
-        yield part
-
-
-def _scan(store: DataFrame, part: list, k: int, key: str, vector: str, q_type: str) -> DataFrame:
-    names = [r["q"] for r in part]
-    m = np.array([r["v"] for r in part], dtype=np.float64)
-    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-    def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.vstack(pdf[vector].to_numpy()).astype(np.float64)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            c = np.round(m @ x.T, 9)  # equal vectors tie
-            ids = pdf[key].to_numpy()
-            n = min(k, c.shape[1])
-            # everything at least as good as the n-th best, so that ties are ranked by id later
-            bound = np.partition(c, c.shape[1] - n, axis=1)[:, c.shape[1] - n]
-            i, j = np.nonzero(c >= bound[:, None])
-            yield pd.DataFrame({"q": [names[a] for a in i], key: ids[j], "cosine": c[i, j]})
-
-    kind = store.schema[key].dataType.simpleString()
-    return store.select(key, vector).mapInPandas(run, f"q {q_type}, `{key}` {kind}, cosine double")
+    rows = store.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("size(v) > 0")
+    asked = queries.select(F.col(q).alias("q"), F.col(vector).cast("array<double>").alias("v")).where("size(v) > 0 AND NOT exists(v, x -> x IS NULL)")
+    kinds = to_arrow_schema(rows.select("id").schema).field(0).type, to_arrow_schema(asked.select("q").schema).field(0).type
+    schema = f"q {asked.schema['q'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, cosine double"
+    first = asked.limit(block + 1).collect()
+    found = _shipped(rows, first, k, kinds, schema) if len(first) <= block else _tiled(rows, asked, k, block, kinds, schema)
+    order = Window.partitionBy("q").orderBy(F.desc("cosine"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", F.col("id").alias(key), "cosine", "rank")
+
+
+def _shipped(rows: DataFrame, asked: Sequence[Any], k: int, kinds: tuple, schema: str) -> DataFrame:
+    names, wanted = [r["q"] for r in asked], [r["v"] for r in asked]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(names, wanted, k)
+        for b in batches:
+            for ids, x in _listed(b.column(0), b.column(1)):
+                best.meet(ids, x)
+        yield best.rows(kinds[1], kinds[0])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _tiled(rows: DataFrame, asked: DataFrame, k: int, block: int, kinds: tuple, schema: str) -> DataFrame:
+    blocks = -(-asked.count() // block)
+    tiles = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("tile", F.pmod(F.xxhash64("id", "v"), F.lit(tiles)).cast("int")).withColumn("block", every(blocks))
+    right = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).withColumn("tile", every(tiles))
+
+    def meet(t: pa.Table, asks: pa.Table) -> pa.Table:
+        best = Best(asks.column("q").to_pylist(), asks.column("v").to_pylist(), k)
+        for b in t.to_batches():
+            for ids, x in _listed(b.column("id"), b.column("v")):
+                best.meet(ids, x)
+        return pa.Table.from_batches([best.rows(kinds[1], kinds[0])])
+
+    return left.groupBy("block", "tile").cogroup(right.groupBy("block", "tile")).applyInArrow(meet, schema)
 
 
 def above(results: DataFrame, threshold: float, score: str = "cosine", key: str = "vec_id") -> DataFrame:
@@ -137,14 +195,28 @@ def stats(results: DataFrame, threshold: float, score: str = "cosine") -> DataFr
 
 
 def hashed(text: Column, size: int = 64) -> Column:
-    """A stand-in for a language model's vector: token counts by hash, at length 1. It holds no meaning."""
-    from ..functions.text import letters_tokens
-
-    tokens = letters_tokens(text)
-    spots = F.transform(tokens, lambda t: F.pmod(F.crc32(t.cast("binary")), F.lit(size)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(spots, lambda s: s == i)).cast("double"))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(length > 0, x / length).otherwise(0.0))
+    """A stand-in for a language model's vector: token counts by hash, at length 1. It holds no meaning.
+
+    A token's slot is the first 32 bits of its MD5 modulo size. Slots are counted in two steps, rows of slots first, so
+    that a token is compared with the square root of size slots and not with all.
+    """
+    from ..functions.text import bound, letters_tokens
+
+    wide = math.isqrt(size - 1) + 1
+    slots = F.transform(letters_tokens(text), lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % size).cast("int"))
+
+    def counted(held: Column) -> Column:
+        def row(i: Column) -> Column:
+            own = F.filter(held, lambda s: F.floor(s / wide) == i)
+            return bound(own, lambda x: F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), lambda j: F.size(F.filter(x, lambda s: s % wide == j)).cast("double")))
+
+        return F.slice(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), row)), 1, size)
+
+    def scaled(counts: Column) -> Column:
+        length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
+        return bound(length, lambda n: F.transform(counts, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+
+    return bound(bound(slots, counted), scaled)
 
 
 def concatenated(vectors: list[Column]) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import scores
 from ..functions.text import word_set
+from ..shared import numbered
 
 
 def claims(answers: DataFrame, q: str = "q", text: str = "answer", longer: int = 20, most: int = 10) -> DataFrame:
@@ -44,12 +45,12 @@ def support(stated: DataFrame, sources: DataFrame, least: float = 0.3) -> DataFr
 
 def citations(sources: DataFrame, style: str = "APA") -> DataFrame:
     """One citation for each paper, the first source wins; numbered by first author."""
-    first = Window.partitionBy("paper_id").orderBy("rank")
-    s = sources.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    s = s.withColumn("year", scores.cited_year("published"))
+    first = F.min_by(F.struct("title", "authors", "published"), F.struct("rank", "title"))
+    s = sources.groupBy("paper_id").agg(first.alias("s")).select("paper_id", "s.*")
+    s = s.withColumns({"year": scores.cited_year("published"), "first": F.coalesce(F.try_element_at("authors", F.lit(1)), F.lit("Unknown"))})
     form = scores.ieee if style == "IEEE" else scores.apa
-    order = Window.orderBy(F.coalesce(F.try_element_at("authors", F.lit(1)), F.lit("Unknown")), "paper_id")
-    return s.select("paper_id", "authors", "year", form("authors", "year", "title", "paper_id").alias("citation")).withColumn("number", F.row_number().over(order))
+    s = s.select("paper_id", "authors", "year", form("authors", "year", "title", "paper_id").alias("citation"), "first")
+    return numbered(s, "first", "paper_id").drop("first")
 
 
 def answer_quality(confidence: DataFrame, cited: DataFrame, checked: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import scores, text
-from ..operators import bm25, chunk, curate, evaluate, prompt, ranking, vectors, verify
+from ..operators import bm25, chunk, curate, evaluate, fulltext, prompt, ranking, vectors, verify
+from ..shared import numbered
+from ..sources import remote, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -175,10 +177,10 @@ def retrieval_stats(spark, sf):
     return s.select("q", "n", *(F.round(c, 6).alias(c) for c in ("low", "high", "mean")), "n_above")
 
 
-@query("distance_metrics", "SELECT vec_id, round(greatest(0, 1 - d), 6) AS cosine, round(1 / (1 + d), 6) AS euclidean, round(d, 6) AS dot FROM (SELECT vec_id, abs(embedding[1]::DOUBLE) * 3 AS d FROM embeddings)")
+@query("distance_metrics", f"WITH {KNN_CTE.format(where='')} SELECT q, vec_id, round(greatest(0, 1 - d), 6) AS cosine, round(1 / (1 + d), 6) AS euclidean, round(d, 6) AS dot FROM (SELECT *, round(1 - cosine, 9) AS d FROM top WHERE rank <= 20)")
 def distance_metrics(spark, sf):
-    d = table(spark, sf, "embeddings").withColumn("d", F.abs(F.col("embedding")[0].cast("double")) * 3)
-    return d.select("vec_id", *(F.round(scores.similarity("d", m), 6).alias(m) for m in ("cosine", "euclidean", "dot")))
+    d = vectors.top_k(*_vectors(spark, sf), 20).withColumn("d", F.round(1 - F.col("cosine"), 9))
+    return d.select("q", "vec_id", *(F.round(scores.similarity("d", m), 6).alias(m) for m in ("cosine", "euclidean", "dot")))
 
 
 @query("multi_model_concat", "SELECT vec_id, len(embedding) * 2 AS size, round(list_sum(list_concat(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[]))), 6) AS total FROM embeddings")
@@ -447,34 +449,75 @@ def context_precision(spark, sf):
 
 @query(
     "context_recall",
-    f"""WITH {EVAL_KNN}, rel AS (SELECT a.vec_id AS q, b.vec_id AS relevant_id, b.e FROM v a JOIN v b ON a.label = b.label AND b.vec_id % 50 = 0 WHERE a.vec_id % 20 = 0),
+    f"""WITH {EVAL_KNN}, qs AS (SELECT vec_id AS q, label, e FROM v WHERE vec_id % 20 = 0),
+rel AS (SELECT qs.q, v.vec_id AS relevant_id, v.e FROM qs JOIN v ON v.label = qs.label AND v.vec_id <> qs.q),
 best AS (SELECT rel.q, relevant_id, max(round(list_cosine_similarity(rel.e, v.e), 9)) AS best FROM rel JOIN near ON near.q = rel.q JOIN v ON v.vec_id = near.vec_id GROUP BY ALL)
-SELECT q, round(avg((best > 0.1)::INT), 6) AS context_recall FROM best GROUP BY q""",
+SELECT qs.q, coalesce(r, 0) AS context_recall FROM qs LEFT JOIN (SELECT q, round(avg((best > 0.7)::INT), 6) AS r FROM best GROUP BY q) USING (q)""",
 )
 def context_recall(spark, sf):
+    """Relevant: all other vectors of the question's label; a question without any has 0."""
     e, q = _vectors(spark, sf)
-    # relevant: those of the question's label in the stated set of ids divisible by 50
+    near = _near(spark, sf).select("q", "vec_id").join(e.select("vec_id", "embedding"), "vec_id").groupBy("q").agg(F.collect_list("embedding").alias("found"))
     labels = e.select(F.col("vec_id").alias("q"), "label").join(q.select("q"), "q")
-    rel = labels.join(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("relevant_id"), "label", F.col("embedding").alias("re")), "label").drop("label")
-    near = _near(spark, sf).select("q", "vec_id").join(e.select("vec_id", "embedding"), "vec_id")
-    pairs = rel.join(near, "q").withColumn("cosine", F.round(scores.cosine("re", "embedding"), 9))
-    return evaluate.recall(pairs, "q", least=0.1).select("q", F.round("context_recall", 6).alias("context_recall"))
+    asked = labels.join(near, "q")
+    rel = asked.join(e.select(F.col("vec_id").alias("relevant_id"), "label", "embedding"), "label").where("relevant_id <> q")
+    best = F.array_max(F.transform("found", lambda v: F.round(scores.cosine("embedding", v), 9)))
+    r = evaluate.recall(rel.select("q", "relevant_id", best.alias("cosine")), "q")
+    return labels.select("q").join(r, "q", "left").select("q", F.round(F.coalesce("context_recall", F.lit(0.0)), 6).alias("context_recall"))
 
 
-CASES_SQL = f"""{PAIRS_SQL}, m AS (SELECT q * 1000 + doc AS case_id, question, content AS answer, {_cascade_sql(K.DIFFICULTIES, 'medium')} AS difficulty, section AS category,
-  {QA_OVERLAP} AS context_relevance, {OVERLAP(a=WORDSET('content'), b=WORDSET('question'))} AS faithfulness,
-  least(1, length(question) / 500.0::DOUBLE) AS answer_relevance, CASE WHEN has_code THEN 1.0::DOUBLE ELSE 0 END AS context_precision, CASE WHEN has_formulas THEN 1.0::DOUBLE ELSE 0 END AS context_recall FROM pairs),
+def hashed_sql(text: str, size: int = 64) -> str:
+    """The token counts of vectors.hashed, not scaled: cosines do not see the difference."""
+    slots = f"list_transform({TOKENS(text)}, lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % {size})"
+    return f"(SELECT list_transform(range({size}), lambda i: len(list_filter(s, lambda x: x = i))::DOUBLE) FROM (SELECT {slots} AS s))"
+
+
+def _cos(a: str, b: str) -> str:
+    return f"(CASE WHEN list_sum({a}) > 0 AND list_sum({b}) > 0 THEN list_cosine_similarity({a}, {b}) ELSE 0 END)"
+
+
+CASES_SQL = f"""{PAIRS_SQL}, cc AS (SELECT q, list(content ORDER BY doc) AS contexts FROM pairs GROUP BY q),
+c0 AS (SELECT p.q * 1000 + p.doc AS case_id, question, content AS answer, {_cascade_sql(K.DIFFICULTIES, 'medium')} AS difficulty, section AS category, contexts, array_to_string(contexts, ' ') AS joined FROM pairs p JOIN cc USING (q)),
+h0 AS MATERIALIZED (SELECT case_id, {hashed_sql('question')} AS hq, {hashed_sql('answer')} AS ha, {hashed_sql('joined')} AS hj FROM c0),
+x0 AS MATERIALIZED (SELECT case_id, {hashed_sql('x')} AS hx FROM (SELECT case_id, unnest(contexts) AS x FROM c0)),
+x1 AS MATERIALIZED (SELECT case_id, list(round({_cos('hq', 'hx')}, 9)) AS cs FROM x0 JOIN h0 USING (case_id) GROUP BY case_id),
+m AS MATERIALIZED (SELECT case_id, question, answer, difficulty, category, contexts, least(1, greatest(0, 0.7 * list_sum(cs) / len(cs) + 0.3 * list_max(cs))) AS context_relevance,
+  least(1, greatest(0, 0.7 * {_cos('ha', 'hj')} + 0.3 * {OVERLAP(a=WORDSET('answer'), b=WORDSET('joined'))})) AS faithfulness, least(1, greatest(0, {_cos('hq', 'ha')})) AS answer_relevance,
+  len(list_filter(cs, lambda c: c > 0.5))::DOUBLE / len(cs) AS context_precision, (list_max(cs) > 0.7)::INT::DOUBLE AS context_recall,
+  len({WORDS('answer')}) AS answer_words, len(contexts) AS context_count, list_sum(list_transform(contexts, lambda t: len({WORDS('t')}))) / len(contexts)::DOUBLE AS context_words
+  FROM c0 JOIN h0 USING (case_id) JOIN x1 USING (case_id)),
 cases AS (SELECT *, least(1, greatest(0, 0.25 * context_relevance + 0.3 * faithfulness + 0.25 * answer_relevance + 0.15 * context_precision + 0.05 * context_recall)) AS overall_score FROM m)"""
 
 
 def _cases(spark, sf):
-    p = _pairs(spark, sf).select(
-        (F.col("q") * 1000 + F.col("doc")).alias("case_id"), "question", F.col("content").alias("answer"), F.array("content").alias("contexts"),
-        scores.difficulty("question").alias("difficulty"), F.col("section").alias("category"), scores.overlap("question", "content").alias("context_relevance"),
-        scores.overlap("content", "question").alias("faithfulness"), F.least(F.lit(1.0), F.length("question") / 500).alias("answer_relevance"),
-        F.col("has_code").cast("double").alias("context_precision"), F.col("has_formulas").cast("double").alias("context_recall"),
+    """A case for each user turn: the reply is the answer, all replies of the conversation are the contexts, the question itself what is to be found."""
+    p = _pairs(spark, sf)
+    held = p.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("doc", "content"))).alias("c")).select("q", F.transform("c", lambda x: x["content"]).alias("contexts"))
+    c = p.join(held, "q").select(
+        (F.col("q") * 1000 + F.col("doc")).alias("case_id"), "question", "contexts", F.col("content").alias("answer"), F.array("question").alias("relevant"),
+        scores.difficulty("question").alias("difficulty"), F.col("section").alias("category"),
     )
-    return evaluate.overall(p)
+    return evaluate.evaluate_cases(c, vectors.hashed)
+
+
+@query("case_metrics", f"WITH {CASES_SQL} SELECT case_id, {', '.join(f'round({m}, 6) AS {m}' for m in evaluate.METRICS)}, answer_words, context_count, round(context_words, 6) AS context_words FROM cases")
+def case_metrics(spark, sf):
+    return _cases(spark, sf).select("case_id", *(F.round(m, 6).alias(m) for m in evaluate.METRICS), "answer_words", "context_count", F.round("context_words", 6).alias("context_words"))
+
+
+@query("evaluation_loop", f"WITH {CASES_SQL}, f AS (SELECT *, answer_words % 7 = 0 AS failed FROM cases) SELECT count(*) AS n, round(avg(overall_score), 6) AS avg_overall_score, round(min(answer_relevance), 6) AS min_answer_relevance, round(max(faithfulness), 6) AS max_faithfulness FROM f WHERE NOT failed")
+def evaluation_loop(spark, sf):
+    """The loop over a system that gives the replies as they are, and fails on some."""
+    known = _cases(spark, sf).select("case_id", "question", "contexts", "answer", "relevant", "difficulty", "category", "answer_words")
+    data = known.select(F.col("case_id").alias("id"), "question", F.col("relevant").alias("relevant_contexts"), "difficulty", "category")
+    error = F.when(F.col("answer_words") % 7 == 0, "failed")
+    found = evaluate.evaluate_system(lambda asked: asked.join(known.select("case_id", "contexts", "answer", error.alias("error")), "case_id"), data, vectors.hashed)
+    return found["summary"].select("n", *(F.round(c, 6).alias(c) for c in ("avg_overall_score", "min_answer_relevance", "max_faithfulness")))
+
+
+@query("answer_labels", f"WITH {CASES_SQL} SELECT case_id, CASE WHEN overall_score >= 0.8 THEN 'high' WHEN overall_score >= 0.6 THEN 'medium' WHEN overall_score >= 0.4 THEN 'low' ELSE 'very low' END AS label, CASE WHEN overall_score >= 0.8 THEN 'use as is' WHEN overall_score >= 0.6 THEN 'verify key facts' WHEN overall_score >= 0.4 THEN 'verify further' ELSE 'gather more' END AS recommendation FROM cases")
+def answer_labels(spark, sf):
+    return _cases(spark, sf).select("case_id", scores.confidence_label("overall_score").alias("label"), scores.recommendation("overall_score").alias("recommendation"))
 
 
 @query("faithfulness_lexical", f"WITH {PAIRS_SQL} SELECT q, doc, round({OVERLAP(a=WORDSET('content'), b=WORDSET('question'))}, 6) AS overlap, round({QA_OVERLAP}, 6) AS coverage, len({WORDS('content')}) AS answer_words FROM pairs")
@@ -529,31 +572,49 @@ def metric_corr(spark, sf):
     return evaluate.correlations(_cases(spark, sf), _CORR).select("a", "b", F.round("r", 6).alias("r"))
 
 
-@query("csv_report", f"WITH {CASES_SQL} SELECT case_id, difficulty, category, length(question) AS question_length, length(answer) AS answer_length, 1 AS context_count, {', '.join(f'round({m}, 6) AS {m}' for m in evaluate.METRICS)} FROM cases")
+@query("csv_report", f"WITH {CASES_SQL} SELECT case_id, difficulty, category, length(question) AS question_length, length(answer) AS answer_length, len(contexts) AS context_count, {', '.join(f'round({m}, 6) AS {m}' for m in evaluate.METRICS)} FROM cases")
 def csv_report(spark, sf):
     return _rounded(evaluate.report_rows(_cases(spark, sf)), ["case_id", "difficulty", "category", "question_length", "answer_length", "context_count"])
 
 
-REPLIES = [(1, 'Sure: {"context_relevance": 5, "faithfulness": 4, "answer_relevance": 3, "completeness": 2, "clarity": 1} ok'), (2, "no json"), (3, '{"context_relevance": 1}')]
+REPLIES = [(-1, 'Sure: {"context_relevance": 5, "faithfulness": 4, "answer_relevance": 3, "completeness": 2, "clarity": 1} ok'), (-2, "no json"), (-3, '{"context_relevance": 1}')]
+REPLY_SQL = f"""re AS (SELECT q::BIGINT AS q, reply FROM {values(REPLIES, 'q, reply')} UNION ALL
+SELECT doc_id, 'Marks {{{{"context_relevance": ' || (1 + quality * 4) || ', "faithfulness": 3, "answer_relevance": ' || (1 + doc_id % 5) || ', "completeness": 2, "clarity": ' || (1 + toxic * 4) || '}}}} so' FROM labels)""".replace("{{", "{").replace("}}", "}")
 
 
-@query("judge_parse", f"SELECT q, round((try_cast(j ->> '$.context_relevance' AS DOUBLE) - 1) / 4, 6) AS context_relevance, round((try_cast(j ->> '$.clarity' AS DOUBLE) - 1) / 4, 6) AS clarity FROM (SELECT q, try_cast(nullif(regexp_extract(reply, '(?s)\\{{.*\\}}'), '') AS JSON) AS j FROM {values(REPLIES, 'q, reply')})")
+@query("judge_parse", f"WITH {REPLY_SQL} SELECT q, round((try_cast(j ->> '$.context_relevance' AS DOUBLE) - 1) / 4, 6) AS context_relevance, round((try_cast(j ->> '$.answer_relevance' AS DOUBLE) - 1) / 4, 6) AS answer_relevance, round((try_cast(j ->> '$.clarity' AS DOUBLE) - 1) / 4, 6) AS clarity FROM (SELECT q, try_cast(nullif(regexp_extract(reply, '(?s)\\{{.*\\}}'), '') AS JSON) AS j FROM re)")
 def judge_parse(spark, sf):
-    j = evaluate.judged(literals(spark, REPLIES, "q int, reply string"))
-    return j.select("q", F.round("context_relevance", 6).alias("context_relevance"), F.round("clarity", 6).alias("clarity"))
+    marks = table(spark, sf, "labels").select(
+        F.col("doc_id").alias("q"),
+        F.concat(F.lit('Marks {"context_relevance": '), (1 + F.col("quality") * 4).cast("string"), F.lit(', "faithfulness": 3, "answer_relevance": '), (1 + F.col("doc_id") % 5).cast("string"), F.lit(', "completeness": 2, "clarity": '), (1 + F.col("toxic") * 4).cast("string"), F.lit("} so")).alias("reply"),
+    )
+    j = evaluate.judged(literals(spark, REPLIES, "q long, reply string").unionByName(marks))
+    return j.select("q", *(F.round(c, 6).alias(c) for c in ("context_relevance", "answer_relevance", "clarity")))
 
 
 # --- curation -----------------------------------------------------------------------------------------------------------
-def _papers(spark):
-    return literals(spark, PAPERS, PAPER_SCHEMA)
+def _papers(spark, sf):
+    """The literal papers, and every document as a paper: its first line is the title, its text the abstract, the rest follows from its numbers."""
+    d = table(spark, sf, "documents")
+    n, i = F.col("n_chars"), F.col("doc_id")
+    venues = F.array(*map(F.lit, K.VENUES))
+    made = d.select(
+        F.concat(F.lit("d"), i.cast("string")).alias("id"), F.split("text", "\n")[0].alias("title"), F.col("text").alias("abstract"),
+        F.slice(F.array("source", "lang", F.lit("X. Xi"), F.lit("Y. Ypsilon")), F.lit(1), (i % 5).cast("int")).alias("authors"),
+        F.when(i % 7 != 0, F.concat((2010 + n % 15).cast("string"), F.lit("-01-01"))).otherwise("n.d.").alias("published"), F.when(i % 11 != 0, (2010 + n % 15).cast("int")).alias("year"),
+        (n * 7 % 60000).cast("long").alias("citations"), ((n % 200) / 100).alias("quality"), F.concat(F.element_at(venues, (i % 32 % 16 + 1).cast("int")), F.lit(" "), (i % 3).cast("string")).alias("venue"), "source",
+    )
+    return literals(spark, PAPERS, PAPER_SCHEMA).unionByName(made)
 
 
-P_SQL = f"p AS (SELECT id, title, abstract, authors, published, year::INT AS year, citations::BIGINT AS citations, quality::DOUBLE AS quality, venue, source FROM {values(PAPERS, PAPER_NAMES)})"
+P_SQL = f"""p AS (SELECT id, title, abstract, authors, published, year::INT AS year, citations::BIGINT AS citations, quality::DOUBLE AS quality, venue, source FROM {values(PAPERS, PAPER_NAMES)}
+UNION ALL SELECT 'd' || doc_id, string_split(text, chr(10))[1], text, ([source, lang, 'X. Xi', 'Y. Ypsilon'])[1:(doc_id % 5)], CASE WHEN doc_id % 7 <> 0 THEN (2010 + n_chars % 15) || '-01-01' ELSE 'n.d.' END,
+  CASE WHEN doc_id % 11 <> 0 THEN (2010 + n_chars % 15)::INT END, (n_chars * 7 % 60000)::BIGINT, (n_chars % 200) / 100.0::DOUBLE, ({K.VENUES!r})[(doc_id % 32 % 16 + 1)] || ' ' || (doc_id % 3), source FROM documents)"""
 
 
-@query("corpus_filter", f"WITH {P_SQL} SELECT id, 'Title: ' || title || chr(10) || chr(10) || 'Abstract: ' || abstract AS content FROM p WHERE length(title) >= 10 AND length(abstract) >= 50")
+@query("corpus_filter", f"WITH {P_SQL} SELECT id, md5('Title: ' || title || chr(10) || chr(10) || 'Abstract: ' || abstract) AS content_md5 FROM p WHERE length(title) >= 10 AND length(abstract) >= 50")
 def corpus_filter(spark, sf):
-    return curate.admit(_papers(spark)).select("id", F.concat(F.lit("Title: "), "title", F.lit("\n\nAbstract: "), "abstract").alias("content"))
+    return curate.admit(_papers(spark, sf)).select("id", F.md5(F.concat(F.lit("Title: "), "title", F.lit("\n\nAbstract: "), "abstract").cast("binary")).alias("content_md5"))
 
 
 @query(
@@ -563,35 +624,60 @@ def corpus_filter(spark, sf):
   * (1 + CASE WHEN length(abstract) > 500 THEN 0.1 ELSE 0 END + CASE WHEN {' OR '.join(f"contains(lower(title), '{w}')" for w in K.TITLE_WORDS_A)} THEN 0.1 ELSE 0 END)), 6) AS score FROM p""",
 )
 def quality_score_a(spark, sf):
-    p = _papers(spark).withColumn("top_venue", scores.in_venues("venue"))
+    p = _papers(spark, sf).withColumn("top_venue", scores.in_venues("venue"))
     return p.select("id", F.round(scores.quality_a("citations", "year", "title", "abstract", "top_venue", 2024), 6).alias("score"))
 
 
 @query("quality_score_b", f"WITH {P_SQL} SELECT id, round(least(coalesce(citations, 0) / 10000::DOUBLE, 2) + 0.1::DOUBLE * ({' + '.join(f'''contains(lower(title), '{w}')::INT''' for w in K.TITLE_WORDS_B)}) + CASE WHEN length(abstract) > 1000 THEN 0.2 WHEN length(abstract) > 500 THEN 0.1 ELSE 0 END, 6) AS score FROM p")
 def quality_score_b(spark, sf):
-    return _papers(spark).select("id", F.round(scores.quality_b("citations", "title", "abstract"), 6).alias("score"))
+    return _papers(spark, sf).select("id", F.round(scores.quality_b("citations", "title", "abstract"), 6).alias("score"))
 
 
 @query("corpus_sort", f"WITH {P_SQL}, s AS (SELECT id, round(coalesce(citations, 0) * 0.6::DOUBLE + coalesce(quality, 0) * 30 + (coalesce(year, 0) - 2015), 6) AS score FROM p) SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS place FROM s")
 def corpus_sort(spark, sf):
-    s = _papers(spark).select("id", F.round(scores.corpus_score("citations", "quality", "year"), 6).alias("score"))
-    return s.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+    s = _papers(spark, sf).select("id", F.round(scores.corpus_score("citations", "quality", "year"), 6).alias("score"))
+    return numbered(s, F.desc("score"), "id", name="place")
+
+
+@query("collected_sort", f"WITH {P_SQL}, s AS (SELECT id, round(coalesce(citations, 0) * 0.7::DOUBLE + coalesce(quality, 0) * 30, 6) AS score FROM p) SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS place FROM s")
+def collected_sort(spark, sf):
+    s = _papers(spark, sf).select("id", F.round(scores.collected_score("citations", "quality"), 6).alias("score"))
+    return numbered(s, F.desc("score"), "id", name="place")
+
+
+@query("corpus_statistics", f"WITH {P_SQL} SELECT 'year' AS by, year::VARCHAR AS value, count(*) AS n, round(avg(citations), 6) AS avg_citations, round(avg(quality), 6) AS avg_quality FROM p WHERE year IS NOT NULL GROUP BY year UNION ALL SELECT 'venue', venue, count(*), round(avg(citations), 6), round(avg(quality), 6) FROM p WHERE venue IS NOT NULL GROUP BY venue")
+def corpus_statistics(spark, sf):
+    s = curate.statistics(_papers(spark, sf), ("year", "venue"), "citations", "quality")
+    return s.select("by", "value", "n", F.round("avg_citations", 6).alias("avg_citations"), F.round("avg_quality", 6).alias("avg_quality"))
+
+
+@query("paper_urls", "SELECT doc_id, 'https://arxiv.org/abs/' || doc_id AS url, 'https://arxiv.org/pdf/' || doc_id || '.pdf' AS pdf_url FROM documents")
+def paper_urls(spark, sf):
+    name = F.concat(F.col("doc_id").cast("string"), F.lit("v"), (F.col("doc_id") % 3 + 1).cast("string"))
+    return table(spark, sf, "documents").select("doc_id", *(c.alias(k) for k, c in scores.arxiv_urls(name).items()))
+
+
+@query("search_filter", f"""WITH {P_SQL}, f AS (SELECT id, min(source) AS keyword FROM p WHERE length(trim(coalesce(abstract, ''))) > 0 AND ({' OR '.join(f"contains(lower(coalesce(venue, '')), '{v.lower()}')" for v in K.VENUES)}) AND id NOT IN (SELECT 'd' || doc_id FROM labels) GROUP BY id) SELECT id, keyword FROM f""")
+def search_filter(spark, sf):
+    found = _papers(spark, sf).withColumn("keyword", F.col("source"))
+    seen = table(spark, sf, "labels").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"))
+    return remote.wanted(found, seen, venues_only=True).select("id", "keyword")
 
 
 @query("integration_report", f"WITH {P_SQL} SELECT count(*) AS total, count(*) FILTER (citations > 0) AS cited, round(avg(citations) FILTER (citations > 0), 6) AS avg_citations, max(citations) AS max_citations, count(*) FILTER (citations >= 100) AS highly_cited, round(avg(quality), 6) AS avg_quality FROM p")
 def integration_report(spark, sf):
-    r = curate.report(_papers(spark), "citations", "quality")
+    r = curate.report(_papers(spark, sf), "citations", "quality")
     return r.select("total", "cited", F.round("avg_citations", 6).alias("avg_citations"), "max_citations", "highly_cited", F.round("avg_quality", 6).alias("avg_quality"))
 
 
 @query("top_years", f"WITH {P_SQL} SELECT year, count(*) AS n FROM p WHERE year IS NOT NULL GROUP BY year ORDER BY n DESC, year DESC LIMIT 5")
 def top_years(spark, sf):
-    return curate.top_years(_papers(spark))
+    return curate.top_years(_papers(spark, sf))
 
 
 @query("citation_floor", f"WITH {P_SQL} SELECT id, CASE WHEN coalesce(year, 0) >= 2020 THEN 16 WHEN coalesce(year, 0) >= 2018 THEN 25 ELSE 50 END AS floor, substr(published, 1, 4) AS prefix, try_cast(CASE WHEN regexp_full_match(substr(published, 1, 4), '\\d+') THEN substr(published, 1, 4) END AS INT) AS y FROM p")
 def citation_floor(spark, sf):
-    return _papers(spark).select("id", scores.citation_floor("year", 50).alias("floor"), F.substring("published", 1, 4).alias("prefix"), scores.year_of("published").alias("y"))
+    return _papers(spark, sf).select("id", scores.citation_floor("year", 50).alias("floor"), F.substring("published", 1, 4).alias("prefix"), scores.year_of("published").alias("y"))
 
 
 @query("year_source_distribution", "SELECT 'source' AS by, source AS value, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source UNION ALL SELECT 'lang', lang, count(*) FROM documents WHERE lang IS NOT NULL GROUP BY lang")
@@ -628,10 +714,9 @@ def dedup_theta_anti(spark, sf):
     return curate.not_duplicates(d.join(known, "id", "left_anti"), d.join(known, "id", "left_semi")).select("id")
 
 
-@query("seen_filter", "SELECT source AS id, arg_min(doc_id, doc_id) AS first_doc FROM documents GROUP BY source")
+@query("seen_filter", "SELECT source AS id, min(doc_id) AS batch, arg_min(lang, doc_id) AS lang FROM documents GROUP BY source")
 def seen_filter(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("source").alias("id"), F.col("doc_id").alias("batch"))
-    return d.groupBy("id").agg(F.min("batch").alias("first_doc"))
+    return curate.first_seen(table(spark, sf, "documents").select(F.col("source").alias("id"), F.col("doc_id").alias("batch"), "lang"))
 
 
 @query("downloaded_anti_join", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -659,54 +744,119 @@ def clean_chunk_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(text.clean_chunk("text").cast("binary")).alias("text_md5"))
 
 
-T_SQL = f"tx AS (SELECT doc_id, text FROM {values(TEXTS, 'doc_id, text')})"
+T_SQL = f"tx AS (SELECT doc_id::BIGINT AS doc_id, text FROM {values(TEXTS, 'doc_id, text')} UNION ALL SELECT doc_id + 1000, text FROM documents)"
+LINES_SQL = f"{T_SQL}, l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM tx))"
+HEADING_SQL = "CASE WHEN length(trim(line)) BETWEEN 3 AND 100 THEN CASE " + " ".join("WHEN " + " OR ".join(f"regexp_matches(trim(line), '(?i){p}')" for p in ps) + f" THEN '{k}'" for k, ps in K.SECTION_LINES.items()) + " END END"
+CONFIDENCE_SQL = (
+    r"round(least(1, 0.5 + CASE WHEN regexp_matches(h, '^\d+\.?\s*') THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(h, '\p{L}') AND (upper(h) = h OR regexp_matches(h, '^[^\p{L}]*(\p{Lu}\p{Ll}*[^\p{L}]+)*\p{Lu}\p{Ll}*[^\p{L}]*$')) THEN 0.1 ELSE 0 END"
+    " + CASE WHEN (section = 'abstract' AND contains(lower(h), 'abstract')) OR (section = 'reference' AND (contains(lower(h), 'reference') OR contains(lower(h), 'bibliography'))) THEN 0.3 ELSE 0 END), 6)::DOUBLE"
+)
+
+
+def _texts(spark, sf):
+    return literals(spark, TEXTS, "doc_id long, text string").unionByName(table(spark, sf, "documents").select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
 
 
-@query("section_split", f"WITH {T_SQL}, l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM tx)), s AS (SELECT *, CASE " + " ".join(f"WHEN regexp_matches(trim(lower(line)), '^({p})') THEN '{s}'" for s, p in K.SECTION_STARTS) + " END AS section FROM l) SELECT doc_id, line_no::INT AS line_no, section, (sum((section IS NOT NULL)::INT) OVER (PARTITION BY doc_id ORDER BY line_no))::BIGINT AS section_no FROM s")
+@query("section_split", f"WITH {LINES_SQL}, s AS (SELECT *, CASE " + " ".join(f"WHEN regexp_matches(trim(lower(line)), '^({p})') THEN '{k}'" for k, p in K.SECTION_STARTS) + " END AS section FROM l) SELECT doc_id, line_no::INT AS line_no, section, (sum((section IS NOT NULL)::INT) OVER (PARTITION BY doc_id ORDER BY line_no))::BIGINT AS section_no FROM s")
 def section_split(spark, sf):
-    lines = chunk.lines_of(literals(spark, TEXTS, "doc_id int, text string"))
     order = Window.partitionBy("doc_id").orderBy("line_no")
-    s = lines.withColumn("section", text.section_of("line"))
+    s = chunk.lines_of(_texts(spark, sf)).withColumn("section", text.section_of("line"))
     return s.select("doc_id", "line_no", "section", F.sum(F.col("section").isNotNull().cast("int")).over(order).alias("section_no"))
 
 
-@query(
-    "heading_sections",
-    f"WITH {T_SQL}, l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, trim(unnest(ls)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM tx)), s AS (SELECT *, CASE WHEN length(line) BETWEEN 3 AND 100 THEN CASE "
-    + " ".join(f"WHEN regexp_matches(line, '(?i)^({p})$') THEN '{s}'" for s, p in K.SECTION_LINES)
-    + " END END AS section FROM l) SELECT doc_id, line_no::INT AS line_no, section, lead(line_no::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS next_line, "
-    + r"round(least(1, 0.5 + CASE WHEN regexp_matches(line, '^\d+\.?\s*') THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(line, '\p{L}') AND (upper(line) = line OR regexp_matches(line, '^[^\p{L}]*(\p{Lu}\p{Ll}*[^\p{L}]+)*\p{Lu}\p{Ll}*[^\p{L}]*$')) THEN 0.1 ELSE 0 END"
-    + " + CASE WHEN (section = 'abstract' AND contains(lower(line), 'abstract')) OR (section = 'reference' AND (contains(lower(line), 'reference') OR contains(lower(line), 'bibliography'))) THEN 0.3 ELSE 0 END), 6)::DOUBLE AS confidence FROM s WHERE section IS NOT NULL",
-)
+@query("heading_sections", f"WITH {LINES_SQL}, s AS (SELECT *, trim(line) AS h, {HEADING_SQL} AS section FROM l) SELECT doc_id, line_no::INT AS line_no, section, lead(line_no::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS next_line, {CONFIDENCE_SQL} AS confidence FROM s WHERE section IS NOT NULL")
 def heading_sections(spark, sf):
-    lines = chunk.lines_of(literals(spark, TEXTS, "doc_id int, text string")).withColumn("section", text.heading_of("line")).where("section is not null")
+    lines = chunk.lines_of(_texts(spark, sf)).withColumn("section", text.heading_of("line")).where("section is not null")
     order = Window.partitionBy("doc_id").orderBy("line_no")
     return lines.select("doc_id", "line_no", "section", F.lead("line_no").over(order).alias("next_line"), F.round(text.heading_confidence("line", "section"), 6).alias("confidence"))
 
 
+CONTENT_SQL = f"""{LINES_SQL}, s AS (SELECT *, trim(line) AS h, {HEADING_SQL} AS section FROM l),
+b AS (SELECT *, {CONFIDENCE_SQL} AS confidence, lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS next_line FROM s WHERE section IS NOT NULL),
+sc AS (SELECT b.doc_id, b.line_no AS start, b.section, b.h AS title, b.confidence, trim(string_agg(l.line, chr(10) ORDER BY l.line_no)) AS content FROM b JOIN l ON l.doc_id = b.doc_id AND l.line_no > b.line_no AND (b.next_line IS NULL OR l.line_no < b.next_line) GROUP BY ALL)"""
+
+
+@query("section_contents", f"WITH {CONTENT_SQL} SELECT doc_id, start::INT AS start, section, title, confidence, content FROM sc WHERE regexp_matches(content, '\\S')")
+def section_contents(spark, sf):
+    s = fulltext.section_contents(chunk.lines_of(_texts(spark, sf)))
+    return s.select("doc_id", "start", "section", "title", F.round("confidence", 6).alias("confidence"), "content")
+
+
+@query("long_sections", f"WITH {CONTENT_SQL} SELECT doc_id, start::INT AS start, length(content)::INT AS length FROM sc WHERE length(trim(content)) > 20")
+def long_sections(spark, sf):
+    s = fulltext.long_sections(fulltext.section_contents(chunk.lines_of(_texts(spark, sf))), 20)
+    return s.select("doc_id", "start", F.length("content").alias("length"))
+
+
+# --- full texts of papers ------------------------------------------------------------------------------------------------
+FILES_SQL = "fl AS (SELECT 'd' || page_id AS id, 'files/d' || page_id || 'v' || (page_id % 3) || '.pdf' AS path FROM pages)"
+
+
+def _files(spark, sf):
+    i = F.col("page_id").cast("string")
+    path = F.concat(F.lit("files/d"), i, F.lit("v"), (F.col("page_id") % 3).cast("string"), F.lit(".pdf"))
+    return table(spark, sf, "pages").select(path.alias("path")).withColumn("id", F.regexp_extract("path", r"([^/]*)v\d+\.[^./]*$", 1))
+
+
+@query("papers_files", f"WITH {FILES_SQL} SELECT doc_id, path FROM documents JOIN fl ON fl.id = 'd' || doc_id UNION ALL SELECT doc_id, NULL FROM documents WHERE 'd' || doc_id NOT IN (SELECT id FROM fl)")
+def papers_files(spark, sf):
+    p = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"))
+    files = _files(spark, sf)
+    return fulltext.with_files(p, files).select("doc_id", "path").unionByName(fulltext.without_files(p, files).select("doc_id", F.lit(None).cast("string").alias("path")))
+
+
+PROCESSED_SQL = "pp AS (SELECT conv_id AS id, count(*) AS n, count(*) FILTER (turn % 4 <> 0 AND conv_id % 5 <> 0) AS other, bool_or(role = 'assistant') AS pdf_processed FROM conversations GROUP BY conv_id)"
+
+
+def _processed(spark, sf):
+    """Conversations as papers: each turn is a chunk, every fourth of an abstract; in every fifth conversation all are."""
+    section = F.struct(F.when((F.col("turn") % 4 == 0) | (F.col("conv_id") % 5 == 0), "abstract").otherwise("content").alias("section_type"))
+    c = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("id"))
+    return c.agg(F.collect_list(F.struct(F.col("text"), section.alias("metadata"))).alias("processed_chunks"), F.bool_or(F.col("role") == "assistant").alias("pdf_processed"))
+
+
+@query("unprocessed_papers", f"WITH {PROCESSED_SQL} SELECT id FROM pp WHERE NOT (n > 1 AND other > 0)")
+def unprocessed_papers(spark, sf):
+    return fulltext.unprocessed(_processed(spark, sf)).select("id")
+
+
+@query("fulltext_report", f"WITH {PROCESSED_SQL} SELECT count(*) AS processed, round(avg(n), 6) AS avg_chunks FROM pp WHERE n > 1 AND pdf_processed")
+def fulltext_report(spark, sf):
+    return fulltext.report(_processed(spark, sf)).select("processed", F.round("avg_chunks", 6).alias("avg_chunks"))
+
+
+@query("system_status", "SELECT (SELECT count(*) FROM documents) AS papers, count(*) AS chunks, count(DISTINCT conv_id) AS with_chunks, round(count(*)::DOUBLE / greatest((SELECT count(*) FROM documents), 1), 6) AS chunks_per_paper FROM conversations")
+def system_status(spark, sf):
+    s = fulltext.status(table(spark, sf, "documents"), table(spark, sf, "conversations"), "conv_id")
+    return s.withColumn("chunks_per_paper", F.round("chunks_per_paper", 6))
+
+
+@query("chunk_enrichment", "SELECT doc_id, contains(lower(text), 'references') AS has_citations, false AS has_code, '2.0' AS processing_version FROM documents")
+def chunk_enrichment(spark, sf):
+    return fulltext.enriched(table(spark, sf, "documents")).select("doc_id", "has_citations", "has_code", "processing_version")
+
+
 _FEATURES = {"has_formulas": K.HAS_FORMULAS, "has_code": K.HAS_CODE, "has_citations": K.HAS_CITATIONS, "has_numbers": K.HAS_NUMBERS, "has_urls": K.HAS_URLS}
 
 
-@query("content_features", f"WITH {T_SQL}, x AS (SELECT doc_id, text FROM tx UNION ALL SELECT doc_id + 1000, text FROM documents) SELECT doc_id, " + ", ".join(f"regexp_matches(text, '{p}') AS {k}" for k, p in _FEATURES.items()) + r", len(list_filter(string_split(text, chr(10) || chr(10)), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g')) <> '')) AS paragraph_count, len(regexp_extract_all(text, '[.!?]+')) AS sentence_count FROM x")
+@query("content_features", f"WITH {T_SQL} SELECT doc_id, " + ", ".join(f"regexp_matches(text, '{'(?i)' * (k in ('has_formulas', 'has_code'))}{p}') AS {k}" for k, p in _FEATURES.items()) + r", len(list_filter(string_split(text, chr(10) || chr(10)), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g')) <> '')) AS paragraph_count, len(regexp_extract_all(text, '[.!?]+')) AS sentence_count FROM tx")
 def content_features(spark, sf):
-    x = literals(spark, TEXTS, "doc_id long, text string").unionByName(table(spark, sf, "documents").select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
-    return x.select("doc_id", *(v.alias(k) for k, v in text.content_features("text").items()))
+    return _texts(spark, sf).select("doc_id", *(v.alias(k) for k, v in text.content_features("text").items()))
 
 
-@query("document_detectors", f"WITH {T_SQL} SELECT doc_id, {' OR '.join(f'''regexp_matches(text, '{p}')''' for p in K.FORMULA_MARKS)} AS formulas, {' OR '.join(f'''regexp_matches(text, '{p}')''' for p in K.TABLE_MARKS)} AS tables, {' OR '.join(f'''regexp_matches(text, '{p}')''' for p in K.FIGURE_MARKS)} AS figures FROM tx")
+@query("document_detectors", f"WITH {T_SQL} SELECT doc_id, {' OR '.join(f'''regexp_matches(text, '{p}')''' for p in K.FORMULA_MARKS)} AS formulas, {' OR '.join(f'''regexp_matches(text, '(?i){p}')''' for p in K.TABLE_MARKS)} AS tables, {' OR '.join(f'''regexp_matches(text, '(?i){p}')''' for p in K.FIGURE_MARKS)} AS figures FROM tx")
 def document_detectors(spark, sf):
-    return literals(spark, TEXTS, "doc_id int, text string").select("doc_id", text.has_formulas("text").alias("formulas"), text.has_tables("text").alias("tables"), text.has_figures("text").alias("figures"))
+    return _texts(spark, sf).select("doc_id", text.has_formulas("text").alias("formulas"), text.has_tables("text").alias("tables"), text.has_figures("text").alias("figures"))
 
 
-@query("language_detect", f"WITH {T_SQL}, x AS (SELECT doc_id, text FROM tx UNION ALL SELECT doc_id + 1000, text FROM documents) SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '[一-鿿]')) > len(list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Za-z]+'))) * 0.5 THEN 'zh' ELSE 'en' END AS language FROM x")
+@query("language_detect", f"WITH {T_SQL} SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '[一-鿿]')) > len(list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Za-z]+'))) * 0.5 THEN 'zh' ELSE 'en' END AS language FROM tx")
 def language_detect(spark, sf):
-    x = literals(spark, TEXTS, "doc_id long, text string").unionByName(table(spark, sf, "documents").select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
-    return x.select("doc_id", text.language("text").alias("language"))
+    return _texts(spark, sf).select("doc_id", text.language("text").alias("language"))
 
 
-@query("title_abstract", f"WITH {T_SQL} SELECT doc_id, coalesce(list_filter(list_transform(string_split(text, chr(10))[1:20], lambda x: trim(x)), lambda x: length(x) > 10 AND length(x) < 200 AND NOT ({' OR '.join(f'''contains(lower(x), '{w}')''' for w in K.NOT_TITLES)}))[1], 'Unknown Title') AS title, CASE WHEN doc_id = 1 THEN 'We show that it works well. It is fast.' ELSE '' END AS abstract FROM tx")
+@query("title_abstract", f"WITH {T_SQL} SELECT doc_id, coalesce(list_filter(list_transform(string_split(text, chr(10))[1:20], lambda x: trim(x)), lambda x: length(x) > 10 AND length(x) < 200 AND NOT ({' OR '.join(f'''contains(lower(x), '{w}')''' for w in K.NOT_TITLES)}))[1], 'Unknown Title') AS title, substr(trim(regexp_replace(regexp_extract(text, '(?is)abstract\\s*[:\\-]?\\s*\\n(.*?)\\n\\s*(?:1\\.?\\s*introduction|keywords|key\\s*words|\\n\\s*\\n)', 1), '\\s+', ' ', 'g')), 1, 2000) AS abstract FROM tx")
 def title_abstract(spark, sf):
-    return literals(spark, TEXTS, "doc_id int, text string").select("doc_id", text.title_of("text").alias("title"), text.abstract_of("text").alias("abstract"))
+    return _texts(spark, sf).select("doc_id", text.title_of("text").alias("title"), text.abstract_of("text").alias("abstract"))
 
 
 @query("page_title_paragraphs", "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages")
@@ -714,39 +864,74 @@ def page_title_paragraphs(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<p>")).alias("paragraphs"))
 
 
-@query("store_statistics", "SELECT coalesce(label::VARCHAR, 'unknown') AS section, count(*) AS total, count(DISTINCT vec_id) AS papers, count(*) FILTER (embedding[1] > 0) AS flagged FROM embeddings GROUP BY 1")
+@query("store_statistics", f"SELECT coalesce(nullif(lang, 'en'), 'unknown') AS section, count(*) AS total, count(DISTINCT source) AS papers, " + ", ".join(f"count(*) FILTER (regexp_matches(text, '{'(?i)' * (k != 'has_citations')}{_FEATURES[k]}')) AS {k}" for k in ("has_formulas", "has_code", "has_citations")) + " FROM documents GROUP BY 1")
 def store_statistics(spark, sf):
-    e = table(spark, sf, "embeddings").withColumn("section", F.coalesce(F.col("label").cast("string"), F.lit("unknown")))
-    return e.groupBy("section").agg(F.count("*").alias("total"), F.count_distinct("vec_id").alias("papers"), F.count_if(F.col("embedding")[0] > 0).alias("flagged"))
+    flags = text.content_features("text")
+    rows = table(spark, sf, "documents").select(F.nullif(F.col("lang"), F.lit("en")).alias("section"), F.col("source").alias("paper_id"), *(flags[k].alias(k) for k in ("has_formulas", "has_code", "has_citations")))
+    return store.statistics(rows)
 
 
-@query("embedding_cache", "SELECT d.doc_id, md5('hash64:' || text) AS key, l.doc_id IS NOT NULL AS hit FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id")
+@query("embedding_cache", "WITH k AS (SELECT DISTINCT md5('hash64:' || text) AS key FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) SELECT d.doc_id, md5('hash64:' || text) AS key, k.key IS NOT NULL AS hit, CASE WHEN k.key IS NOT NULL THEN -1 ELSE length(text) END::DOUBLE AS first FROM documents d LEFT JOIN k ON k.key = md5('hash64:' || text)")
 def embedding_cache(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.md5(F.concat(F.lit("hash64:"), "text").cast("binary")).alias("key"))
-    known = table(spark, sf, "labels").select("doc_id").distinct().withColumn("known", F.lit(True))
-    return d.join(known, "doc_id", "left").select("doc_id", "key", F.col("known").isNotNull().alias("hit"))
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    known = d.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    cache = known.select(store.cache_key("hash64", F.col("text")).alias("key")).distinct().withColumn("embedding", F.array(F.lit(-1.0)))
+    return store.cached(d, cache, "hash64", lambda t: F.array(F.length(t).cast("double"))).select("doc_id", "key", "hit", F.col("embedding")[0].alias("first"))
 
 
 # --- claims and citations -------------------------------------------------------------------------------------------------
 _CLAIMS = "list_concat(list_concat({0}, {1}), {2})".format(*(f"regexp_extract_all(answer, '{p}', 0)" for p in K.CLAIMS))
-CLAIM_SQL = f"""an AS (SELECT * FROM {values([(1, ANSWER)], 'q, answer')}),
+CLAIM_SQL = f"""an AS (SELECT q::BIGINT AS q, answer FROM {values([(-1, ANSWER)], 'q, answer')} UNION ALL SELECT conv_id, string_agg(text, ' ' ORDER BY turn) FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
 al AS (SELECT q, list_filter(list_transform({_CLAIMS}, lambda x: trim(x)), lambda x: length(x) > 20) AS l FROM an),
-cl AS (SELECT q, list_position(l, claim) AS at, claim FROM (SELECT q, l, unnest(list_distinct(l)) AS claim FROM al)),
-src AS (SELECT 1 AS q, paper AS doc, content FROM {values(SOURCES, 'author, paper, content, score, section, rank')})"""
+cl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY pos) AS n FROM (SELECT q, list_position(l, claim) AS pos, claim FROM (SELECT q, l, unnest(list_distinct(l)) AS claim FROM al))) WHERE n <= 10),
+src AS (SELECT -1::BIGINT AS q, content FROM {values(SOURCES, 'author, paper, content, score, section, rank')} UNION ALL SELECT conv_id, text FROM conversations)"""
 
 
 @query(
     "claim_support",
-    f"""WITH {CLAIM_SQL}, pr AS (SELECT claim, {OVERLAP(a=WORDSET('claim'), b=WORDSET('content'))} AS rel,
+    f"""WITH {CLAIM_SQL}, pr AS (SELECT q, claim, {OVERLAP(a=WORDSET('claim'), b=WORDSET('content'))} AS rel,
   sign(({' + '.join(f"contains(lower(content), '{w}')::INT" for w in K.SUPPORT)}) - ({' + '.join(f"contains(lower(content), '{w}')::INT" for w in K.CONTRADICT)})) AS side FROM cl JOIN src USING (q)),
-g AS (SELECT claim, count(*) FILTER (rel > 0.3 AND side > 0) AS supporting, count(*) FILTER (rel > 0.3 AND side < 0) AS contradicting, avg(rel) FILTER (rel > 0.3) AS r FROM pr GROUP BY claim),
+g AS (SELECT q, claim, count(*) FILTER (rel > 0.3 AND side > 0) AS supporting, count(*) FILTER (rel > 0.3 AND side < 0) AS contradicting, avg(rel) FILTER (rel > 0.3) AS r FROM pr GROUP BY q, claim),
 h AS (SELECT *, CASE WHEN supporting + contradicting > 0 THEN supporting::DOUBLE / (supporting + contradicting) * r ELSE 0 END AS confidence FROM g)
-SELECT claim, supporting, contradicting, round(confidence, 6) AS confidence, CASE WHEN supporting + contradicting = 0 THEN 'insufficient_data' WHEN confidence >= 0.8 THEN 'strong' WHEN confidence >= 0.6 THEN 'moderate' WHEN confidence >= 0.4 THEN 'weak' WHEN contradicting > 0 THEN 'contradicted' ELSE 'weak' END AS level FROM h""",
+SELECT q, claim, supporting, contradicting, round(confidence, 6) AS confidence, CASE WHEN supporting + contradicting = 0 THEN 'insufficient_data' WHEN confidence >= 0.8 THEN 'strong' WHEN confidence >= 0.6 THEN 'moderate' WHEN confidence >= 0.4 THEN 'weak' WHEN contradicting > 0 THEN 'contradicted' ELSE 'weak' END AS level FROM h""",
 )
 def claim_support(spark, sf):
-    stated = verify.claims(literals(spark, [(1, ANSWER)], "q int, answer string"))
-    src = literals(spark, SOURCES, "author string, doc string, content string, score double, section string, rank int").withColumn("q", F.lit(1))
-    return verify.support(stated, src.select("q", "doc", "content")).select("claim", "supporting", "contradicting", F.round("confidence", 6).alias("confidence"), "level")
+    """The replies of a conversation as one answer, all its turns as sources."""
+    c = table(spark, sf, "conversations")
+    said = c.where("role = 'assistant'").groupBy(F.col("conv_id").alias("q")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    said = said.select("q", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("answer"))
+    stated = verify.claims(literals(spark, [(-1, ANSWER)], "q long, answer string").unionByName(said))
+    src = literals(spark, SOURCES, "author string, doc string, content string, score double, section string, rank int").select(F.lit(-1).cast("long").alias("q"), "doc", "content")
+    src = src.unionByName(c.select(F.col("conv_id").alias("q"), F.col("turn").cast("string").alias("doc"), F.col("text").alias("content")))
+    return verify.support(stated, src).select("q", "claim", "supporting", "contradicting", F.round("confidence", 6).alias("confidence"), "level")
+
+
+@query("answer_assembly", f"""WITH {CONTEXT_SQL}, a AS (SELECT q, max(question) AS question FROM pl GROUP BY q),
+t AS (SELECT q, '[' || row_number() OVER (PARTITION BY q ORDER BY place) || '] ' || title AS line, place FROM pl)
+SELECT a.q, question || chr(10) || chr(10) || 'Sources:' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY place) FROM t WHERE t.q = a.q AND starts_with(line, '[') AND substr(line, 2, 1)::INT <= 3) AS answer, (SELECT least(3, count(*)) FROM t WHERE t.q = a.q)::INT AS n_citations FROM a""")
+def answer_assembly(spark, sf):
+    c = _contexts(spark, sf)
+    return prompt.assembled(c.groupBy("q").agg(F.max("question").alias("answer")), c.select("q", "place", F.col("title").alias("citation")))
+
+
+@query("template_info", "SELECT query_type, length(system)::INT AS system_length, length(layout)::INT AS layout_length, array_to_string(regexp_extract_all(layout, '\\{(\\w+)\\}', 1), ',') AS fields FROM " + values([*prompt.TEMPLATES, *(("cited " + t[0], *t[1:]) for t in prompt.CITED)], "query_type, system, layout"))
+def template_info(spark, sf):
+    both = prompt.templates(spark, [("cited " + t[0], *t[1:]) for t in prompt.CITED])
+    return prompt.template_info(both).withColumn("fields", F.array_join("fields", ","))
+
+
+_CITED_LAYOUT = " ".join(f"WHEN '{t}' THEN '{l}'" for t, _, l in prompt.CITED)
+
+
+@query(
+    "cited_prompts",
+    f"""WITH {CONTEXT_SQL}, {ENTRY_SQL}, p AS (SELECT q, question, {', '.join(f'{_points(i)} AS p_{i}' for i in K.INTENTS)}, string_agg(entry, chr(10) ORDER BY place) AS context, count(*) AS n FROM en GROUP BY q, question),
+b AS (SELECT *, greatest({', '.join(f'p_{i}' for i in K.INTENTS)}) AS best FROM p), i AS (SELECT *, CASE {_INTENT_CASE} ELSE 'general' END AS intent FROM b)
+SELECT q, intent AS query_type, n AS n_contexts, md5(replace(replace(CASE intent {_CITED_LAYOUT} END, '{{query}}', question), '{{context}}', context)) AS prompt_md5 FROM i""",
+)
+def cited_prompts(spark, sf):
+    p = prompt.cited_prompts(_entries(spark, sf), spark)
+    return p.select("q", "query_type", F.col("n_contexts").cast("long").alias("n_contexts"), F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
 
 
 @query(
@@ -757,7 +942,7 @@ SELECT id AS paper_id, CASE WHEN n = 1 THEN authors[1] WHEN n = 2 THEN authors[1
   row_number() OVER (ORDER BY coalesce(authors[1], 'Unknown'), id) AS number FROM y""",
 )
 def citations_apa_ieee(spark, sf):
-    p = _papers(spark).select(F.col("id").alias("paper_id"), "title", "authors", "published", F.lit(1).alias("rank"))
+    p = _papers(spark, sf).select(F.col("id").alias("paper_id"), "title", "authors", "published", F.lit(1).alias("rank"))
     a, i = verify.citations(p), verify.citations(p, "IEEE")
     return a.select("paper_id", F.col("citation").alias("apa"), "number").join(i.select("paper_id", F.col("citation").alias("ieee")), "paper_id")
 
@@ -795,7 +980,8 @@ def hybrid_chunks(spark, sf):
     return chunk.chunk(table(spark, sf, "documents"), chunk.ChunkConfig("hybrid", 250, 40, 100, 1000)).drop("text")
 
 
-@query("hash_embed")
+@query("hash_embed", f"SELECT doc_id, 64 AS size, CASE WHEN list_sum(h) > 0 THEN 1 ELSE 0 END::DOUBLE AS norm, CASE WHEN list_sum(h) > 0 THEN round(list_sum(list_transform(h, lambda x, i: x * i)) / sqrt(list_sum(list_transform(h, lambda x: x * x))), 6) ELSE 0 END AS weighed FROM (SELECT doc_id, {hashed_sql('text')} AS h FROM documents)")
 def hash_embed(spark, sf):
     v = table(spark, sf, "documents").select("doc_id", vectors.hashed(F.col("text")).alias("v"))
-    return v.select("doc_id", F.size("v").alias("size"), F.round(scores.norm("v"), 6).alias("norm"))
+    weighed = F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return v.select("doc_id", F.size("v").alias("size"), F.round(scores.norm("v"), 6).alias("norm"), F.round(weighed, 6).alias("weighed"))

@@ -1,4 +1,4 @@
-"""A batch of questions from retrieval to answers, and a batch of cases through the metrics, each as one plan."""
+"""A batch of questions from retrieval to answers as one plan; evaluate.evaluate_system takes it through the metrics."""
 
 from __future__ import annotations
 
@@ -49,6 +49,7 @@ def answer(questions: DataFrame, chunks: DataFrame, index: bm25.Index, embed: Em
         "contexts": chosen,
         "entries": entries,
         "answers": answers,
+        "response": prompt.assembled(answers.select("q", "answer"), cited),
         "citations": cited,
         "confidence": trusted,
         "claims": checked,
@@ -56,6 +57,19 @@ def answer(questions: DataFrame, chunks: DataFrame, index: bm25.Index, embed: Em
     }
 
 
+def system(chunks: DataFrame, index: bm25.Index, embed: Embed, config: vectors.RetrievalConfig = vectors.RetrievalConfig(top_k=8)) -> Callable[[DataFrame], DataFrame]:
+    """The plan as a system that evaluate.evaluate_system can ask: (case_id, question) -> (case_id, contexts, answer, error)."""
+
+    def run(cases: DataFrame) -> DataFrame:
+        got = answer(cases.select(F.col("case_id").alias("q"), "question"), chunks, index, embed, config)
+        held = got["contexts"].groupBy("q").agg(F.array_sort(F.collect_list(F.struct("place", "content"))).alias("c"))
+        held = held.select("q", F.transform("c", lambda x: x["content"]).alias("contexts"))
+        out = cases.select(F.col("case_id").alias("q")).join(held, "q", "left").join(got["answers"].select("q", "answer"), "q", "left")
+        return out.select(F.col("q").alias("case_id"), "contexts", "answer", F.when(F.col("answer").isNull(), "no answer").alias("error"))
+
+    return run
+
+
 def replied(prompts: DataFrame, model: Callable[[DataFrame], DataFrame] | None, fallback: DataFrame) -> DataFrame:
     """Answers of a model (a function from (q, prompt) to (q, text)) where there are any, else those by rule."""
     if model is None:

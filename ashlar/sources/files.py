@@ -8,9 +8,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scores
+from ..shared import numbered
+
 PAPER = (
     "id string, title string, abstract string, authors array<string>, published string, publicationDate string, pdf_url string, venue string, url string, source string, "
     "category string, categories array<string>, year int, citationCount bigint, estimated_citations bigint, quality_score double, pdf_processed boolean, "
@@ -45,8 +48,13 @@ def optional_papers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def wrapped_papers(spark: SparkSession, path: str) -> DataFrame:
-    """The layout with ``papers`` is required."""
-    return spark.read.option("multiLine", True).schema(f"papers array<struct<{_fields(PAPER)}>>").json(path).select(F.inline("papers"))
+    """The layout with ``papers`` is required: a file without it raises when it is read."""
+    raw = spark.read.option("multiLine", True).schema(f"papers array<struct<{_fields(PAPER)}>>").json(path)
+    return raw.select(F.inline(_required("papers", raw.schema["papers"].dataType.simpleString(), "no papers in the file")))
+
+
+def _required(column: str, kind: str, message: str) -> Column:
+    return F.coalesce(F.col(column), F.raise_error(F.lit(message)).cast(kind))
 
 
 def processed_chunks(papers_: DataFrame) -> DataFrame:
@@ -54,20 +62,28 @@ def processed_chunks(papers_: DataFrame) -> DataFrame:
 
 
 def cases(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation cases; a missing file or a malformed record raises."""
-    return spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(CASE).json(path)
+    """Evaluation cases; a missing file, a malformed record and one without all eight keys raise."""
+    raw = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(CASE).json(path)
+    return raw.select(*(_required(f.name, f.dataType.simpleString(), f"a case without {f.name}").alias(f.name) for f in raw.schema))
+
+
+def sample_cases(spark: SparkSession) -> DataFrame:
+    """Two cases with all keys, to try an evaluation on."""
+    rows = [
+        ("sample_001", "What is self-attention?", ["Self-attention relates all places of one sequence to each other."], "It relates the places of a sequence to each other.", ["Self-attention relates all places of one sequence to each other."], "easy", "definition", {"source": "sample"}),
+        ("sample_002", "How does dropout reduce overfitting?", ["Dropout leaves out random units in training, so that none relies on the others."], "Units that are left out at random cannot rely on each other.", ["Dropout leaves out random units in training, so that none relies on the others."], "medium", "method", {"source": "sample"}),
+    ]
+    return spark.createDataFrame(rows, CASE)
 
 
 def custom_cases(rows: DataFrame) -> DataFrame:
     """Cases with defaults: a numbered id, relevant contexts as given, medium, general."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.orderBy("question")) - 1
+    rows = numbered(rows, "question", name="_number")
     have = set(rows.columns)
     get = lambda c, d: F.coalesce(F.col(c), d) if c in have else d
     contexts = get("contexts", F.array().cast("array<string>"))
     return rows.select(
-        get("id", F.concat(F.lit("custom_"), n.cast("string"))).alias("id"), "question", contexts.alias("contexts"), get("ground_truth_answer", F.lit("")).alias("ground_truth_answer"),
+        get("id", F.concat(F.lit("custom_"), (F.col("_number") - 1).cast("string"))).alias("id"), "question", contexts.alias("contexts"), get("ground_truth_answer", F.lit("")).alias("ground_truth_answer"),
         get("relevant_contexts", contexts).alias("relevant_contexts"), get("difficulty", F.lit("medium")).alias("difficulty"), get("category", F.lit("general")).alias("category"),
     )
 
@@ -104,7 +120,7 @@ def paper_documents(papers_: DataFrame) -> DataFrame:
 def classic_list(spark: SparkSession, path: str) -> DataFrame:
     """A JSON list of papers to fetch (arxiv_id, title, estimated_citations, category), with their page and file."""
     rows = spark.read.option("multiLine", True).schema("arxiv_id string, title string, estimated_citations bigint, category string").json(path)
-    return rows.withColumns({"url": F.concat(F.lit("https://arxiv.org/abs/"), "arxiv_id"), "pdf_url": F.concat(F.lit("https://arxiv.org/pdf/"), "arxiv_id", F.lit(".pdf"))})
+    return rows.withColumns(scores.arxiv_urls("arxiv_id"))
 
 
 def flat_metadata(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -124,3 +140,19 @@ def write_versioned(df: DataFrame, base: str, version: str, form: str = "json")
 def write_report(cases_: DataFrame, path: str) -> None:
     """The flat CSV report; its schema is that of evaluate.report_rows."""
     cases_.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_papers(papers_: DataFrame, statistics: DataFrame, base: str, version: str) -> str:
+    """The corpus and its statistics as JSON, side by side in a folder of their own; returns the folder."""
+    write_versioned(statistics, f"{base.rstrip('/')}/statistics", version)
+    return write_versioned(papers_, f"{base.rstrip('/')}/papers", version)
+
+
+def write_cases(cases_: DataFrame, path: str) -> None:
+    """A dataset that ``cases`` reads back: one record a line, all keys present."""
+    cases_.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
+
+
+def write_evaluation(found: dict[str, DataFrame], base: str, version: str) -> list[str]:
+    """What ``evaluate.evaluate_system`` gives: details and summaries as JSON, a folder each."""
+    return [write_versioned(df, f"{base.rstrip('/')}/{name}", version) for name, df in found.items()]

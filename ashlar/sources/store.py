@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,9 +59,22 @@ class Collection:
         self._write(self.spark.createDataFrame([], SCHEMA))
 
     def statistics(self) -> DataFrame:
-        s = F.coalesce("section", F.lit("unknown"))
-        flags = [F.count_if(F.col(c)).alias(c) for c in ("has_formulas", "has_code", "has_citations")]
-        return self.read().groupBy(s.alias("section")).agg(F.count("*").alias("total"), F.count_distinct("paper_id").alias("papers"), *flags)
+        return statistics(self.read())
+
+    def state(self, config: object) -> DataFrame:
+        """(count, config, error): one row; where the rows cannot be read, the error and no count."""
+        try:
+            n, error = self.read().count(), None
+        except AnalysisException as e:
+            n, error = None, str(e)[:200]
+        return self.spark.createDataFrame([(n, repr(config), error)], "count long, config string, error string")
+
+
+def statistics(rows: DataFrame) -> DataFrame:
+    """(section, total, papers, and how many have each flag); rows without a section are unknown."""
+    s = F.coalesce("section", F.lit("unknown"))
+    flags = [F.count_if(F.col(c)).alias(c) for c in ("has_formulas", "has_code", "has_citations")]
+    return rows.groupBy(s.alias("section")).agg(F.count("*").alias("total"), F.count_distinct("paper_id").alias("papers"), *flags)
 
 
 def cache_key(model: str, text: Column) -> Column:
