@@ -5,13 +5,16 @@ from collections import Counter
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 SOME = (
-    "tokenize_stats", "bm25_topk", "knn_adaptive_k", "hybrid_fusion_full", "final_merge_fill", "intent_scores", "prompt_build", "token_budget", "context_recall",
-    "eval_group_stats", "dedup_theta_anti", "fixed_chunks_closed_form", "section_split", "claim_support", "citations_apa_ieee",
+    "tokenize_stats", "bm25_topk", "bm25_short_questions", "knn_adaptive_k", "hybrid_fusion_full", "final_merge_fill", "intent_scores", "prompt_build", "token_budget", "context_recall",
+    "case_metrics", "evaluation_loop", "eval_group_stats", "judge_parse", "quality_score_a", "corpus_sort", "corpus_statistics", "search_filter", "dedup_theta_anti", "seen_filter",
+    "fixed_chunks_closed_form", "section_split", "section_contents", "document_detectors", "title_abstract", "content_features", "store_statistics", "embedding_cache", "papers_files",
+    "unprocessed_papers", "claim_support", "citations_apa_ieee", "answer_assembly", "cited_prompts", "hash_embed",
 )
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
@@ -28,7 +31,7 @@ def duck():
 def rows(df, names):
     def plain(x):
         x = x.item() if hasattr(x, "item") else x
-        return None if x is None or x != x else x
+        return None if x is None or x is pd.NA or x != x else x
 
     frame = df[names].astype(object)
     return Counter(tuple(plain(x) for x in r) for r in frame.where(frame.notna(), None).itertuples(index=False, name=None))

@@ -1,6 +1,13 @@
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
 import pandas as pd
 import pytest
-from ashlar.operators import bm25, chunk, curate, evaluate, prompt, ranking, vectors, verify
+from ashlar import shared
+from ashlar.operators import bm25, chunk, curate, embed, evaluate, fulltext, generate, prompt, ranking, vectors, verify
 from pyspark.sql import functions as F
 
 
@@ -25,6 +32,27 @@ def test_bm25_without_documents(spark):
     assert bm25.search(bm25.build(empty), asked, 3).count() == 0
 
 
+def test_unmatched_documents_by_brute_force(spark):
+    rng = random.Random(4)
+    docs = [(i, " ".join(w for w in ("ant", "bee", "cow", "dog") if rng.random() < (0.95 if w == "ant" else 0.5))) for i in rng.sample(range(1000), 60)]
+    asked = [(1, "ant"), (2, "bee cow"), (3, "ant bee cow dog"), (4, "none here"), (5, "ant ant")]
+    index = bm25.build(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = {}
+    for r in bm25.unmatched(index.write(), spark.createDataFrame(asked, "q int, question string"), 4, block=8).collect():
+        got.setdefault(r["q"], []).append(r["doc"])
+    for q, question in asked:
+        free = sorted(d for d, t in docs if not set(t.split()) & set(question.split()))
+        assert sorted(got.get(q, [])) == free[:4], question
+
+
+def test_numbers_without_a_single_task(spark):
+    rows = spark.range(500).withColumn("k", (F.col("id") * 37) % 101)
+    got = shared.numbered(rows, F.desc("k"), "id").orderBy("number").collect()
+    assert [r["number"] for r in got] == list(range(1, 501))
+    assert [(r["k"], r["id"]) for r in got] == sorted(((r["k"], r["id"]) for r in got), key=lambda x: (-x[0], x[1]))
+    assert shared.numbered(rows.limit(0), "id").count() == 0
+
+
 @pytest.mark.parametrize(("scores", "target", "kept"), [([0.9, 0.85, 0.6, 0.58], 8, 2), ([0.9, 0.85, 0.6, 0.58], 2, 2), ([0.9, 0.85, 0.6, 0.58], 1, 1), ([0.9], 8, 1), ([0.9, 0.85, 0.8], 2, 2)])
 def test_adaptive(spark, scores, target, kept):
     rows = spark.createDataFrame([(1, i, s) for i, s in enumerate(scores)], "q int, vec_id int, cosine double")
@@ -39,6 +67,37 @@ def test_top_k_in_blocks_equals_one_block(spark):
     assert vectors.top_k(store, asked.limit(0), 4).count() == 0
 
 
+def test_top_k_by_brute_force_with_odd_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "HELD", 50)
+    rng = np.random.default_rng(0)
+    x = {i: rng.integers(-2, 3, 4).astype(float).tolist() for i in range(80)}
+    odd = [(100, None), (101, []), (102, [1.0, None, 0.0, 0.0]), (103, [1.0, 2.0]), (104, [0.0] * 4), (105, [float("nan")] * 4)]
+    store = spark.createDataFrame([*x.items(), *odd], "vec_id long, embedding array<double>")
+    asked = store.where("vec_id < 10 OR vec_id >= 100").select(F.col("vec_id").alias("q"), "embedding")
+    x[104] = [0.0] * 4
+    cos = lambda a, b: round(float(np.dot(a, b)) / max(float(np.linalg.norm(a)) * float(np.linalg.norm(b)), 1e-300), 9)
+    for block in (1024, 3):
+        got = {}
+        for r in vectors.top_k(store, asked, 7, block=block).orderBy("q", "rank").collect():
+            got.setdefault(r["q"], []).append((r["vec_id"], r["cosine"]))
+        for q in [*range(10), 104]:
+            want = sorted(((i, cos(x[q], v)) for i, v in x.items()), key=lambda p: (-p[1], p[0]))[:7]
+            assert [i for i, _ in got[q]] == [i for i, _ in want], q
+        assert [i for i, _ in got[103]] == [103] and not {100, 101, 102} & set(got)
+
+
+def test_hashed_vectors(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(1, "one two two three"), (2, ""), (3, "x1 _y"), (4, None)], "id int, t string")
+    for size in (64, 10):
+        got = {r["id"]: r["v"] for r in df.select("id", vectors.hashed(F.col("t"), size).alias("v")).collect()}
+        n = np.zeros(size)
+        for w in "one two two three".split():
+            n[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % size] += 1
+        assert np.allclose(got[1], n / np.linalg.norm(n)) and got[2] == [0.0] * size == got[3]
+
+
 def plain(size, overlap, least):
     return chunk.ChunkConfig(size=size, overlap=overlap, least=least, sentences=False)
 
@@ -105,3 +164,118 @@ def test_histogram_and_groups(spark):
     assert g["difficulty", "easy"]["n"] == 5 and g["category", "c"]["n"] == 11
     assert g["category", "c"]["std_overall_score"] == pytest.approx(pd.Series([i / 10 for i in range(11)]).std(ddof=0))
     assert evaluate.top_cases(c).first()["question"].endswith("...")
+
+
+def plain_fixed(text, c):
+    """The sliding cut again, by single characters."""
+    ends = [i + 1 for i in range(len(text) - 1) if text[i] in ".!?" and text[i + 1].isspace()]
+    out, start = [], 0
+    while start < len(text):
+        end = min(start + c.size, len(text))
+        if end < len(text):
+            ahead = [e for e in ends if end < e < end + 100]
+            back = [e for e in ends if max(0, end - 100) < e < end]
+            moved = ahead[0] if ahead else back[-1] if back else end
+            end = moved if moved > start + c.least else end
+        piece = text[start:end].strip()
+        if len(piece) < c.least and out:
+            out[-1] = (out[-1][0], end, out[-1][2] + " " + piece)
+            break
+        if piece:
+            out.append((start, end, piece))
+        start = max(start + 1, end - c.overlap)
+    return out
+
+
+def test_sentence_chunks_by_characters():
+    rng = random.Random(3)
+    c = chunk.ChunkConfig(size=120, overlap=20, least=30)
+    for _ in range(40):
+        words = (rng.choice(["ab", "cde", "f", "ghij"]) + rng.choice(["", "", "", ".", "!", "? "]) for _ in range(rng.randint(0, 120)))
+        text = " ".join(words)
+        assert [(a, e, t) for a, e, _, t in chunk.fixed(text, c)] == plain_fixed(text, c), text
+
+
+def test_paragraph_chunks_by_counting():
+    rng = random.Random(5)
+    c = chunk.ChunkConfig(size=60, overlap=1)
+    for _ in range(40):
+        parts = ["x" * rng.randint(1, 50) for _ in range(rng.randint(1, 12))]
+        got, held = [], []
+        for p in parts:
+            if held and sum(map(len, held)) + len(p) > 60:
+                got.append("\n\n".join(held))
+                held = held[-1:] if len(held) > 1 else []
+            held.append(p)
+        got.append("\n\n".join(held))
+        assert [t for *_, t in chunk.paragraphs("\n \n".join(parts), c)] == got
+
+
+def test_mmr_and_diversity_by_brute_force(spark):
+    rng = random.Random(6)
+    words = ["red", "blue", "green", "tree", "house", "river", "stone"]
+    rows = [(q, d, " ".join(rng.choices(words, k=rng.randint(2, 6))), round(rng.random(), 3), 0) for q in range(6) for d in range(9)]
+    rows = [(q, d, t, s, 1 + sorted((-r[3], r[1]) for r in rows if r[0] == q).index((-s, d))) for q, d, t, s, _ in rows]
+    df = spark.createDataFrame(rows, "q int, doc int, content string, combined double, rank int")
+    got, kept = {}, {}
+    for r in ranking.mmr(df, 4).orderBy("rank").collect():
+        got.setdefault(r["q"], []).append(r["doc"])
+    for r in ranking.diverse(df, 0.5).orderBy("rank").collect():
+        kept.setdefault(r["q"], []).append(r["doc"])
+    for q in range(6):
+        own = sorted((r for r in rows if r[0] == q), key=lambda r: r[4])
+        bags = [Counter(re.findall(r"\w\w+", r[2])) for r in own]
+        idf = {w: math.log(10 / (1 + sum(w in b for b in bags))) + 1 for w in words}
+        weigh = [{w: n * idf[w] for w, n in b.items()} for b in bags]
+        length = [math.sqrt(sum(x * x for x in v.values())) for v in weigh]
+        alike = lambda a, b: sum(x * weigh[b].get(w, 0) for w, x in weigh[a].items()) / (length[a] * length[b])  # noqa: B023, E731
+        chosen = [0]
+        while len(chosen) < 4:
+            chosen.append(max((i for i in range(9) if i not in chosen), key=lambda i: (round(0.7 * own[i][3] - 0.3 * max(alike(i, j) for j in chosen), 12), -i)))
+        assert got[q] == [own[i][1] for i in chosen]
+        stay = []
+        for i, r in enumerate(own):
+            s = set(r[2].split())
+            if all(len(s & set(own[j][2].split())) / len(s | set(own[j][2].split())) <= 0.5 for j in stay):
+                stay.append(i)
+        assert kept[q] == [own[i][1] for i in stay]
+
+
+def test_evaluation_by_hand(spark):
+    rows = [("a", "red tree", ["red tree", "blue sea"], "red tree", ["red tree", "stone wall"], "easy", "c"), ("b", "red", None, None, None, "easy", "c")]
+    cases = spark.createDataFrame(rows, "case_id string, question string, contexts array<string>, answer string, relevant array<string>, difficulty string, category string")
+    got = {r["case_id"]: r for r in evaluate.evaluate_cases(cases, lambda t: vectors.hashed(t, 256)).collect()}
+    a = got["a"]
+    assert a["context_relevance"] == pytest.approx(0.7 * 0.5 + 0.3) and a["context_precision"] == 0.5 and a["context_recall"] == 0.5
+    assert a["answer_relevance"] == pytest.approx(1) and a["faithfulness"] == pytest.approx(0.7 / math.sqrt(2) + 0.3) and a["context_words"] == 2.0
+    assert [got["b"][m] for m in evaluate.METRICS] == [0.0] * 6
+    data = cases.select(F.col("case_id").alias("id"), "question", F.col("relevant").alias("relevant_contexts"), "difficulty", "category")
+    system = lambda asked: asked.select("case_id", F.array(F.lit("red tree")).alias("contexts"), F.when(F.col("case_id") == "a", "red tree").alias("answer"), F.when(F.col("case_id") == "b", "timed out").alias("error"))
+    judge = lambda asks: asks.select("q", F.lit('{"context_relevance": 5, "clarity": 3}').alias("reply"))
+    found = evaluate.evaluate_system(system, data, vectors.hashed, judge)
+    assert found["summary"].first()["n"] == 1 and found["cases"].where("judge_context_relevance = 1").count() == 2
+    assert "cases: 1" in evaluate.printed(found["summary"], found["groups"], found["best"])
+
+
+def test_full_texts(spark):
+    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(["lost", "Abstract", "one", "two", "2. Methods", "", "  ", "3 Results", "three"])], "doc_id int, line_no int, line string")
+    got = {r["section"]: (r["start"], r["stop"], r["content"]) for r in fulltext.section_contents(lines).collect()}
+    assert got == {"abstract": (1, 3, "one\ntwo"), "result": (7, 8, "three")}
+    kinds = "id int, pdf_processed boolean, processed_chunks array<struct<text:string,metadata:struct<section_type:string>>>"
+    rows = [(1, True, [("a", ("abstract",)), ("b", ("method",))]), (2, True, [("a", ("abstract",)), ("b", ("abstract",))]), (3, False, []), (4, False, None)]
+    papers = spark.createDataFrame(rows, kinds)
+    assert sorted(r["id"] for r in fulltext.unprocessed(papers).collect()) == [2, 3, 4]
+    assert tuple(fulltext.report(papers).first()) == (2, 2.0)
+
+
+def test_quotas_and_first_seen(spark):
+    rows = [(f"k{i % 3}", f"p{i}", i) for i in range(90)]
+    got = curate.quotas(spark.createDataFrame(rows, "keyword string, id string, citations int"), 36, floors=(30, 20, 10)).groupBy("keyword").agg(F.count("*").alias("n"), F.min("citations").alias("m")).collect()
+    assert {r["keyword"]: (r["n"], r["m"] >= {"k0": 30, "k1": 20, "k2": 10}[r["keyword"]]) for r in got} == {"k0": (12, True), "k1": (12, True), "k2": (12, True)}
+    b = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, None), (None, 1, "z")], "id string, batch int, v string")
+    assert sorted(map(tuple, curate.first_seen(b).fillna("").collect())) == [("", 1, "z"), ("a", 1, "y"), ("b", 5, "")]
+
+
+def test_models_and_devices():
+    assert generate.chosen("a", ["b", "c"], ("c",)) == "c" and generate.chosen("a", []) is None and generate.chosen("a", ["x"]) == "x"
+    assert embed.device() in ("cuda", "mps", "cpu") and generate.models("http://127.0.0.1:9") == []

@@ -112,3 +112,47 @@ def test_embedding_hooks(spark, tmp_path):
     assert got["ok"]["n"] >= 1 and got["bad"]["error"]
     (tmp_path / "c.json").write_text('[{"arxiv_id": "1", "title": "T", "estimated_citations": 5, "category": "c"}]')
     assert files.classic_list(spark, str(tmp_path / "c.json")).first()["pdf_url"] == "https://arxiv.org/pdf/1.pdf"
+
+
+def test_required_keys(spark, tmp_path):
+    files.write_cases(files.sample_cases(spark), str(tmp_path / "good"))
+    assert files.cases(spark, str(tmp_path / "good")).count() == 2
+    (tmp_path / "short.json").write_text(json.dumps([{"id": "1", "question": "why?"}]))
+    with pytest.raises(Exception, match="without contexts"):
+        files.cases(spark, str(tmp_path / "short.json")).collect()
+    (tmp_path / "bare.json").write_text(json.dumps([{"id": "1"}]))
+    with pytest.raises(Exception, match="no papers"):
+        files.wrapped_papers(spark, str(tmp_path / "bare.json")).collect()
+
+
+def test_lookups_and_search_filters(spark):
+    from ashlar.sources import remote
+
+    asked = []
+
+    def get(url):
+        asked.append(url)
+        if "query=" in url:
+            return {"data": [{"paperId": "1", "citationCount": 60}, {"paperId": "2", "citationCount": 3}, {"citationCount": 99}]}
+        return {"paperId": url[-1], "title": "t"} if url.endswith("7") else {}
+
+    search = remote.PaperReader({"keywords": "a b", "url": "u", "least": "50"}, get)
+    assert [r[1] for p in search.partitions() for r in search.read(p)] == ["1"]
+    single = remote.PaperReader({"ids": "7;8", "url": "u"}, get)
+    assert [r[1] for p in single.partitions() for r in single.read(p)] == ["7"] and asked[-1] == "u/8"
+    found = spark.createDataFrame([("k1", "1", "x", "ICML 2020"), ("k2", "1", "x", "ICML 2020"), ("k1", "2", " ", "ICML"), ("k1", "3", "y", "none"), ("k1", "4", "z", "Nature")], "keyword string, id string, abstract string, venue string")
+    seen = spark.createDataFrame([("4",)], "id string")
+    assert sorted(r["id"] for r in remote.wanted(found, seen).collect()) == ["1", "3"]
+    assert [(r["id"], r["keyword"]) for r in remote.wanted(found, seen, venues_only=True).collect()] == [("1", "k1")]
+    docs = remote.atom_documents(spark.createDataFrame([("5",)], "id string"), lambda url: f"<feed>{url}</feed>", "b").first()
+    assert docs["xml"] == "<feed>b?id_list=5</feed>"
+
+
+def test_evaluation_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x")], "n int, s string")
+    paths = files.write_evaluation({"cases": df, "summary": df}, str(tmp_path), "1")
+    assert [spark.read.json(p).count() for p in paths] == [1, 1]
+    files.write_papers(df, df, str(tmp_path / "corpus"), "2")
+    assert spark.read.json(str(tmp_path / "corpus/statistics/version=2")).count() == 1
+    state = store.Collection(spark, str(tmp_path / "none")).state({"model": "m"}).first()
+    assert state["count"] == 0 and state["error"] is None
