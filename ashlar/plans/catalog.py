@@ -114,7 +114,7 @@ def bm25_avgdl(spark, sf):
 
 @query("bm25_idf", f"WITH {BM25_CTE} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_idf(spark, sf):
-    return bm25.build(table(spark, sf, "documents")).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return bm25.build(table(spark, sf, "documents")).write().terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("bm25_topk", f"WITH {BM25_CTE}, {BENCH_Q}, {BM25_SCORE} SELECT q, doc, round(score, 6) AS score, rank FROM top WHERE rank <= 5")
