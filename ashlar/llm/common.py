@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import cut, numbered, shared_folder  # noqa: F401 - for the operators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder of spark.checkpoint.dir.
+#: Most rows and bytes of an Arrow batch that Python functions get, unless the session sets its own.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def bounded(spark: SparkSession) -> None:
+    """Small Arrow batches for this session: a batch is held by the JVM and by a Python worker at once.
 
-    Only where that setting is empty, as in tests on one machine, a folder of our own is set.
+    A single row above the bound is a batch of its own.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
-    return df.checkpoint()
+    for key, most in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, most)
 
 
 def whole(column: str | Column) -> Column:
@@ -67,28 +69,45 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", most: int =
     )
 
 
-def releasing(run):
-    """run, an Arrow function over batches; when it ends, the worker gives its unused memory back to the system.
+def give_back(collect: bool = True) -> None:
+    """Returns a worker's unused memory to the system: workers serve task after task and else keep the most any took."""
+    import ctypes
+    import gc
 
-    Python workers serve task after task; without this each keeps the most that any of them ever took.
-    """
+    import pyarrow as pa
+
+    if collect:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def releasing(run):
+    """run, an Arrow function over batches; when it ends, the worker gives its unused memory back to the system."""
 
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
-            import ctypes
-            import gc
+            give_back()
+
+    return wrapped
 
-            import pyarrow as pa
 
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+def releasing_group(run):
+    """run, an Arrow function of a group or of two that meet; what the last group took is given back before the next."""
 
-    return wrapped
+    def wrapped(t):
+        give_back(collect=False)
+        return run(t)
+
+    def wrapped_pair(t, u):
+        give_back(collect=False)
+        return run(t, u)
+
+    return wrapped if run.__code__.co_argcount == 1 else wrapped_pair
 
 
 def by_group(batches, column: str, most: int = 200_000):
@@ -147,8 +166,8 @@ def roots(n: int, left, right):
         root = new
 
 
-def forest(ids, times, left, right):
-    """An Arrow batch (id, links, root) of linked nodes: links counts neighbours with their multiplicity."""
+def forest(nodes, ids, times, left, right):
+    """An Arrow batch (node, id, links, root) of linked nodes: links counts neighbours with their multiplicity, root is the lowest id."""
     import numpy as np
     import pyarrow as pa
 
@@ -158,4 +177,5 @@ def forest(ids, times, left, right):
     place[order] = np.arange(len(order))
     root = order[roots(len(ids), place[left], place[right])[place]]
     hit = n > 0
-    return pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(n[hit].astype(np.int64)), pa.array(ids[root[hit]])], ["id", "links", "root"])
+    arrays = [pa.array(nodes[hit]), pa.array(ids[hit]), pa.array(n[hit].astype(np.int64)), pa.array(ids[root[hit]])]
+    return pa.RecordBatch.from_arrays(arrays, ["node", "id", "links", "root"])
