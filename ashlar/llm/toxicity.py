@@ -7,14 +7,15 @@ Forward-backward marginals over every token of a whole text give the offending o
 document score by a small logistic model.
 
 Training uses a sample of at most ``Config.toxic`` + ``Config.clean`` labelled documents, those with the lowest keyed
-hash of their id; all else runs over all documents. Null and empty texts have no tokens and score as documents without
-any offence. Copies score alike. No column but the text enters a score.
+hash of their id, and of those as many as ``Config.bytes`` of text hold; all else runs over all documents. Null and
+empty texts have no tokens and score as documents without any offence. Copies score alike. No column but the text
+enters a score. Of an id with several texts all train under its label; an id with several labels counts under the
+lowest. Rows with a null id are scored like others and never train. Extra columns stay out unless ``keep`` names them.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -24,16 +25,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, releasing, whole
-from .pieces import ragged
+from .common import bounded, by_size, releasing, whole
+from .pieces import mixed
 
 
 @dataclass(frozen=True)
 class Config:
-    """toxic, clean: most documents of either label that training takes; bits: of the feature hash."""
+    """toxic, clean: most documents of either label that training takes; bytes: of text in all; bits: of the feature hash."""
 
     toxic: int = 1200
     clean: int = 1800
+    bytes: int = 64_000_000
     bits: int = 18
     odds: float = 2.3
     least: int = 4
@@ -55,16 +57,41 @@ class Model:
     bits: int
 
 
-EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-
-
-def features(token: str, bits: int) -> list[int]:
-    """Hashed features of a token: its form without case and outer punctuation, and the form's first and last letters."""
-    w = EDGES.sub("", token).lower()
-    if not w:
-        return []
-    names = [f"w={w}", *(f"p={w[:n]}" for n in (3, 4, 5, 6, 7) if len(w) > n), *(f"s={w[-n:]}" for n in (3, 4, 5, 6) if len(w) > n)]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << bits) - 1) for x in names]
+#: What stands around a token's form.
+EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+#: Lengths of the first and last letters that are features; the form itself is the first column.
+FIRST, LAST = (3, 4, 5, 6, 7), (3, 4, 5, 6)
+
+
+def features(words: Sequence[str], bits: int) -> np.ndarray:
+    """tokens x features: hashes of a token's form (without case and outer punctuation) and of the form's first and last
+    letters; -1 where there are none: a form has no beginning as long as itself, an empty one has nothing."""
+    out = np.full((len(words), 1 + len(FIRST) + len(LAST)), -1, dtype=np.int32)
+    forms = pc.utf8_lower(pc.replace_substring_regex(pa.array(words, pa.string()), EDGES, ""))
+    size = pc.utf8_length(forms).to_numpy(zero_copy_only=False).astype(np.int64)
+    full = np.flatnonzero(size)
+    if not len(full):
+        return out
+    size = size[full]
+    letters = np.frombuffer("".join(forms.to_pylist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    value = mixed(letters.astype(np.uint64) + np.uint64(1))
+    start = np.cumsum(size) - size
+    power = np.cumprod(np.full(max(int(size.max()), max(FIRST)), 0xD6E8FEB86659FD93, dtype=np.uint64))
+
+    def hashed(sums: np.ndarray, kind: int) -> np.ndarray:
+        return (mixed(sums + np.uint64(kind * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(64 - bits)).astype(np.int32)
+
+    place = np.arange(len(letters)) - np.repeat(start, size)
+    out[full, 0] = hashed(np.add.reduceat(value * power[place], start), 0)
+    for column, lengths, first, step in ((1, FIRST, start, 1), (1 + len(FIRST), LAST, start + size - 1, -1)):
+        sums = np.zeros(len(full), dtype=np.uint64)
+        for n in range(1, max(lengths) + 1):
+            own = size >= n
+            sums[own] += value[first[own] + step * (n - 1)] * power[n - 1]
+            if n in lengths:
+                own = size > n
+                out[full[own], column + lengths.index(n)] = hashed(sums[own], column + n)
+    return out
 
 
 def tokenized(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -79,14 +106,78 @@ def tokenized(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 def emissions(words: Sequence[str], weights: np.ndarray, bits: int) -> np.ndarray:
-    return np.array([weights[features(w, bits)].sum() if w else 0.0 for w in words], dtype=np.float64)
+    held = features(words, bits)
+    return np.where(held >= 0, weights[np.maximum(held, 0)], 0).sum(axis=1, dtype=np.float64)
+
+
+#: Sequences of more tokens than twice this are taken in stretches of it.
+LEAP = 512
 
 
 def forward_backward(e: np.ndarray, counts: np.ndarray, chain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(log odds of the forward messages, of the backward messages) for each token of the sequences laid end to end.
 
-    e: log odds of tag 1 by the token alone. All sequences advance together, the longest first.
+    e: log odds of tag 1 by the token alone. All sequences advance together, the longest first. Long ones are cut into
+    stretches: what a stretch makes of any message is a 2 x 2 matrix, so the messages between stretches are found
+    first, stretch by stretch, and then all stretches advance together.
     """
+    if not len(counts) or counts.max() <= 2 * LEAP:
+        return _messages(e, counts, chain)
+    pieces = np.maximum(-(-counts // LEAP), 1)
+    owner = np.repeat(np.arange(len(counts)), pieces)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    lengths = np.minimum(counts[owner] - place * LEAP, LEAP)
+    starts = np.cumsum(lengths) - lengths
+    ahead, behind = _transfers(e, starts, lengths, place == 0, chain)
+    before, after = np.full(len(owner), np.nan), np.zeros(len(owner))
+    first = np.cumsum(pieces) - pieces
+    a = np.exp(chain)
+    for k in range(1, int(pieces.max())):
+        at = first[pieces > k] + k
+        before[at] = _moved(ahead[at - 1], np.where(np.isnan(before[at - 1]), e[starts[at - 1]], before[at - 1]))
+        at = (first + pieces)[pieces > k] - 1 - k
+        # the message into the last token of a stretch comes over the first token of the next
+        x = np.exp(np.clip(e[starts[at + 1]] + _moved(behind[at + 1], after[at + 1]), -60, 60))
+        after[at] = np.log((a[1, 0] + a[1, 1] * x) / (a[0, 0] + a[0, 1] * x))
+    return _messages(e, lengths, chain, before, after)
+
+
+def _moved(m: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Log odds r under the matrices m (n x 2 x 2), which act on (odds, 1)."""
+    x = np.exp(np.clip(r, -60, 60))
+    return np.log(np.maximum(m[:, 0, 0] * x + m[:, 0, 1], 1e-300) / np.maximum(m[:, 1, 0] * x + m[:, 1, 1], 1e-300))
+
+
+def _transfers(e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, opens: np.ndarray, chain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(what each stretch makes of the forward message before it, of the backward message of its last token), as matrices.
+
+    A stretch that opens its sequence starts from its first token's own odds, which its matrix leaves out. Backward, a
+    matrix leads from the last token's message to the first token's.
+    """
+    a = np.exp(chain)
+    out = []
+    for back in (False, True):
+        m = np.broadcast_to(np.eye(2), (len(starts), 2, 2)).copy()
+        for t in range(int(lengths.max())):
+            own = np.flatnonzero((lengths > t) & (~opens | (t > 0)) if not back else lengths > t + 1)
+            if not len(own):
+                continue
+            odds = e[starts[own] + t] if not back else e[starts[own] + lengths[own] - 1 - t]
+            up, down = np.exp(np.minimum(odds, 0)), np.exp(-np.maximum(odds, 0))  # odds as a quotient without overflow
+            step = np.empty((len(own), 2, 2))
+            if back:
+                step[:, 0, 0], step[:, 0, 1], step[:, 1, 0], step[:, 1, 1] = a[1, 1] * up, a[1, 0] * down, a[0, 1] * up, a[0, 0] * down
+            else:
+                step[:, 0, 0], step[:, 0, 1], step[:, 1, 0], step[:, 1, 1] = a[1, 1] * up, a[0, 1] * up, a[1, 0] * down, a[0, 0] * down
+            got = step @ m[own]
+            m[own] = got / got.max(axis=(1, 2), keepdims=True)
+        out.append(m)
+    return out[0], out[1]
+
+
+def _messages(e: np.ndarray, counts: np.ndarray, chain: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The messages of sequences that advance together. before: forward log odds ahead of the first token, nan where there
+    are none; after: backward log odds of the last token."""
     order = np.argsort(-counts, kind="stable")
     starts = (np.cumsum(counts) - counts)[order]
     longest = counts[order]
@@ -96,15 +187,19 @@ def forward_backward(e: np.ndarray, counts: np.ndarray, chain: np.ndarray) -> tu
         return forward, backward
     # how many sequences are longer than t
     active = np.searchsorted(-longest, -np.arange(longest[0] + 1), side="left")
-    r = None
+    r = None if before is None else before[order]
     for t in range(longest[0]):
         at = starts[: active[t]] + t
         if r is None:
             r = e[at]
         else:
             x = np.exp(np.minimum(r[: len(at)], 60))
-            r = e[at] + np.log((a[0, 1] + a[1, 1] * x) / (a[0, 0] + a[1, 0] * x))
+            moved = e[at] + np.log((a[0, 1] + a[1, 1] * x) / (a[0, 0] + a[1, 0] * x))
+            r = moved if t else np.where(np.isnan(x), e[at], moved)
         forward[at] = r
+    if after is not None:
+        full = longest > 0
+        backward[starts[full] + longest[full] - 1] = after[order][full]
     for t in range(longest[0] - 2, -1, -1):
         at = starts[: active[t + 1]] + t
         x = np.exp(np.minimum(e[at + 1] + backward[at + 1], 60))
@@ -135,21 +230,17 @@ def summary(m: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(counts)), *steps, np.log(total(m) + 0.05) / 10])
 
 
-def _labelled_tokens(counts: np.ndarray, ids: np.ndarray, words: list[str], toxic: np.ndarray, c: Config) -> np.ndarray:
+def _labelled_tokens(counts: np.ndarray, ids: np.ndarray, held: np.ndarray, toxic: np.ndarray, c: Config) -> np.ndarray:
     """Which distinct tokens count as offences in toxic documents, by document frequencies of their features."""
-    feats = [features(w, c.bits) for w in words]
-    size = np.array([len(f) for f in feats])
-    flat = np.fromiter((x for f in feats for x in f), dtype=np.int32, count=int(size.sum()))
-    starts, ends = np.cumsum(size) - size, np.cumsum(counts)
+    ends = np.cumsum(counts)
     seen = np.zeros((2, 1 << c.bits), dtype=np.int64)
     for i in range(len(counts)):
-        word = np.unique(ids[ends[i] - counts[i] : ends[i]])
-        held = np.unique(flat[ragged(starts[word], size[word])])
-        seen[int(toxic[i]), held] += 1
+        found = np.unique(held[np.unique(ids[ends[i] - counts[i] : ends[i]])])
+        seen[int(toxic[i]), found[found >= 0]] += 1
     n0, n1 = seen
     odds = np.log((n1 + 0.5) / (toxic.sum() + 1)) - np.log((n0 + 0.5) / ((~toxic).sum() + 1))
     strong = (odds >= c.odds) & (n1 >= c.least)
-    return np.array([bool(strong[f].any()) for f in feats], dtype=bool)
+    return (strong[np.maximum(held, 0)] & (held >= 0)).any(axis=1)
 
 
 def fit(texts: Sequence[str], toxic: Sequence[bool], c: Config = Config(), share: float | None = None) -> Model:
@@ -160,7 +251,8 @@ def fit(texts: Sequence[str], toxic: Sequence[bool], c: Config = Config(), share
         rate = (toxic.sum() + 0.5) / (len(toxic) + 1)
         return Model(np.zeros(1 << c.bits, dtype=np.float32), np.zeros((2, 2)), np.array([np.log(rate / (1 - rate)), 0, 0, 0, 0]), c.bits)
     ids = ids.astype(np.int32)
-    bad_word = _labelled_tokens(counts, ids, words, toxic, c)
+    held = features(words, c.bits)
+    bad_word = _labelled_tokens(counts, ids, held, toxic, c)
     owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     y = bad_word[ids] & toxic[owner]
     # toxic documents in which no token is marked tell nothing of their tokens
@@ -172,11 +264,10 @@ def fit(texts: Sequence[str], toxic: Sequence[bool], c: Config = Config(), share
     ends = np.cumsum(lengths)
     cuts = np.searchsorted(ends, np.arange(0, ends[-1], c.chunk), side="right")
     chunks = [(int(a), int(b)) for a, b in zip(cuts, [*cuts[1:], len(lengths)], strict=True) if b > a]
-    feats = [features(w, c.bits) for w in words]
-    size = np.array([len(f) for f in feats])
-    flat = np.fromiter((x for f in feats for x in f), dtype=np.int32, count=int(size.sum()))
+    size = (held >= 0).sum(axis=1)
+    flat = held[held >= 0]
     of = np.repeat(np.arange(len(words), dtype=np.int32), size)
-    del feats
+    del held
     theta, chain = np.zeros(1 << c.bits), np.array([[0.0, -2.0], [-1.0, -1.0]])
     bias = -4.0
     moments = [np.zeros(x) for x in (1 << c.bits, 1 << c.bits, 4, 4)]
@@ -241,20 +332,32 @@ def bucket(key: Column) -> Column:
 def train(documents: DataFrame, labels: DataFrame, c: Config = Config(), key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fits on a bounded sample of the labelled rows that are not held out."""
     known = labels.select(F.col(key).alias("_k"), F.col(label).alias("_y")).where(F.col("_y").isin(0, 1) & (bucket(F.col("_k")) != 0))
+    known = known.groupBy("_k").agg(F.min("_y").alias("_y"))
     order = F.md5(F.concat(F.lit(f"{c.seed}:"), F.col("_k").cast("string")).cast("binary"))
     chosen = [r for y, n in ((1, c.toxic), (0, c.clean)) for r in known.where(F.col("_y") == y).orderBy(order, "_k").limit(n).collect()]
     if not chosen:
         return fit([], [], c)
     sizes = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     share = sizes.get(1, 0) / sum(sizes.values())
-    spark = documents.sparkSession
-    # at most c.toxic + c.clean ids
-    picked = spark.createDataFrame([(r["_k"], int(r["_y"])) for r in chosen], f"_k {labels.schema[key].dataType.simpleString()}, _y int").dropDuplicates(["_k"])
-    rows = documents.select(F.col(key).alias("_k"), whole(text).alias("_t")).join(F.broadcast(picked), "_k").select("_t", "_y").toPandas()
+    texts = documents.select(F.col(key).alias("_k"), whole(text).alias("_t"))
+    held = texts.join(F.broadcast(_ids(documents, labels, key, chosen)), "_k").groupBy("_k").agg(F.sum(F.octet_length("_t")).alias("n"), F.first("_y").alias("_y"))
+    held = {r["_k"]: r["n"] for r in held.collect()}  # at most c.toxic + c.clean ids
+    left, taken = {0: c.bytes // 2, 1: c.bytes // 2}, []
+    for r in chosen:  # in the order of their hash, each label up to half of the bytes
+        n = held.get(r["_k"], 0)
+        if n <= left[r["_y"]]:
+            left[r["_y"]] -= n
+            taken.append(r)
+    rows = texts.join(F.broadcast(_ids(documents, labels, key, taken)), "_k").select("_t", "_y").toPandas()
     rows = rows.sort_values(["_t", "_y"], kind="stable")
     return fit(rows["_t"].tolist(), rows["_y"].to_numpy() == 1, c, share)
 
 
+def _ids(documents: DataFrame, labels: DataFrame, key: str, chosen: Sequence) -> DataFrame:
+    kind = labels.schema[key].dataType.simpleString()
+    return documents.sparkSession.createDataFrame([(r["_k"], int(r["_y"])) for r in chosen], f"_k {kind}, _y int")
+
+
 SPANS = "array<struct<start:int,stop:int,p:double>>"
 
 
@@ -274,18 +377,14 @@ def _offsets(text: str, marked: dict[int, float]) -> list[dict]:
 
 def tag(documents: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text: str = "text", spans: bool = True, threshold: float = 0.5) -> DataFrame:
     """(keep..., score, n_toxic, spans): the document score, tokens tagged, and their offsets (null without spans)."""
+    bounded(documents.sparkSession)
     kinds = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("p", pa.float64())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
-        for b in by_size(batches, len(keep), 2_000_000):
+        for b in by_size(batches, len(keep), 1_000_000):
             texts = b.column(len(keep))
             counts, ids, words = tokenized(texts)
-            if len(known) > 300_000:
-                known.clear()
-            new = [w for w in words if w not in known]
-            known.update(zip(new, emissions(new, model.weights, model.bits), strict=True))
-            e = np.array([known[w] for w in words], dtype=np.float64)[ids] if words else np.zeros(0)
+            e = emissions(words, model.weights, model.bits)[ids] if words else np.zeros(0)
             m = marginals(e, counts, model.chain)
             score = 1 / (1 + np.exp(-np.clip(summary(m, counts) @ model.head, -30, 30)))
             hits = np.flatnonzero(m >= threshold)
@@ -294,9 +393,10 @@ def tag(documents: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), t
             n = np.bincount(doc, minlength=len(counts))
             found: list[list] = [[] for _ in range(len(counts))]
             if spans:
-                for i in np.unique(doc):
-                    own = hits[doc == i] - (ends[i] - counts[i])
-                    found[i] = _offsets(texts[int(i)].as_py(), dict(zip(own.tolist(), m[hits[doc == i]].tolist(), strict=True)))
+                at = np.cumsum(n) - n  # hits are in the order of documents
+                for i in np.flatnonzero(n).tolist():
+                    own = hits[at[i] : at[i] + n[i]]
+                    found[i] = _offsets(texts[i].as_py(), dict(zip((own - (ends[i] - counts[i])).tolist(), m[own].tolist(), strict=True)))
             arrays = [*b.columns[: len(keep)], pa.array(score), pa.array(n, pa.int32()), pa.array(found if spans else [None] * len(counts), kinds)]
             yield pa.RecordBatch.from_arrays(arrays, [*keep, "score", "n_toxic", "spans"])
 

@@ -64,3 +64,30 @@ def test_no_labels(spark):
 def test_tokens():
     counts, ids, words = t.tokenized(pa.array(["a  b\n a", None, "", " x"]))
     assert counts.tolist() == [3, 0, 0, 1] and [words[i] for i in ids] == ["a", "b", "a", "x"]
+
+
+def test_long_sequences_in_stretches_equal_one_pass(monkeypatch):
+    rng = np.random.default_rng(3)
+    counts = np.array([5000, 0, 1, 700, 1025, 2048, 3])
+    e, chain = rng.standard_normal(counts.sum()) * 3, np.array([[0.3, -2.0], [-1.0, 0.5]])
+    e[100:140] = 80.0
+    whole = t._messages(e, counts, chain)
+    for leap in (16, 512):
+        monkeypatch.setattr(t, "LEAP", leap)
+        parts = t.forward_backward(e, counts, chain)
+        m = [1 / (1 + np.exp(-np.clip(f + b, -60, 60))) for f, b in (whole, parts)]
+        assert np.allclose(*m, atol=1e-9)
+
+
+def test_a_very_long_text_repeated_rows_and_null_ids(spark):
+    texts, labels = made(200, 5)
+    long = "river " * 400_000 + "scum, scum idiot moron loser"
+    rows = [*enumerate(texts), (300, long), (300, long), (None, "a river")]
+    docs = spark.createDataFrame([(i, x, 0.5, 1) for i, x in rows], "doc_id long, text string, score double, n_toxic int")
+    given = spark.createDataFrame([*enumerate(labels), *enumerate(labels), (300, 0)], "doc_id long, toxic int")
+    model = t.train(docs, given, t.Config(epochs=10, bytes=2_000_000))  # the long text does not fit
+    got = t.tag(docs, model).collect()
+    assert len(got) == len(rows) and sum(r["doc_id"] is None for r in got) == 1
+    two = [r for r in got if r["doc_id"] == 300]
+    assert two[0]["score"] == two[1]["score"] and two[0]["spans"] and two[0]["spans"][-1]["stop"] == len(long)
+
