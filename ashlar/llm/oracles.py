@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .mixing import DEFAULT, DIMENSIONS, OTHER, Mix
+from .mixing import DEFAULT, DIMENSIONS, OTHER, SETTLED, Mix
 from .queries import URL_RULES
 
 
@@ -34,9 +34,15 @@ def mixing_sql(docs: str = "documents", mix: Mix = DEFAULT, columns: str = "") -
     ]
     for d in DIMENSIONS:
         rows = ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in has[d].items())
-        parts.append(
-            f"g_{d} AS MATERIALIZED (SELECT v, g / sum(g) OVER () AS g FROM (VALUES {rows}) AS x(v, g) WHERE v IN (SELECT _{d} FROM k))"
-        )
+        mine = f"v = '{OTHER}'" if has[d][OTHER] == 0 else "false"
+        parts += [
+            f"h_{d} AS MATERIALIZED (SELECT _{d} AS v, sum(w) AS h, any_value(g) AS g FROM w0 JOIN (VALUES {rows}) AS x(v, g) ON v = _{d} GROUP BY _{d})",
+            f"r_{d}_0 AS (SELECT *, CASE WHEN {mine} THEN h END AS val FROM h_{d})",
+        ]
+        left = "greatest(1 - sum(coalesce(val, 0)) OVER (), 0) / nullif(sum(CASE WHEN val IS NULL THEN g ELSE 0 END) OVER (), 0)"
+        for i in range(SETTLED):
+            parts.append(f"r_{d}_{i + 1} AS (SELECT v, h, g, CASE WHEN val IS NOT NULL THEN val WHEN g * s > {mix.boost} * h THEN {mix.boost} * h END AS val FROM (SELECT *, {left} AS s FROM r_{d}_{i}))")
+        parts.append(f"g_{d} AS MATERIALIZED (SELECT v, e / sum(e) OVER () AS g FROM (SELECT v, coalesce(val, g * s, h) AS e FROM (SELECT *, {left} AS s FROM r_{d}_{SETTLED})))")
     last, n = "w0", 0
     for _ in range(mix.rounds):
         for d in DIMENSIONS:
@@ -45,12 +51,15 @@ def mixing_sql(docs: str = "documents", mix: Mix = DEFAULT, columns: str = "") -
                 f"w{n} AS MATERIALIZED (SELECT _source, _lang, _topic, tokens, w * coalesce(g / nullif(sum(w) OVER (PARTITION BY _{d}), 0), 0) AS w FROM {last} JOIN g_{d} ON v = _{d})"
             )
             last = f"w{n}"
-    parts += [
-        f"r AS (SELECT *, w / tokens AS ratio, sum(tokens) OVER () AS total FROM {last})",
-        f"f AS (SELECT *, ({mix.budget} * total - coalesce(sum(tokens) OVER (ORDER BY ratio DESC, _source, _lang, _topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) "
-        "/ sum(w) OVER (ORDER BY ratio DESC, _source, _lang, _topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f FROM r)",
-        "p AS MATERIALIZED (SELECT _source, _lang, _topic, CASE WHEN ratio > 0 THEN least(1.0::DOUBLE, coalesce(max(CASE WHEN f * ratio <= 1 THEN f END) OVER (), 'inf'::DOUBLE) * ratio) ELSE 0 END AS p FROM f)",
-    ]
+    parts.append(f"r AS (SELECT *, w / tokens AS ratio, sum(tokens) OVER () AS total FROM {last})")
+    if mix.budget is None:
+        parts.append("p AS MATERIALIZED (SELECT _source, _lang, _topic, coalesce(ratio / nullif(max(ratio) OVER (), 0), 0) AS p FROM r)")
+    else:
+        parts += [
+            f"f AS (SELECT *, ({mix.budget} * total - coalesce(sum(tokens) OVER (ORDER BY ratio DESC, _source, _lang, _topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) "
+            "/ sum(w) OVER (ORDER BY ratio DESC, _source, _lang, _topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f FROM r)",
+            "p AS MATERIALIZED (SELECT _source, _lang, _topic, CASE WHEN ratio > 0 THEN least(1.0::DOUBLE, coalesce(max(CASE WHEN f * ratio <= 1 THEN f END) OVER (), 'inf'::DOUBLE) * ratio) ELSE 0 END AS p FROM f)",
+        ]
     chosen = columns or "doc_id, _source AS source_cell, _lang AS lang_cell, _topic AS topic_cell, _tokens::BIGINT AS tokens, round(p, 6) AS p"
     draw = f"('0x' || substr(md5(concat('{mix.seed}:', doc_id::VARCHAR)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
     return "WITH " + ",\n".join(parts) + f"\nSELECT {chosen} FROM e LEFT JOIN p USING (_source, _lang, _topic) WHERE {draw} < coalesce(p, 1.0)"
