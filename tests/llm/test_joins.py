@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 from ashlar.llm import chosen_path, suffix_dedup, vector_join
+from pyspark.sql import functions as F
 
 
 def classes(ids, pairs):
@@ -76,6 +77,47 @@ def test_jaccard_of_repeated_rows_and_shared_ids(spark):
     assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == sorted((d, top[d], n[i]) for i, (d, _) in enumerate(rows))
 
 
+def test_recall_at_defaults_on_whole_documents(spark):
+    """All pairs of the table by an inverted index against the join as it is shipped."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r for r in chosen_path.join(docs).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    sets, held = {}, {}
+    for i, x in texts.items():
+        w = x.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+        for g in sets[i]:
+            held.setdefault(g, []).append(i)
+    shared = {}
+    for own in held.values():
+        for a, b in ((a, b) for k, a in enumerate(own) for b in own[:k]):
+            shared[a, b] = shared.get((a, b), 0) + 1
+    pairs = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9]
+    n = np.bincount(np.array(pairs).ravel(), minlength=max(texts) + 1)
+    found = sum(min(got[i]["n_links"], n[i]) for i in texts)
+    print("links", int(n.sum()) // 2, "recall", found / n.sum())
+    assert n.sum() > 100 and found >= 0.99 * n.sum() and all(got[i]["n_links"] <= n[i] for i in texts)
+    top = classes(texts, pairs)
+    assert np.mean([got[i]["class_id"] == top[i] for i in texts]) > 0.99
+
+
+def test_vectors_that_share_an_id(spark):
+    a, b = [1.0, 0.0, 0.0, 0.1], [0.0, 1.0, 0.0, 0.1]
+    rows = [(1, a, 0), (1, b, 0), (2, a, 0), (2, a, 0), (3, b, 0), (4, b, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vector_join.near_duplicates(df).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 2, 1), (2, 2, 1), (3, 1, 1), (4, 0, 4)]
+
+
+def test_more_axes_find_the_same(spark):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((40, 24))
+    rows = [(i, (base[i % 40] + rng.standard_normal(24) * 0.15 * (i >= 40)).tolist(), i % 2) for i in range(160)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = [sorted(map(tuple, vector_join.near_duplicates(df, vector_join.Config(grid=g)).collect())) for g in (1, 2, 3)]
+    assert found[0] == found[1] == found[2] and any(r[1] for r in found[0])
+
+
 def test_vector_join(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((60, 16))
@@ -146,6 +188,40 @@ def test_suffix_dedup(spark, monkeypatch):
     assert suffix_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_keep_what_is_theirs(spark):
+    rng = random.Random(2)
+    a, b, c = ("".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (4, b[:200] + "!"), (None, a), (None, a)]
+    df = spark.createDataFrame([(*r, r[1][:3]) for r in rows], "doc_id long, text string, n_bytes string")
+    got = sorted((r["doc_id"] or 0, r["n_removed"], bytes(r["kept"])) for r in suffix_dedup.dedup(df).collect())
+    assert got == sorted([(1, 0, a.encode()), (2, 400, b""), (2, 0, b.encode()), (3, 0, c.encode()), (3, 400, b""), (4, 200, b"!"), (0, 0, a.encode()), (0, 0, a.encode())])
+    kept = suffix_dedup.dedup(df.drop("n_bytes").withColumn("doc", F.lit(5)), keep=("doc",)).where("doc_id = 2").collect()
+    assert [r["doc"] for r in kept] == [5, 5]
+
+
+def test_a_text_above_16_mib_and_a_copy_of_its_end(spark):
+    import base64
+
+    raw = base64.b64encode(np.random.default_rng(1).bytes(13_500_000)).decode()
+    end = raw[17_000_000:17_500_000]
+    df = spark.createDataFrame([(1, raw), (2, end), (3, "!" + end[1000:300_000])], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.dedup(df).drop("kept").collect()}
+    assert got == {1: (18_000_000, 0, 0), 2: (500_000, 500_000, 1), 3: (299_001, 299_000, 1)}
+
+
+def test_ranges_order_leads_and_parts_keep_them_together():
+    rng = np.random.default_rng(4)
+    text = "".join(rng.choice(list("ab "), 30_000)).encode()
+    a = suffix_dedup.anchors(np.array([1]), [text], suffix_dedup.Config())
+    s = suffix_dedup.splitters([a.w0, a.w1, a.w2, a.around], 40)
+    bucket = suffix_dedup.Ranges(s).of(a)
+    keys = list(zip(a.w0.tolist(), a.w1.tolist(), a.w2.tolist(), a.around.tolist(), strict=True))
+    edges = [tuple(x) for x in s.tolist()]
+    assert bucket.tolist() == [sum(e <= k for e in edges) for k in keys]
+    fine = suffix_dedup.Ranges(s, 5).of(a)
+    assert (fine // 5 == bucket).all() and len({(k[:3], int(b)) for k, b in zip(keys, fine, strict=True)}) == len({(k[:3], int(b)) for k, b in zip(keys, bucket, strict=True)})
+
+
 def test_anchors_of_long_texts_do_not_depend_on_stretches(monkeypatch):
     rng = random.Random(5)
     t = "".join(rng.choice("abcd ") for _ in range(5000)).encode()
