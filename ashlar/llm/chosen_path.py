@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, components, cut, releasing, roots, spread, whole
+from .common import bounded, by_group, by_size, components, cut, releasing, roots, spread, whole
 from .pieces import mixed, ragged
 
 
@@ -114,13 +114,11 @@ def digest(documents: DataFrame, c: Config, key: str, text: str) -> DataFrame:
     size = c.runs * c.depth
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                part = b.slice(i, 1000)
-                count, hashes = shingles(_raw(part.column(2)), c.words, c.seed)
-                s = sketches(count, hashes, size, c.seed)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, s.size + 1, size, dtype=np.int32)), pa.array(s.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(count), lists], ["doc", "same", "n", "sketch"])
+        for part in by_size(batches, 2, 500_000):
+            count, hashes = shingles(_raw(part.column(2)), c.words, c.seed)
+            s = sketches(count, hashes, size, c.seed)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, s.size + 1, size, dtype=np.int32)), pa.array(s.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(count), lists], ["doc", "same", "n", "sketch"])
 
     t = whole(text)
     rows = documents.select(F.col(key).cast("long").alias("doc"), F.md5(t.cast("binary")).alias("same"), t.alias("text")).where("doc is not null")
@@ -153,7 +151,7 @@ def _numpy(t: pa.Table, name: str, width: int = 0) -> np.ndarray:
     return c.flatten().to_numpy().reshape(-1, width) if width else c.to_numpy(zero_copy_only=False)
 
 
-def _pairs(t: pa.Table, c: Config, most: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(t: pa.Table, c: Config, most: int = 30_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows (left, right) of the pairs that belong to this run and pass the screen."""
     bucket, r, mine, across = (_numpy(t, x) for x in ("bucket", "r", "mine", "across"))
     leaf, sketch = _numpy(t, "leafs", c.runs), _numpy(t, "sketch", c.runs * c.depth)
@@ -201,6 +199,7 @@ def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thresho
 def join(documents: DataFrame, c: Config = Config(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, class_id, n_links, n_shingles): class_id is the smallest id that links lead to, n_links counts the other rows of at least the threshold's similarity."""
     spark = documents.sparkSession
+    bounded(spark)
     parts = spread(spark)
     rows = cut(digest(documents, c, key, text))
     texts = rows.groupBy("same").agg(F.min("doc").alias("doc"), F.count("*").alias("times"))
@@ -219,7 +218,7 @@ def join(documents: DataFrame, c: Config = Config(), key: str = "doc_id", text:
     wide = spots.join(members.drop("doc", "same", "times"), "node")
 
     def screen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_group(batches, "bucket", 50_000):
+        for t in by_group(batches, "bucket", 20_000):
             keep = np.zeros(t.num_rows, dtype=bool)
             for left, right in _pairs(t, c):
                 keep[left] = keep[right] = True
@@ -237,8 +236,10 @@ def join(documents: DataFrame, c: Config = Config(), key: str = "doc_id", text:
         wanted = wanted.dropDuplicates(["node"])
     kinds = "bucket long, r int, mine int, across boolean, node long, doc long, times long, leafs array<long>, sketch array<int>, shingles binary"
 
+    at = wanted.columns.index("text")
+
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_size(batches, at, 500_000):
             for i in range(0, b.num_rows, 200):
                 part = b.slice(i, 200)
                 count, hashes = shingles(_raw(part.column("text")), c.words, c.seed)
@@ -249,8 +250,8 @@ def join(documents: DataFrame, c: Config = Config(), key: str = "doc_id", text:
                 flat = spots.flatten()
                 fields = [flat.field(x) for x in ("bucket", "r", "mine", "across")]
                 rest = [part.column(x).take(own) for x in ("node", "doc", "times", "leafs", "sketch")]
-                for j in range(0, len(own), 1000):
-                    yield pa.RecordBatch.from_arrays([x.slice(j, 1000) for x in [*fields, *rest, packed.take(own)]], [k.split()[0] for k in kinds.split(", ")])
+                for j in range(0, len(own), 500):
+                    yield pa.RecordBatch.from_arrays([x.slice(j, 500) for x in [*fields, *rest, packed.take(own)]], [k.split()[0] for k in kinds.split(", ")])
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_group(batches, "bucket", 1500):

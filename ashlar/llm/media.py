@@ -5,7 +5,8 @@ back, testing every chunk's checksum and undoing the row filters in numpy, and c
 low-frequency cosine transform. Both run over Arrow batches; a row's image is the largest thing held besides a batch.
 
 Null text counts as empty (one row of blanks). A null binary gives nulls; one that is damaged raises, or gives nulls
-and the reason in ``error`` under ``on_error="null"``.
+and the reason in ``error`` under ``on_error="null"``. Every row is taken by itself: repeated rows and ids, null ids
+and equal texts give as many rows, equal texts with equal values. Extra columns stay out unless ``keep`` names them.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded, by_size, releasing
+
 #: Samples in a row of the image; payloads are filled up with blanks to whole rows.
 WIDTH = 192
 #: Fixed values of the format.
@@ -29,7 +32,10 @@ NONE, SUB, UP, AVERAGE, PAETH = range(5)
 
 def payload(text: str | None) -> bytes:
     """UTF-8 bytes, filled up with blanks to a positive multiple of WIDTH."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
+    return filled((text or "").encode("utf-8", "surrogatepass"))
+
+
+def filled(raw: bytes) -> bytes:
     return raw.ljust(max(WIDTH, -(-len(raw) // WIDTH) * WIDTH), b" ")
 
 
@@ -172,17 +178,19 @@ def cosine_hash(samples: np.ndarray) -> str:
 def to_media(documents: DataFrame, key: str = "doc_id", text: str = "text", filters: Sequence[int] = (NONE, UP), level: int = 6) -> DataFrame:
     """(key, n_bytes, media): the PNG of each text, and its length in bytes before filling up."""
 
+    bounded(documents.sparkSession)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_size(batches, 1, 1_000_000):
             sizes, made = [], []
             for t in b.column(1):
-                raw = payload(t.as_py())
-                sizes.append(len((t.as_py() or "").encode("utf-8", "surrogatepass")))
-                made.append(write_png(np.frombuffer(raw, dtype=np.uint8).reshape(-1, WIDTH), filters, level))
+                raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
+                sizes.append(len(raw))
+                made.append(write_png(np.frombuffer(filled(raw), dtype=np.uint8).reshape(-1, WIDTH), filters, level))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(made, pa.binary())], [key, "n_bytes", "media"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, media binary")
+    return documents.select(key, F.col(text).alias("_text")).mapInArrow(releasing(run), f"`{key}` {kind}, n_bytes long, media binary")
 
 
 READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
@@ -205,11 +213,13 @@ def read_media(media: DataFrame, keep: Sequence[str] = ("doc_id", "n_bytes"), co
 
     fields = [pa.field(x.split()[0], {"long": pa.int64(), "string": pa.string()}[x.split()[1]]) for x in READ.split(", ")]
 
+    bounded(media.sparkSession)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_size(batches, len(keep), 1_000_000):
             found = list(zip(*(look(x.as_py()) for x in b.column(len(keep))), strict=True)) or [()] * len(fields)
             arrays = [*b.columns[: len(keep)], *(pa.array(v, f.type) for v, f in zip(found, fields, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, [*keep, *(f.name for f in fields)])
 
     kept = ", ".join(f"`{k}` {media.schema[k].dataType.simpleString()}" for k in keep)
-    return media.select(*keep, F.col(column)).mapInArrow(run, f"{kept}, {READ}")
+    return media.select(*keep, F.col(column).alias("_media")).mapInArrow(releasing(run), f"{kept}, {READ}")

@@ -14,11 +14,12 @@ hash of their id, so copies under different ids may be cut differently, and deco
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import os
 import re
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size
+from .common import bounded, by_size, releasing
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Where the vocabulary file lies unless a path is given; ``ASHLAR_PIECES`` names another.
+MODEL = os.environ.get("ASHLAR_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 #: Units of up to so many characters are merged together; longer ones one by one.
 WIDE = 64
 CLASSES = (6, 8, 10, 12, 16, 24, 40, WIDE)
@@ -63,6 +65,14 @@ class Vocabulary:
             raise ValueError("bytes are not consecutive")
         return Vocabulary(pieces, order, byte0)
 
+    def digest(self) -> str:
+        """Names everything that coding depends on."""
+        h = hashlib.blake2b(np.ascontiguousarray(self.order, dtype="<i4").tobytes() + self.byte0.to_bytes(4, "little"), digest_size=16)
+        for p in self.pieces:
+            raw = p.encode("utf-8", "surrogatepass")
+            h.update(len(raw).to_bytes(4, "little") + raw)
+        return h.hexdigest()
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of x moves every bit of the result."""
@@ -73,12 +83,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Coder:
-    """Encodes and decodes batches; one for each Python worker."""
+    """Encodes and decodes batches. What depends on the vocabulary alone is kept by a Python worker, units are not."""
 
-    def __init__(self, vocabulary: Vocabulary, dropout: float = 0.1, seed: int = 1, most: int = 150_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, dropout: float = 0.1, seed: int = 1, most: int = 40_000) -> None:
         """most: units that are remembered from batch to batch before the memory is cleared."""
         self.v, self.dropout, self.seed, self.most = vocabulary, dropout, seed, most
-        self._clear()
+        self.clear()
         ids = {p: i for i, p in enumerate(vocabulary.pieces) if p}
         singles = sorted({c for p in ids for c in p})
         n = len(vocabulary.pieces)
@@ -297,7 +307,7 @@ class Coder:
     def _stored(self, words: list[str], word: np.ndarray, variant: np.ndarray) -> np.ndarray:
         """Places in the store of units under their variants; the store keeps what earlier batches had, to a bound."""
         if self.stored > self.most:
-            self._clear()
+            self.clear()
         keys = [words[i] + chr(v) for i, v in zip(word.tolist(), variant.tolist(), strict=True)]
         known = self.known
         new = [i for i, k in enumerate(keys) if k not in known]
@@ -311,7 +321,7 @@ class Coder:
             self.stored += len(new)
         return np.fromiter((known[k] for k in keys), dtype=np.int64, count=len(keys))
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.stored = 0
         self.store_n = self.store_start = np.zeros(0, dtype=np.int64)
@@ -343,56 +353,61 @@ def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=2)
-def _coder(token: tuple) -> Coder:
-    return Coder(*_SHIPPED[token])
-
-
-_SHIPPED: dict[tuple, tuple] = {}
+#: The last coder of a Python worker, by vocabulary, dropout and seed.
+_CODER: dict[tuple, Coder] = {}
 
 
-def _worker_coder(vocabulary: Vocabulary, dropout: float, seed: int) -> Coder:
-    """One coder for each Python worker, kept between its tasks."""
-    token = (len(vocabulary.pieces), vocabulary.pieces[-1], vocabulary.byte0, dropout, seed)
-    _SHIPPED[token] = (vocabulary, dropout, seed)
-    return _coder(token)
+def _worker_coder(name: tuple, vocabulary: Vocabulary, dropout: float, seed: int) -> Coder:
+    """One coder for each Python worker, kept between tasks of the same vocabulary and settings."""
+    if name not in _CODER:
+        _CODER.clear()
+        _CODER[name] = Coder(vocabulary, dropout, seed)
+    return _CODER[name]
 
 
 def encode(documents: DataFrame, vocabulary: Vocabulary, dropout: float = 0.1, seed: int = 1, variants: int = 4, keep: Sequence[str] = ("doc_id",), key: str = "doc_id", text: str = "text", verify: bool = False) -> DataFrame:
     """(keep..., n_bytes, n_pieces, ids): ids as little-endian unsigned 32-bit numbers in a binary column.
 
-    verify: adds ``lossless``, whether decoding the packed ids gives back the text's bytes.
+    verify: adds ``lossless``, whether decoding the packed ids gives back the text's bytes. Other columns of documents
+    stay out, whatever their names.
     """
+    bounded(documents.sparkSession)
+    name = (vocabulary.digest(), dropout, seed)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _worker_coder(vocabulary, dropout, seed)
-        for b in by_size(batches, len(keep), 1_000_000):
-            texts, variant = b.column(len(keep)), b.column(len(keep) + 1).to_numpy(zero_copy_only=False).astype(np.int64)
-            n, ids = coder.encode(texts, variant)
-            raw = ids.astype("<u4").tobytes()
-            ends = np.cumsum(n) * 4
-            packed = [raw[e - 4 * k : e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-            size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
-            made, names = [*b.columns[: len(keep)], size, pa.array(n), pa.array(packed, pa.binary())], [*keep, "n_bytes", "n_pieces", "ids"]
-            if verify:
-                back = coder.unpacked(packed)
-                made.append(pa.array([x == (y or "").encode("utf-8", "surrogatepass") for x, y in zip(back, texts.to_pylist(), strict=True)]))
-                names.append("lossless")
-            yield pa.RecordBatch.from_arrays(made, names)
+        coder = _worker_coder(name, vocabulary, dropout, seed)
+        try:
+            for b in by_size(batches, len(keep), 1_000_000):
+                texts, variant = b.column(len(keep)), b.column(len(keep) + 1).to_numpy(zero_copy_only=False).astype(np.int64)
+                n, ids = coder.encode(texts, variant)
+                raw = ids.astype("<u4").tobytes()
+                ends = np.cumsum(n) * 4
+                packed = [raw[e - 4 * k : e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
+                size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+                made = [*b.columns[: len(keep)], size, pa.array(n), pa.array(packed, pa.binary())]
+                if verify:
+                    back = coder.unpacked(packed)
+                    made.append(pa.array([x == (y or "").encode("utf-8", "surrogatepass") for x, y in zip(back, texts.to_pylist(), strict=True)]))
+                yield pa.RecordBatch.from_arrays(made, [*keep, "n_bytes", "n_pieces", "ids", *["lossless"] * verify])
+        finally:
+            coder.clear()
 
     kept = ", ".join(f"`{k}` {documents.schema[k].dataType.simpleString()}" for k in keep)
     variant = F.pmod(F.xxhash64(F.col(key)), F.lit(variants)).alias("_variant")
-    return documents.select(*keep, F.col(text).alias("_text"), variant).mapInArrow(run, f"{kept}, n_bytes long, n_pieces long, ids binary{', lossless boolean' if verify else ''}")
+    schema = f"{kept}, n_bytes long, n_pieces long, ids binary{', lossless boolean' if verify else ''}"
+    return documents.select(*keep, F.col(text).alias("_text"), variant).mapInArrow(releasing(run), schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, keep: Sequence[str] = ("doc_id",), column: str = "ids") -> DataFrame:
-    """(keep..., text): the texts of a column of packed ids."""
+    """(keep..., text): the texts of a column of packed ids; null counts as no ids."""
+    bounded(encoded.sparkSession)
+    name = (vocabulary.digest(), 0.0, 0)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _worker_coder(vocabulary, 0.0, 0)
+        coder = _worker_coder(name, vocabulary, 0.0, 0)
         for b in by_size(batches, len(keep)):
             texts = [x.decode("utf-8", "surrogatepass") for x in coder.unpacked(b.column(len(keep)).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string())], [*keep, "text"])
 
     kept = ", ".join(f"`{k}` {encoded.schema[k].dataType.simpleString()}" for k in keep)
-    return encoded.select(*keep, column).mapInArrow(run, f"{kept}, text string")
+    return encoded.select(*keep, F.col(column).alias("_ids")).mapInArrow(releasing(run), f"{kept}, text string")

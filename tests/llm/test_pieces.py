@@ -59,3 +59,29 @@ def test_columns(spark, vocabulary):
     back = {r["doc_id"]: r["text"] for r in pieces.decode(coded, vocabulary).collect()}
     assert [back[i] for i in range(len(TEXTS) + 1)] == [*TEXTS, ""]
     assert pieces.encode(df.limit(0), vocabulary).count() == 0
+
+
+def test_workers_tell_vocabularies_apart(vocabulary):
+    import dataclasses
+
+    words = list(vocabulary.pieces)
+    at = words.index(" the")
+    words[at], words[at - 1] = words[at - 1], words[at]
+    other = dataclasses.replace(vocabulary, pieces=tuple(words))
+    assert other.digest() != vocabulary.digest()
+    first = pieces._worker_coder((vocabulary.digest(), 0.0, 1), vocabulary, 0.0, 1)
+    second = pieces._worker_coder((other.digest(), 0.0, 1), other, 0.0, 1)
+    assert first is not second and pieces._worker_coder((other.digest(), 0.0, 1), other, 0.0, 1) is second
+    assert len(pieces._CODER) == 1
+
+
+def test_long_texts_repeated_rows_null_ids_and_clashing_columns(spark, vocabulary):
+    rng = np.random.default_rng(0)
+    long = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in rng.integers(1, 12, 300_000))
+    rows = [(1, long, "x"), (1, long, "x"), (None, "a b", "y"), (2, "word" * 20_000, "z")]
+    df = spark.createDataFrame([(*r, b"q") for r in rows], "doc_id long, text string, n_bytes string, ids binary")
+    got = pieces.encode(df, vocabulary, verify=True).collect()
+    assert len(got) == 4 and all(r["lossless"] for r in got)
+    assert sorted((r["doc_id"] or 0, r["n_bytes"]) for r in got) == [(0, 3), (1, len(long)), (1, len(long)), (2, 80_000)]
+    assert len({bytes(r["ids"]) for r in got if r["doc_id"] == 1}) == 1
+
