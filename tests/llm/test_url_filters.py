@@ -32,3 +32,22 @@ def test_rarest_token(spark):
     rows = df.select(u.F.concat(u.url_host(u.F.col("url")), u.url_path(u.F.col("url"))).alias("target"))
     rule = u.host_rule("block", "q.com", "/")
     assert u.rarest_tokens(rows, [rule]) == {rule.name: "q"}
+
+
+def test_two_thousand_rules_as_by_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    hosts = [f"{rng.choice('abc')}{i}.{rng.choice(['com', 'net', 'org'])}" for i in range(400)]
+    rules = [(rng.choice(["allow", "block"]), h, p) for h in hosts for p in ("/", "/x/", f"/{h[0]}/y", "/z/z/", "/q")]
+    urls = [f"http{rng.choice(['', 's'])}://{rng.choice(['', 'www.', 'a.b.'])}{rng.choice(hosts)}{rng.choice(['/', '/x/1', '/a/y/2', '/z/z/', '/q?x=1', '', '#f'])}" for _ in range(300)] + ["no url", None, ""]
+    df = spark.createDataFrame([(i, x, "c") for i, x in enumerate(urls)], "page_id long, url string, rule string")
+    for patterns in (u.DEFAULT_PATTERNS[:0], u.DEFAULT_PATTERNS):  # at the bound of the literal index, and above it
+        got = {r["page_id"]: (r["rule"], r["verdict"]) for r in u.filter_urls(df, [u.host_rule(*r) for r in rules], patterns).collect()}
+        for i, x in enumerate(urls):
+            rest = x.split("://", 1)[1] if x and "://" in x else ""
+            host = rest.split("/")[0].split("?")[0].split("#")[0].lower()
+            path = rest[len(host) :].split("?")[0].split("#")[0]
+            fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+            assert got[i] == (max(fits)[1:] if fits else (None, "allow")), x
+
