@@ -1,227 +1,304 @@
 """HTML extraction by the maximum-scoring subsequence.
 
-A page is a sequence of words and tags. Words in content score positive, tags and words of boilerplate negative; the
-weights are log odds learned from labelled pages. One linear scan finds the contiguous run with the highest sum, which
-is the content region. Inside it, words of containers that are never content (menus, adverts, forms, comments) are
-left out, character references are decoded and blocks are joined by a blank line.
-
-Containers are told by their element or by a whole class, id or role. Where only a part of one fits (has-sidebar), or
-where the container holds an article, the scores decide: it is left out unless it holds the content itself.
+A page is a sequence of words and tags. Words score by the log odds that what surrounds them holds content, tags score
+negative; both are learned from labelled pages (``html_pages``). One linear scan finds the contiguous run with the
+highest sum, which is the content region.
+
+1. Containers. Every element has features: its name, and the words of its class, id or role, whole or in parts; each
+   counts apart for elements that hold a third of the page's words or not, whose words are mostly links or not, and that
+   stand in content, in boilerplate or in neither. The sum of their weights is the element's score; scores of outer
+   containers carry over, wholly where they are negative and by half where they are positive. An element that holds
+   the page's article has no score of its own, whatever its class.
+2. Words in a container score as it does; loose words by their block, its length, links, and whether the page has a
+   container of content at all.
+3. Tags cost a little; a tag that opens boilerplate costs the more, the less often content goes on behind its like.
+4. In the region, words of boilerplate containers (a negative score) are left out, and on pages with a container of
+   content those outside of one. Character references are decoded and blocks are joined by a blank line.
 
 Null html counts as empty; a page without a positive run gives an empty text. Cut off and unclosed markup is read as
 browsers do: an unfinished tag is dropped, an end tag closes what was opened inside it. Every page is judged by
-itself, so repeated rows and ids give repeated results.
+itself, so repeated rows and ids give repeated results. Of equal runs the first is taken. Extra columns stay out.
+Time is linear in the length of a page, however deep it is nested.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
+import itertools
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import bounded, by_size, releasing
+from .html_pages import Page, labelled
 
 #: One piece of markup or the text up to the next.
 PIECE = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<""", re.S
 )
 MARK = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-#: Elements whose inside is no markup; only that of the first row is ever text.
-RAW = {"title", "textarea", "script", "style", "noscript", "template", "iframe", "xmp", "svg", "math", "object", "canvas", "select"}
+#: Elements whose inside is no markup and never content.
+RAW = {"title", "textarea", "script", "style", "noscript", "template", "iframe", "xmp", "svg", "math", "object", "canvas", "select", "head"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-#: Containers that make the context of a word, by element.
-CONTEXT = {"nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "button": "form", "dialog": "notice", "head": "head", "article": "article", "main": "article", "figcaption": "article"}
-#: And by class, id or role, the first that fits; as a part of one only in doubt.
-MARKS = (
-    ("comments", re.compile(r"\b(?:comments?|disqus|replies|respond|discussion)\b")),
-    ("advert", re.compile(r"\b(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner-?ad|adsense)\b")),
-    ("notice", re.compile(r"\b(?:cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|paywall)\b")),
-    ("menu", re.compile(r"\b(?:nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|tabs|toc|skip-?link)\b")),
-    ("aside", re.compile(r"\b(?:sidebar|side-?bar|aside|widgets?|related|recommended|more-?stories|share|sharing|social|tags|complementary)\b")),
-    ("footer", re.compile(r"\b(?:footer|site-?footer|copyright|contentinfo|colophon)\b")),
-    ("header", re.compile(r"\b(?:site-?header|masthead|topbar|page-?header|banner|branding)\b")),
-    ("form", re.compile(r"\b(?:search(?:-?form)?|login|signup|sign-?up|form)\b")),
-    ("article", re.compile(r"\b(?:article(?:-?body)?|entry(?:-?content)?|post(?:-?(?:body|content))?|main(?:-?content)?|story(?:-?body)?)\b")),
-)
-#: Never content, wherever they stand.
-DROPPED = {"menu", "footer", "aside", "form", "notice", "advert", "comments", "head"}
-
-#: Labelled pages: fragments in page order, each with 1 where its words are content.
-LABELLED = (
-    (("<html><head><title>A title here</title></head><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul></nav>", 0), ("<article><h1>Rivers of the north</h1><p>The river runs wide and slow below the old mill, and boats go down it to the sea.</p><p>In spring it floods the fields.</p></article>", 1), ("<footer>All rights reserved by the owner of the site</footer></body></html>", 0)),
-    (("<body><header><a href='/'>The Daily Page</a><form><input><button>Search</button></form></header><div class='ad'>Buy two and get one free today</div>", 0), ("<main><h2>How bread rises</h2><p>Yeast eats the sugar in the flour and gives off gas.</p><ul><li>Knead it well and let it rest.</li></ul><p>Then bake it in a hot oven for half an hour.</p></main>", 1), ("<aside><h3>Read more</h3><ul><li><a href='/a'>Ten cakes</a></li><li><a href='/b'>Five pies</a></li></ul></aside><footer>Contact and terms of use</footer></body>", 0)),
-    (("<body><div id='menu'><a href='/'>Start</a> <a href='/x'>Topics</a></div>", 0), ("<div class='text'><p>There was a time when every village had a smith, who shod the horses and mended the ploughs.</p><p>That time is gone, but some of the forges are still to be seen.</p></div>", 1), ("<div class='comments'><p>I like this very much</p><p>So do I</p></div><div class='footer'>Imprint</div></body>", 0)),
-    (("<body><div class='cookie-notice'>We use cookies to make this site work for you <button>Accept</button></div><nav><a href='/'>Home</a></nav>", 0), ("<article><h1>On glass</h1><p>Sand and ash melt into glass in a hot fire.</p>", 1), ("<div class='ad'>Great offers on windows</div>", 0), ("<p>Blown and cut, it makes cups and panes; poured flat, it makes mirrors of the finest kind.</p></article>", 1), ("<section class='comments'><p>Well said, I will try it</p></section><div>Older posts and newer posts are here</div>", 0)),
-    (("<body><table><tr><td><a href='/1'>One</a><td><a href='/2'>Two</a></tr></table>", 0), ("<h1>A plain old page</h1><p>It has no containers at all, only a heading and some lines of running text for the reader.<p>They were made so in the early days of the web.", 1), ("<hr><a href='/back'>Back</a> <a href='/next'>Next</a></body>", 0)),
-    (("<body><div>Top stories this hour</div>", 0), ("<article><p>Snow fell on the hills in the night and the road to the pass was shut until noon.</p><blockquote>We have not seen so much of it in years.</blockquote></article>", 1), ("<div>More from this writer and others</div></body>", 0)),
-)
+#: Often left unclosed: they mark blocks and are no containers.
+OPEN = {"p", "li", "td", "th", "tr", "dt", "dd", "option"}
+#: Never content by what they are for.
+CONTROLS = {"button", "dialog", "menu"}
+#: Containers that say nothing by their name; and those that say nothing beside marks.
+PLAIN = {"html", "body", "div", "section", "ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "caption", "center", "fieldset", "details", "summary"}
+PLAIN |= {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "blockquote", "pre", "figure", "figcaption", "address", "picture", "video", "audio"}
+MAIN = {"article", "main"}
 
 
 @dataclass(slots=True, eq=False)
 class Element:
-    """kind: the context that it makes by its name or marks. sure: by its name or a whole mark, not by a part of one.
-
-    first, stop: its pieces. holds: whether an article is in it. free: whether it makes no context after all.
-    """
+    """first, stop: its pieces. holds: whether an article is in it. words, linked, main: how many, those in links, those in
+    articles. score: of its context."""
 
     name: str
-    kind: str
-    sure: bool
+    marks: tuple[str, ...]
     outer: Element | None
     first: int
-    stop: int = -1
+    stop: int = 0
     holds: bool = False
-    free: bool = False
-    context: str = "loose"
-
-    @property
-    def doubtful(self) -> bool:
-        return self.kind in DROPPED and (self.holds or not self.sure) or self.kind == "header" and not self.sure
-
-
-def _kind(name: str, attributes: str) -> tuple[str, bool]:
-    """(kind, sure) of an element. A page as a whole has no kind; a part of a mark makes no article."""
-    if name in ("html", "body"):
-        return "", True
-    if name in CONTEXT and name != "article" or not attributes:
-        return CONTEXT.get(name, ""), True
-    marks = [w for m in MARK.findall(attributes) for w in m.strip("\"'").lower().replace("_", "-").split()]
-    sure = next((k for k, r in MARKS if any(r.fullmatch(w) for w in marks)), "")
-    if name == "article":  # a comment may be one
-        return "comments" if sure == "comments" else "article", True
-    if sure or not marks:
-        return sure, True
-    line = " ".join(marks)
-    return next((k for k, r in MARKS if k != "article" and r.search(line)), ""), False
-
-
-def _walk(page: str) -> tuple[list[tuple[str, str, Element | None, bool]], list[Element]]:
-    """((kind, value, element, in a link) of each piece, elements, outer ones first): kind is word for a text between tags, tag or block for markup."""
-    parts: list[tuple[str, str, Element | None, bool]] = []
+    words: int = 0
+    linked: int = 0
+    main: int = 0
+    score: float = 0.0
+    known: bool = False
+
+
+@dataclass(slots=True)
+class Piece:
+    """kind: word for the text between tags, tag or block for markup. n: words; block: the block that a text is in; run: words of that block."""
+
+    kind: str
+    value: str
+    element: Element | None
+    link: bool
+    at: int
+    n: int = 0
+    block: str = ""
+    run: int = 0
+    opens: Element | None = None
+
+
+def _marks(attributes: str) -> tuple[str, ...]:
+    return tuple(w for m in MARK.findall(attributes) for w in m.strip("\"'").lower().replace("_", "-").split())
+
+
+def walk(page: str) -> tuple[list[Piece], list[Element]]:
+    """(pieces, elements, outer ones first)."""
+    pieces: list[Piece] = []
     elements: list[Element] = []
     stack: list[Element] = []
-    at, links = 0, 0
+    articles: list[Element] = []
+    opened: Counter[str] = Counter()  # names in the stack
+    at, block, run = 0, "", []
+
+    def ended() -> None:
+        n = sum(p.n for p in run)
+        for p in run:
+            p.run = n
+        run.clear()
+
     while at < len(page):
         m = PIECE.match(page, at)
-        at = m.end()
+        begin, at = at, m.end()
         name = m[2]
         if name is None:
             # a bare < is text, but at the very end it is a tag that was cut off
-            if page[m.start()] != "<" or m.end() - m.start() == 1 and at < len(page):
-                parts.append(("word", m[0], stack[-1] if stack else None, links > 0))
+            if page[begin] != "<" or at - begin == 1 and at < len(page):
+                p = Piece("word", m[0], stack[-1] if stack else None, opened["a"] > 0, begin, len(m[0].split()), block)
+                pieces.append(p)
+                run.append(p)
             continue
         name = name.lower()
         kind = "tag" if name in INLINE else "block"
+        opens = None
+        if kind == "block":
+            ended()
+            block = "" if m[1] else name
         if m[1]:
-            if any(e.name == name for e in stack):
+            if opened[name]:
                 while True:
                     e = stack.pop()
-                    e.stop = len(parts)
+                    opened[e.name] -= 1
+                    e.stop = len(pieces)
                     if e.name == name:
                         break
-            links = sum(e.name == "a" for e in stack) if name == "a" or kind == "block" else links
         elif name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)" + (r"|(?=<body\b)" if name == "head" else ""), re.I).search(page, at)
             at = end.end() if end else len(page)
-        elif name not in VOID and not m[3].rstrip().endswith("/"):
-            if name == "a":
-                links += 1
-            if name not in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):  # these are often left unclosed
-                e = Element(name, *_kind(name, m[3]), stack[-1] if stack else None, len(parts))
-                if name in ("article", "main") and e.kind == "article":
-                    over = e.outer
-                    while over and not over.holds:
-                        over.holds = True
-                        over = over.outer
-                stack.append(e)
-                elements.append(e)
-        parts.append((kind, name, stack[-1] if stack else None, links > 0))
+        elif name not in VOID and not m[3].rstrip().endswith("/") and name not in OPEN:
+            e = opens = Element(name, _marks(m[3]) if m[3] and name not in ("html", "body") else (), stack[-1] if stack else None, len(pieces))
+            if name in MAIN and not any("comment" in x for x in e.marks):
+                articles.append(e)
+                over = e.outer
+                while over and not over.holds:
+                    over.holds = True
+                    over = over.outer
+            stack.append(e)
+            opened[name] += 1
+            elements.append(e)
+        pieces.append(Piece(kind, name, stack[-1] if stack else None, opened["a"] > 0, begin, opens=opens))
+    ended()
     for e in stack:
-        e.stop = len(parts)
-    return parts, elements
+        e.stop = len(pieces)
+    words = [0, *itertools.accumulate(p.n for p in pieces)]
+    linked = [0, *itertools.accumulate(p.n if p.link else 0 for p in pieces)]
+    gained = [0] * (len(pieces) + 1)  # words of an article where it ends, of outermost ones only
+    reached = 0
+    for e in articles:
+        if e.first >= reached:
+            reached = e.stop
+            gained[e.stop] = words[e.stop] - words[e.first]
+    main = list(itertools.accumulate(gained))
+    for e in elements:
+        e.words, e.linked = words[e.stop] - words[e.first], linked[e.stop] - linked[e.first]
+        e.main = main[e.stop] - main[e.first] if e.holds else 0
+    return pieces, elements
 
 
-def _settled(parts: Sequence[tuple], elements: Sequence[Element]) -> list[tuple[str, str, str, bool]]:
-    """(kind, value, context, in a link): the context of a word is that of the nearest element that makes one."""
-    for e in elements:
-        outer = e.outer.context if e.outer else "loose"
-        if e.name in ("html", "body"):
-            e.context = "loose" if outer in DROPPED else outer
-        elif outer in DROPPED or e.free or not e.kind or e.kind == "header" and outer == "article":  # that of an article is the article's
-            e.context = outer
-        else:
-            e.context = e.kind
-    return [(kind, value, e.context if e else "loose", link) for kind, value, e, link in parts]
-
-
-def pieces(page: str) -> Iterator[tuple[str, str, str, bool]]:
-    """The pieces with all elements of the kind that they seem to be."""
-    yield from _settled(*_walk(page))
-
-
-def _feature(kind: str, value: str, context: str, link: bool, has: bool) -> str:
-    if kind == "word":
-        return f"word:{context}:{'link' if link and context not in ('article',) else 'text'}:{'with' if has else 'without'}"
-    return f"{kind}:{value}"
-
-
-def _has_article(parts: Sequence[tuple]) -> bool:
-    return any(c == "article" for k, _, c, _ in parts if k == "word")
-
-
-def learned(labelled: Sequence = LABELLED) -> dict[str, float]:
-    """Log odds of each feature between content and the rest; tags count against a run, however content-like."""
-    inside: Counter[str] = Counter()
-    outside: Counter[str] = Counter()
-    for fragments in labelled:
-        page = "".join(f for f, _ in fragments)
-        parts = list(pieces(page))
-        has = _has_article(parts)
-        ends, n = [], 0
-        for f, content in fragments:
-            n += sum(1 for _ in PIECE.finditer(f))
-            ends.append((len(f), content))
-        offset, spans = 0, []
-        for size, content in ends:
-            spans.append((offset, offset + size, content))
-            offset += size
-        # pieces in order carry no offsets: find each fragment's own pieces by replaying the page's prefix
-        done = 0
-        for _, stop, content in spans:
-            upto = len(list(pieces(page[:stop])))
-            for kind, value, context, link in parts[done:upto]:
-                (inside if content else outside)[_feature(kind, value, context, link, has)] += len(value.split()) if kind == "word" else 1
-            done = upto
-    out = {}
-    for f in inside.keys() | outside.keys():
-        w = math.log((inside[f] + 0.5) / (outside[f] + 0.5))
-        out[f] = w if f.startswith("word") else min(-0.1, w)
+@dataclass(frozen=True)
+class Weights:
+    """containers: log odds by feature; gaps: cost of a tag that opens boilerplate; loose: of loose words; tags: of other tags."""
+
+    containers: dict[str, float]
+    gaps: dict[str, float]
+    loose: dict[str, float]
+    tags: dict[str, float]
+
+
+#: Bound of a container's score, and what a positive one hands on.
+MOST, CARRY = 4.0, 0.5
+
+
+def _names(e: Element, known: dict[str, float] | None) -> list[str]:
+    """The features of an element without their circumstances: marks that are not known go by their parts."""
+    out = []
+    for m in e.marks:
+        whole = f"m:{m}"
+        if known is None or whole in known:
+            out.append(whole)
+        if "-" in m and (known is None or whole not in known):
+            out += [x for x in (f"p:{part}" for part in m.split("-")) if known is None or x in known]
+    if e.name not in INLINE and e.name not in PLAIN and not (out and e.name in MAIN):
+        out.append(f"e:{e.name}")
     return out
 
 
-#: Weights of features that no labelled page has.
-DEFAULT_WEIGHTS = {"tag": -0.1, "block": -0.3}
+def _circumstances(e: Element, total: int) -> tuple[list[str], list[str]]:
+    """(for names, for marks): from the most to the least particular, the last says nothing.
+
+    What a name means depends most on what is around it, what a mark means on how much is in it.
+    """
+    outer = e.outer.score if e.outer else 0.0
+    around = "in content" if outer > 0 else "in boilerplate" if outer < 0 else "free"
+    size = "small" if 3 * e.words < total else "large"
+    text = size if size == "small" or e.words >= 25 else "short"  # a page that is a form, or one with a form around it
+    links = "links" if 2 * e.linked > e.words else "text"
+    held = "|holds" if e.holds else "|"
+    filled = f"{held}|{size}|{links}"
+    return [f"{held}|{text}|{links}|{around}", f"{held}|{around}", held, ""], [f"{filled}|{around}", filled, f"{held}|{size}", held, ""]
+
+
+def _looked_up(table: dict[str, float], name: str, how: Sequence[str], none: float = 0.0) -> float:
+    """The weight under the most particular circumstances known; of a part not known in large elements, what parts are worth there."""
+    for k, h in enumerate(how):
+        if name + h in table:
+            return table[name + h]
+        if k == 1 and name[0] == "p" and "large" in h and "p" + h in table:
+            return table["p" + h]
+    return none
+
+
+def _wraps(e: Element, total: int, main: int) -> bool:
+    """Whether an element holds the page's article: half of the words in articles, and a sixth of all."""
+    return e.holds and 2 * e.main >= main and 6 * e.main >= total
 
 
-def _steps(parts: Sequence[tuple], has: bool, weights: dict[str, float]) -> list[float]:
-    steps = []
-    for kind, value, context, link in parts:
-        f = _feature(kind, value, context, link, has)
-        if kind == "word":
-            n = len(value.split())
-            default = -2.0 if context in DROPPED or context == "header" or has and context != "article" or link else 1.0
-            steps.append(n * weights.get(f, default))
+def _main(elements: Sequence[Element]) -> int:
+    return max((e.main for e in elements if e.outer is None), default=0)
+
+
+def _score(elements: Sequence[Element], total: int, w: dict[str, float]) -> None:
+    """Sets the scores of elements, outer ones first."""
+    main = _main(elements)
+    for e in elements:
+        outer = e.outer.score if e.outer else 0.0
+        own = 0.0
+        e.known = False
+        if not _wraps(e, total, main):
+            how = _circumstances(e, total)
+            for name in _names(e, w):
+                if name in w:
+                    e.known = True
+                    own += _looked_up(w, name, how[name[0] != "e"])
+        if e.name in CONTROLS:
+            own, e.known = -MOST, True
+        if own == 0.0:
+            e.score = outer
         else:
-            steps.append(weights.get(f, DEFAULT_WEIGHTS[kind]))
-    return steps
+            e.score = max(-MOST, min(MOST, own + outer * (1.0 if outer < 0 else CARRY)))
+
+
+def _loose_keys(p: Piece, has: bool) -> list[str]:
+    base = f"{'with' if has else 'without'}|{'link' if p.link else 'text'}"
+    size = "short" if p.run < 6 else "long"
+    return [f"{base}|{p.block}|{size}", f"{base}|{p.block}", f"{base}|{size}", base]
+
+
+def _of(p: Piece) -> float:
+    return p.element.score if p.element else 0.0
+
+
+def _has(pieces: Sequence[Piece], elements: Sequence[Element]) -> bool:
+    """Whether the page has a container of content: an article, or one with as many words as are loose."""
+    if any(e.name in MAIN and e.words and e.score > 0 for e in elements):
+        return True
+    held, loose = 0, 0
+    for p in pieces:
+        if p.n:
+            score = _of(p)
+            if score > 0:
+                held += p.n
+            elif score == 0 and not p.link:
+                loose += p.n
+    return held > 0 and held >= loose
+
+
+def _steps(pieces: Sequence[Piece], has: bool, total: int, w: Weights) -> list[float]:
+    out = []
+    for p in pieces:
+        score = _of(p)
+        if p.kind == "word":
+            if score < 0 or not p.n:
+                out.append(0.0)
+            elif score > 0:
+                out.append(p.n * (max(score - 1, 0.2) if p.link else score))
+            else:
+                keys = _loose_keys(p, has)
+                out.append(p.n * _looked_up(w.loose, keys[0], [""], _looked_up(w.loose, keys[1], [""], _looked_up(w.loose, keys[2], [""], w.loose.get(keys[3], 0.0)))))
+        elif p.opens is not None and score < 0 and (p.opens.outer is None or p.opens.outer.score >= 0):
+            how = _circumstances(p.opens, total)
+            out.append(max([_looked_up(w.gaps, x, how[x[0] != "e"]) for x in _names(p.opens, w.containers) if x in w.gaps], default=-1.0))
+        else:
+            out.append(w.tags.get(p.value, -0.2) if score >= 0 else 0.0)
+    return out
 
 
-def _best(steps: Sequence[float]) -> tuple[int, int]:
+def best_run(steps: Sequence[float]) -> tuple[int, int]:
+    """The contiguous run with the highest sum, the first of equal ones; (0, 0) if none is above zero."""
     best, run, start, span = 0.0, 0.0, 0, (0, 0)
     for i, step in enumerate(steps):
         if run <= 0:
@@ -232,43 +309,86 @@ def _best(steps: Sequence[float]) -> tuple[int, int]:
     return span
 
 
-def _decide(parts: Sequence[tuple], elements: Sequence[Element], weights: dict[str, float]) -> None:
-    """Sets which doubtful elements are free: those that hold the content themselves.
-
-    Scored as if all were free, an element stays so if it has at least half the score of the best of its neighbours
-    (what stands beside it within the next doubtful element around, and each doubtful element there).
-    """
-    for e in elements:
-        e.free = e.doubtful
-    open_ = _settled(parts, elements)
-    steps = _steps(open_, _has_article(open_), weights)
-    a, b = _best(steps)
-    sums = [0.0]
-    for i, step in enumerate(steps):
-        sums.append(sums[-1] + (step if a <= i < b and step > 0 and parts[i][0] == "word" else 0.0))
-    scope: dict[Element | None, Element | None] = {None: None}  # the nearest doubtful element from here on outwards
-    held: dict[Element, float] = {}
-    beside: dict[Element | None, float] = {None: sums[-1]}
-    most: dict[Element | None, float] = {}
-    for e in elements:
-        around = scope[e.outer]
-        scope[e] = e if e.free else around
-        if e.free:
-            held[e] = beside[e] = sums[e.stop] - sums[e.first]
-            beside[around] -= held[e]
-            most[around] = max(most.get(around, 0.0), held[e])
-    for e, score in held.items():
-        around = scope[e.outer]
-        e.free = score > 0 and 2 * score >= max(beside[around], most[around]) - 1e-9
-
-
-def main_text(page: str | None, weights: dict[str, float]) -> str:
-    found, elements = _walk(page or "")
-    if any(e.doubtful for e in elements):
-        _decide(found, elements, weights)
-    parts = _settled(found, elements)
-    has = _has_article(parts)
-    span = _best(_steps(parts, has, weights))
+def _odds(inside: float, outside: float) -> float:
+    return math.log((inside + 0.5) / (outside + 0.5))
+
+
+def learned(pages: Iterable[Page] | None = None, rounds: int = 3) -> Weights:
+    """Weights from labelled pages; what surrounds a container depends on the scores, so they are counted in rounds."""
+    return _default() if pages is None else _learned(list(pages), rounds)
+
+
+@lru_cache(maxsize=1)
+def _default() -> Weights:
+    return _learned(list(labelled()), 3)
+
+
+def _learned(pages: list[Page], rounds: int) -> Weights:
+    seen = []
+    for fragments in pages:
+        pieces, elements = walk("".join(f for f, _ in fragments))
+        ends = list(itertools.accumulate(len(f) for f, _ in fragments))
+        labels = [fragments[bisect.bisect_right(ends, p.at)][1] for p in pieces]
+        seen.append((pieces, elements, labels, sum(p.n for p in pieces)))
+    weights: dict[str, float] = {}
+    for _ in range(rounds):
+        counts: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
+        for pieces, elements, labels, total in seen:
+            _score(elements, total, weights)
+            own: dict[Element, list[int]] = defaultdict(lambda: [0, 0])
+            main = _main(elements)
+            for p, y in zip(pieces, labels, strict=True):
+                e = p.element
+                while e and not _names(e, None):
+                    e = e.outer
+                if p.n and e:
+                    own[e][1 - y] += p.n
+            for e, (good, bad) in own.items():
+                if _wraps(e, total, main):
+                    continue
+                share = good / (good + bad)
+                for name in _names(e, None):
+                    for how in _circumstances(e, total)[name[0] != "e"]:
+                        for key in (name + how, name[0] + how):
+                            counts[key][0] += share
+                            counts[key][1] += 1 - share
+        # seen now and then; a whole mark often, as its parts say more of rare ones
+        weights = {k: max(-MOST, min(MOST, _odds(*c))) for k, c in counts.items() if sum(c) >= 3 and sum(counts.get(k.partition("|")[0], c)) >= (8 if k.startswith("m:") else 3)}
+    gaps: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    loose: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    tags: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    for pieces, elements, labels, total in seen:
+        _score(elements, total, weights)
+        good = [i for i, (p, y) in enumerate(zip(pieces, labels, strict=True)) if y and p.n]
+        first, last = (good[0], good[-1]) if good else (len(pieces), -1)
+        has = _has(pieces, elements)
+        for i, (p, y) in enumerate(zip(pieces, labels, strict=True)):
+            between = first < i < last
+            if p.kind == "word":
+                if p.n and _of(p) == 0:
+                    for k in _loose_keys(p, has):
+                        loose[k][1 - y] += p.n
+            elif p.opens is not None and _of(p) < 0 and (p.opens.outer is None or p.opens.outer.score >= 0):
+                for name in _names(p.opens, weights):
+                    for how in _circumstances(p.opens, total)[name[0] != "e"]:
+                        gaps[name + how][1 - between] += 1
+            elif _of(p) >= 0:
+                tags[p.value][1 - between] += 1
+    return Weights(
+        weights,
+        {k: max(-6.0, min(-0.1, _odds(*c))) for k, c in gaps.items() if sum(c) >= (3 if "|" in k else 1)},
+        {k: max(-3.0, min(3.0, _odds(*c))) for k, c in loose.items() if sum(c) >= 5},
+        {k: max(-0.3, min(-0.05, _odds(*c))) for k, c in tags.items()},
+    )
+
+
+def main_text(page: str | None, weights: Weights, scan: bool = True) -> str:
+    """scan: False takes the whole page for the region; to see what the region decides."""
+    pieces, elements = walk(page or "")
+    total = sum(p.n for p in pieces)
+    _score(elements, total, weights.containers)
+    has = _has(pieces, elements)
+    span = best_run(_steps(pieces, has, total, weights)) if scan else (0, len(pieces))
     blocks: list[str] = []
     held: list[str] = []
 
@@ -278,27 +398,29 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
             blocks.append(text)
         held.clear()
 
-    for kind, value, context, link in parts[slice(*span)]:
-        if kind == "word":
-            if context not in DROPPED and context != "header" and (not has or context == "article"):
-                held.append(value)
-        elif kind == "block":
+    for p in pieces[slice(*span)]:
+        if p.kind == "word":
+            score = _of(p)
+            if score > 0 or score == 0 and not has:
+                held.append(p.value)
+        elif p.kind == "block":
             close()
-        elif value in ("br", "wbr", "img") and value != "wbr":
+        elif p.value in ("br", "img"):
             held.append(" ")
     close()
     return "\n\n".join(blocks)
 
 
-def extract(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"), column: str = "html", labelled: Sequence = LABELLED) -> DataFrame:
+def extract(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"), column: str = "html", labelled: Iterable[Page] | None = None) -> DataFrame:
     """(keep..., text, n_chars): the main text of each page and its code points."""
+    bounded(pages.sparkSession)
     weights = learned(labelled)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_size(batches, len(keep), 1_000_000):
             texts = [main_text(x.as_py(), weights) for x in b.column(len(keep))]
             arrays = [*b.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, [*keep, "text", "n_chars"])
 
     kept = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keep)
-    return pages.select(*keep, column).mapInArrow(run, f"{kept}, text string, n_chars long")
+    return pages.select(*keep, F.col(column).alias("_html")).mapInArrow(releasing(run), f"{kept}, text string, n_chars long")

@@ -1,4 +1,9 @@
-from ashlar.llm import html_text
+import bisect
+import itertools
+import random
+import time
+
+from ashlar.llm import html_pages, html_text
 
 W = html_text.learned()
 
@@ -44,6 +49,55 @@ def test_loose_marks_are_left_out_beside_the_content():
         assert html_text.main_text(f"<html><body>{inner}</body></html>", W) == want, inner
 
 
+def test_pages_without_containers_keep_all_paragraphs():
+    for page, want in (
+        ("<h1>Title</h1><div><p>First para is here with words.</p></div><div class='share-buttons'>x</div><p>Second.</p>", "Title|First para is here with words.|Second."),
+        ("<div class='post'><h1>One title</h1><div class='tabs'><p>Some words in a paragraph here.</p></div></div>", "One title|Some words in a paragraph here."),
+        ("<body><p>One.</p><hr><p>Two words.</p><blockquote>Three more words.</blockquote></body>", "One.|Two words.|Three more words."),
+        ("<body><table><tr><td><p>Only cells hold this text of the page.</p></td></tr></table></body>", "Only cells hold this text of the page."),
+    ):
+        assert html_text.main_text(page, W) == want.replace("|", "\n\n"), page
+
+
+def test_scan_equals_all_spans():
+    rng = random.Random(1)
+    for _ in range(300):
+        steps = [rng.choice([-2.0, -0.5, 0.0, 0.5, 1.0, 3.0]) for _ in range(rng.randint(0, 25))]
+        a, b = html_text.best_run(steps)
+        spans = [sum(steps[i:j]) for i, j in itertools.combinations(range(len(steps) + 1), 2)]
+        best = max(spans, default=0.0)
+        assert sum(steps[a:b]) == max(best, 0.0)
+
+
+def test_learned_weights_and_scan_decide_on_held_out_pages():
+    shared = made = wanted = changed = bare = 0
+    none = html_text.Weights({}, {}, {}, {})
+    pages = list(html_pages.labelled(200, 999))
+    for fragments in pages:
+        page = "".join(f for f, _ in fragments)
+        ends = list(itertools.accumulate(len(f) for f, _ in fragments))
+        want = [w for p in html_text.walk(page)[0] if p.n and fragments[bisect.bisect_right(ends, p.at)][1] for w in p.value.split()]
+        got = html_text.main_text(page, W)
+        both = sum(min(got.split().count(w), want.count(w)) for w in set(want))
+        shared, made, wanted = shared + both, made + len(got.split()), wanted + len(want)
+        changed += got != html_text.main_text(page, W, scan=False)
+        bare += html_text.main_text(page, none) == ""
+    print("precision", shared / made, "recall", shared / wanted, "pages on which the scan matters", changed)
+    assert shared / made > 0.97 and shared / wanted > 0.97
+    assert changed >= 5 and bare == len(pages)
+
+
+def test_time_is_linear_in_depth():
+    def took(depth):
+        page = "<div class='a'>" * depth + "<article><p>words in the middle</p></article>" + "</div>" * depth
+        began = time.process_time()
+        assert html_text.main_text(page, W) == "words in the middle"
+        return time.process_time() - began
+
+    took(500)
+    assert took(8000) < 8 * max(took(2000), 0.01)
+
+
 def test_odd_pages():
     for page in ("", None, "<", "<div", "<!-- open", "<script>never closed", "</p></div>", "<nav>only a menu</nav>"):
         assert html_text.main_text(page, W) == ""
