@@ -1,12 +1,15 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Equal texts form a group. A group above one shard's fair share of bytes is cut into pieces (no shard can hold it and
-stay level); all other groups are dealt by their hash into a fixed number of lots, so that what is packed is a bounded
-list of vectors whatever the size of the corpus. Lots and pieces are packed from the largest down, each into the shard
-where the dot product of its vector with the shard's residual capacity is highest.
+Equal texts form a group. A group's load is the largest of its shares of all bytes, tokens and rows, measured in fair
+shares of one shard. A group above one fair share is cut into pieces of a 64th of it (no shard can hold it and stay
+level); groups above a 64th are packed as they are; all smaller ones are dealt by their hash into a fixed number of
+lots. What is packed is so a bounded list of vectors whatever the size of the corpus. Groups, lots and pieces are packed
+from the largest down, each into the shard where the dot product of its vector with the shard's residual capacity is
+highest, among those whose capacity it overruns least.
 
-Null text counts as empty: 16 bytes, no tokens. Repeated rows each get a slot of their own. An empty table gives an
-empty result. At most ``shards`` groups can be above a fair share, which bounds the list of those.
+Null text counts as empty: 16 bytes, no tokens; a null id is an id like any other. Repeated rows each get a slot of
+their own. Which rows of a cut group lie in which piece follows from the order in which rows are read. An empty table
+gives an empty result. Extra columns stay out.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from .common import cut, whole
 ROW_BYTES = 16
 #: Lots for each shard, pieces of a cut group for each shard's share, and the parts in which rows of an item are numbered.
 LOTS, PIECES, PARTS = 64, 64, 16
+#: Dimensions that are balanced.
+BALANCED = ("bytes", "tokens", "n")
 
 
 def digest(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -55,27 +60,38 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
+def _loads(rows: DataFrame, shards: int) -> dict[int, float]:
+    """Of the groups above a 64th of a shard's share: their load. There are 3 * 64 * shards of them at most."""
+    groups = rows.groupBy("grp").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+    totals = rows.agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")).first()
+    share = {d: max(totals[d] or 0, 1) / shards for d in BALANCED}
+    load = F.greatest(*(F.col(d) / F.lit(float(share[d])) for d in BALANCED))
+    return {g: x for g, x in groups.select("grp", load.alias("load")).where(F.col("load") > 1 / PIECES).collect()}
+
+
 def shard(documents: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, size, text_crc32, tokens, shard, slot): slots number each shard's rows from 0 without gaps."""
     spark = documents.sparkSession
-    rows = cut(digest(documents, key, text))
-    groups = rows.groupBy("grp").agg(F.sum("size").alias("bytes"))
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    share = max(total / shards, 1)
-    # at most ``shards`` groups are above the share of one
-    big = {g: min(4096, int(b / share * PIECES) + 1) for g, b in groups.where(F.col("bytes") > share).collect()}
-    salt = F.xxhash64(F.col(key), F.lit("piece"))
-    item = F.concat(F.lit("lot"), F.pmod("grp", F.lit(shards * LOTS)))
-    for g, pieces in sorted(big.items()):
-        item = F.when(F.col("grp") == g, F.concat(F.lit(f"group{g}:"), F.pmod(salt, F.lit(pieces)))).otherwise(item)
-    rows = rows.withColumns({"item": item, "part": F.pmod(F.xxhash64(F.col(key), F.lit("part")), F.lit(PARTS)).cast("int")})
+    # written once: what follows reads digests and not texts, and a row keeps its number
+    rows = cut(digest(documents, key, text).withColumn("row", F.monotonically_increasing_id()))
+    loads = _loads(rows, shards)
+    lot = F.concat(F.lit("lot"), F.pmod("grp", F.lit(shards * LOTS)))
+    if loads:
+        # a piece of a cut group holds what a 64th of a share does; a bounded table, see _loads
+        known = spark.createDataFrame([(g, int(x * PIECES) + 1 if x > 1 else 1) for g, x in sorted(loads.items())], "grp long, pieces int")
+        piece = F.pmod(F.xxhash64("row", F.lit("piece")), "pieces")
+        rows = rows.join(F.broadcast(known), "grp", "left")
+        rows = rows.withColumn("item", F.when(F.col("pieces").isNull(), lot).otherwise(F.concat(F.lit("group"), "grp", F.lit(":"), piece)))
+    else:
+        rows = rows.withColumn("item", lot)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("row", F.lit("part")), F.lit(PARTS)).cast("int"))
     parts = rows.groupBy("item", "part").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()
-    # bounded: (lots + pieces) x parts, whatever the input
+    # bounded: (lots + groups + pieces) x parts, whatever the input
     names = sorted({p["item"] for p in parts})
     at = {n: i for i, n in enumerate(names)}
-    vectors = np.zeros((len(names), 3))
+    vectors = np.zeros((len(names), len(BALANCED)))
     for p in parts:
-        vectors[at[p["item"]]] += p["bytes"], p["tokens"], p["n"]
+        vectors[at[p["item"]]] += [p[d] for d in BALANCED]
     place = pack(vectors, shards)
     start, used = [], [0] * shards
     for p in sorted(parts, key=lambda p: (p["item"], p["part"])):
@@ -84,7 +100,7 @@ def shard(documents: DataFrame, shards: int = 40, key: str = "doc_id", text: str
         used[s] += p["n"]
     starts = spark.createDataFrame(start, "item string, part int, shard int, base long")
     # rows of one item and part: a fixed fraction of a shard, numbered apart from the others
-    own = Window.partitionBy("item", "part").orderBy(key, "text_crc32", "size")
+    own = Window.partitionBy("item", "part").orderBy("row")
     ranked = rows.withColumn("rn", F.row_number().over(own))
     return ranked.join(F.broadcast(starts), ["item", "part"]).select(
         key, "size", "text_crc32", "tokens", "shard", (F.col("base") + F.col("rn") - 1).alias("slot")
