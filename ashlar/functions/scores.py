@@ -206,7 +206,9 @@ def norm(a: str | Column) -> Column:
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:
-    n = norm(a) * norm(b)
+    """0 with a zero vector. One root of the product of squares: whole numbers, such as counts, meet no error before it."""
+    squares = dot(a, a) * dot(b, b)
+    n = F.when(squares.between(1e-280, 1e280), F.sqrt(squares)).otherwise(norm(a) * norm(b))
     return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
 
 

@@ -47,13 +47,14 @@ def evaluate_cases(cases: DataFrame, embed: Embed) -> DataFrame:
     """cases (case_id, question, contexts array, answer, relevant array, ...) with the five metrics, overall_score and details.
 
     A case without contexts has relevance, precision and faithfulness by words alone 0; one without relevant contexts
-    has recall 0. Null contexts and answers count as empty. All metrics of all cases come from one plan.
+    has recall 0. Null contexts and answers count as empty. All metrics of all cases come from one plan. Cosines with
+    contexts are rounded to nine places, as thresholds decide on them: one of 0.5 is not over 0.5 by its last bit.
     """
     none = F.array().cast("array<string>")
     c = cases.withColumns({"contexts": F.coalesce("contexts", none), "relevant": F.coalesce("relevant", none), "answer": F.coalesce("answer", F.lit(""))})
     c = c.withColumn("_joined", F.array_join("contexts", " "))
     c = c.withColumns({"_q": embed(F.col("question")), "_a": embed(F.col("answer")), "_c": F.transform("contexts", lambda t: embed(t)), "_r": F.transform("relevant", lambda t: embed(t)), "_j": embed(F.col("_joined"))})
-    c = c.withColumns({"_cos": F.transform("_c", lambda v: scores.cosine("_q", v)), "_near": F.transform("_r", lambda r: F.coalesce(F.array_max(F.transform("_c", lambda v: scores.cosine(r, v))), F.lit(0.0)))})
+    c = c.withColumns({"_cos": F.transform("_c", lambda v: F.round(scores.cosine("_q", v), 9)), "_near": F.transform("_r", lambda r: F.coalesce(F.array_max(F.transform("_c", lambda v: F.round(scores.cosine(r, v), 9))), F.lit(0.0)))})
     n = F.size("contexts")
     total = F.aggregate("_cos", F.lit(0.0), lambda s, x: s + x)
     share = lambda a, least: F.size(F.filter(a, lambda x: x > least)) / F.size(a)

@@ -194,8 +194,8 @@ def stats(results: DataFrame, threshold: float, score: str = "cosine") -> DataFr
     return results.groupBy("q").agg(F.count("*").alias("n"), F.min(score).alias("low"), F.max(score).alias("high"), F.avg(score).alias("mean"), F.count_if(F.col(score) >= threshold).alias("n_above"))
 
 
-def hashed(text: Column, size: int = 64) -> Column:
-    """A stand-in for a language model's vector: token counts by hash, at length 1. It holds no meaning.
+def counted(text: Column, size: int = 64) -> Column:
+    """Token counts by hash: whole numbers, so that their cosines are the same however they are summed.
 
     A token's slot is the first 32 bits of its MD5 modulo size. Slots are counted in two steps, rows of slots first, so
     that a token is compared with the square root of size slots and not with all.
@@ -205,18 +205,25 @@ def hashed(text: Column, size: int = 64) -> Column:
     wide = math.isqrt(size - 1) + 1
     slots = F.transform(letters_tokens(text), lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % size).cast("int"))
 
-    def counted(held: Column) -> Column:
+    def counts(held: Column) -> Column:
         def row(i: Column) -> Column:
             own = F.filter(held, lambda s: F.floor(s / wide) == i)
             return bound(own, lambda x: F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), lambda j: F.size(F.filter(x, lambda s: s % wide == j)).cast("double")))
 
         return F.slice(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), row)), 1, size)
 
+    return bound(slots, counts)
+
+
+def hashed(text: Column, size: int = 64) -> Column:
+    """A stand-in for a language model's vector: token counts by hash, at length 1. It holds no meaning."""
+    from ..functions.text import bound
+
     def scaled(counts: Column) -> Column:
         length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
         return bound(length, lambda n: F.transform(counts, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
 
-    return bound(bound(slots, counted), scaled)
+    return bound(counted(text, size), scaled)
 
 
 def concatenated(vectors: list[Column]) -> Column:

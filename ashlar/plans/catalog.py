@@ -497,7 +497,7 @@ def _cases(spark, sf):
         (F.col("q") * 1000 + F.col("doc")).alias("case_id"), "question", "contexts", F.col("content").alias("answer"), F.array("question").alias("relevant"),
         scores.difficulty("question").alias("difficulty"), F.col("section").alias("category"),
     )
-    return evaluate.evaluate_cases(c, vectors.hashed)
+    return evaluate.evaluate_cases(c, vectors.counted)
 
 
 @query("case_metrics", f"WITH {CASES_SQL} SELECT case_id, {', '.join(f'round({m}, 6) AS {m}' for m in evaluate.METRICS)}, answer_words, context_count, round(context_words, 6) AS context_words FROM cases")
@@ -511,7 +511,7 @@ def evaluation_loop(spark, sf):
     known = _cases(spark, sf).select("case_id", "question", "contexts", "answer", "relevant", "difficulty", "category", "answer_words")
     data = known.select(F.col("case_id").alias("id"), "question", F.col("relevant").alias("relevant_contexts"), "difficulty", "category")
     error = F.when(F.col("answer_words") % 7 == 0, "failed")
-    found = evaluate.evaluate_system(lambda asked: asked.join(known.select("case_id", "contexts", "answer", error.alias("error")), "case_id"), data, vectors.hashed)
+    found = evaluate.evaluate_system(lambda asked: asked.join(known.select("case_id", "contexts", "answer", error.alias("error")), "case_id"), data, vectors.counted)
     return found["summary"].select("n", *(F.round(c, 6).alias(c) for c in ("avg_overall_score", "min_answer_relevance", "max_faithfulness")))
 
 

@@ -279,3 +279,29 @@ def test_quotas_and_first_seen(spark):
 def test_models_and_devices():
     assert generate.chosen("a", ["b", "c"], ("c",)) == "c" and generate.chosen("a", []) is None and generate.chosen("a", ["x"]) == "x"
     assert embed.device() in ("cuda", "mps", "cpu") and generate.models("http://127.0.0.1:9") == []
+
+
+def test_a_cosine_of_one_half_is_not_over_one_half(spark):
+    # cases 2 and 3 have cosines of 1/2, which the lengths of scaled vectors miss by a bit
+    texts = [("ant bee cow dog", "ant eel"), ("ant ant ant bee", "ant cow dog eel"), ("ant bee", "bee cow"), ("ant bee cow dog eel fox", "ant bee cow gnu hen ibis")]
+    rows = [(i, q, [c], c, [q]) for i, (q, c) in enumerate(texts)]
+    cases = spark.createDataFrame(rows, "case_id int, question string, contexts array<string>, answer string, relevant array<string>")
+    names = ["ant", "bee", "cow", "dog", "eel", "fox", "gnu", "hen", "ibis"]
+
+    def count(t):
+        return F.transform(F.array(*map(F.lit, names)), lambda n: F.size(F.filter(F.split(t, " "), lambda w: w == n)).cast("double"))
+
+    def scaled(t):
+        length = F.sqrt(F.aggregate(count(t), F.lit(0.0), lambda s, x: s + x * x))
+        return F.transform(count(t), lambda x: x / length)
+
+    want = []
+    for q, c in texts:
+        a, b = Counter(q.split()), Counter(c.split())
+        dot, squares = sum(a[w] * b[w] for w in a), sum(x * x for x in a.values()) * sum(x * x for x in b.values())
+        want.append((float(4 * dot * dot > squares), round(dot / math.sqrt(squares), 9)))
+    for embed_ in (count, scaled):
+        got = evaluate.evaluate_cases(cases, embed_).orderBy("case_id").collect()
+        assert [(r["context_precision"], round(r["answer_relevance"], 9)) for r in got] == want
+    exact = evaluate.evaluate_cases(cases, count).where("case_id IN (2, 3)").collect()
+    assert [r["answer_relevance"] for r in exact] == [0.5, 0.5]
