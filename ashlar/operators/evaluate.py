@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,73 @@ def recall(pairs: DataFrame, case: str = "case_id", relevant: str = "relevant_id
     return best.groupBy(case).agg(F.avg((F.col("best") > least).cast("double")).alias("context_recall"))
 
 
+#: Questions and relevant vectors that meet in one group, and pairs of vectors held at once.
+ASKED, TILE, HELD = 1024, 8192, 2_000_000
+
+
+def label_recall(questions: DataFrame, store: DataFrame, least: float = 0.7, asked: int = ASKED, tile: int = TILE) -> DataFrame:
+    """questions (q, label, found: array of vectors), store (relevant_id, label, embedding) -> (q, context_recall).
+
+    Relevant to a question are all other vectors of its label; its recall is the share of them that one of the found
+    vectors meets with a cosine of over 0.7. This compares all pairs within a label by its nature: questions and vectors
+    of a label are dealt into blocks and tiles, each block meets each tile in a group of its own, and only two counts
+    for each question and tile leave it. Vectors without a cosine (null, empty, of another length) do not count;
+    non-finite ones are met by none. Rows of one id are one.
+    """
+    store = store.where("label IS NOT NULL AND size(embedding) > 0 AND NOT exists(embedding, x -> x IS NULL)")
+    sizes = store.groupBy("label").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    sizes = sizes.join(questions.groupBy("label").agg(F.ceil(F.count("*") / asked).cast("int").alias("blocks")), "label")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = questions.join(F.broadcast(sizes), "label").withColumn("block", F.pmod(F.xxhash64("q"), "blocks").cast("int")).withColumn("tile", every("tiles"))
+    right = store.join(F.broadcast(sizes), "label").withColumn("tile", F.pmod(F.xxhash64("relevant_id"), "tiles").cast("int")).withColumn("block", every("blocks"))
+    left = left.select("label", "block", "tile", "q", F.col("found").cast("array<array<double>>").alias("found"))
+    right = right.select(F.col("label").alias("own"), "block", "tile", "relevant_id", F.col("embedding").cast("array<double>").alias("v"))
+    kind = left.schema["q"].dataType.simpleString()
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    def meet(asks: pa.Table, rows: pa.Table) -> pa.Table:
+        names = asks.column("q").to_pylist()
+        good, total = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=np.int64)
+        found, kept = asks.column("found").to_pylist(), rows.column("relevant_id").combine_chunks()
+        vs = rows.column("v").combine_chunks()
+        widths, flat = np.diff(vs.offsets.to_numpy()), vs.flatten().to_numpy(zero_copy_only=False)
+        starts = np.cumsum(widths) - widths
+        ids = np.unique(kept.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        mine = np.array(kept.to_pylist(), dtype=object)
+        for width in np.unique(widths).tolist():
+            near = [[v for v in f or () if v is not None and len(v) == width and None not in v] for f in found]
+            own = [i for i, f in enumerate(near) if f]
+            if not own:
+                continue
+            m, ends = unit(np.array([v for i in own for v in near[i]], dtype=np.float64)), np.cumsum([0] + [len(near[i]) for i in own])[:-1]
+            spots = np.flatnonzero(widths == width)
+            spots = spots[np.argsort(ids[spots], kind="stable")]
+            first = np.flatnonzero(np.r_[True, np.diff(ids[spots]) > 0])
+            step = max(1, HELD // len(m))
+            for a in range(0, len(first), step):  # whole ids at a time
+                some = first[a : a + step]
+                part = spots[some[0] : first[a + step] if a + step < len(first) else len(spots)]
+                with np.errstate(invalid="ignore", over="ignore"):
+                    c = np.round(m @ unit(flat[starts[part][:, None] + np.arange(width)]).T, 9)
+                c = np.maximum.reduceat(np.nan_to_num(c, nan=-1.0, posinf=-1.0, neginf=-1.0), ends, axis=0)
+                c = np.maximum.reduceat(c, some - some[0], axis=1)
+                good[own] += (c > least).sum(axis=1)
+                total[own] += c.shape[1]
+                # the question itself is not relevant to it
+                where = {x: j for j, x in enumerate(mine[spots[some]].tolist())}
+                for at, i in enumerate(own):
+                    j = where.get(names[i])
+                    if j is not None:
+                        good[i] -= int(c[at, j] > least)
+                        total[i] -= 1
+        return pa.table({"q": pa.array(names, asks.schema.field("q").type), "good": good, "total": total})
+
+    counts = left.groupBy("label", "block", "tile").cogroup(right.groupBy("own", "block", "tile")).applyInArrow(meet, f"q {kind}, good long, total long")
+    return counts.groupBy("q").agg((F.sum("good") / F.nullif(F.sum("total"), F.lit(0))).alias("context_recall"))
+
+
 def lexical(cases: DataFrame, answer: str = "answer", context: str = "context") -> DataFrame:
     """Adds overlap (share of the answer's words in the context), coverage (of the context's in the answer), counts."""
     return cases.withColumns({"overlap": scores.overlap(answer, context), "coverage": scores.overlap(context, answer), "answer_words": F.size(F.filter(F.split(F.col(answer), r"\s+"), lambda w: w != ""))})

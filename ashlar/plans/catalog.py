@@ -460,9 +460,7 @@ def context_recall(spark, sf):
     near = _near(spark, sf).select("q", "vec_id").join(e.select("vec_id", "embedding"), "vec_id").groupBy("q").agg(F.collect_list("embedding").alias("found"))
     labels = e.select(F.col("vec_id").alias("q"), "label").join(q.select("q"), "q")
     asked = labels.join(near, "q")
-    rel = asked.join(e.select(F.col("vec_id").alias("relevant_id"), "label", "embedding"), "label").where("relevant_id <> q")
-    best = F.array_max(F.transform("found", lambda v: F.round(scores.cosine("embedding", v), 9)))
-    r = evaluate.recall(rel.select("q", "relevant_id", best.alias("cosine")), "q")
+    r = evaluate.label_recall(asked, e.select(F.col("vec_id").alias("relevant_id"), "label", "embedding"))
     return labels.select("q").join(r, "q", "left").select("q", F.round(F.coalesce("context_recall", F.lit(0.0)), 6).alias("context_recall"))
 
 

@@ -305,3 +305,23 @@ def test_a_cosine_of_one_half_is_not_over_one_half(spark):
         assert [(r["context_precision"], round(r["answer_relevance"], 9)) for r in got] == want
     exact = evaluate.evaluate_cases(cases, count).where("case_id IN (2, 3)").collect()
     assert [r["answer_relevance"] for r in exact] == [0.5, 0.5]
+
+
+def test_label_recall_by_brute_force_in_blocks_and_tiles(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(i % 3), [float(x) for x in rng.normal(size=4)]) for i in range(90)]
+    rows[7], rows[8], rows[9] = (7, None, rows[7][2]), (8, 2, None), (9, 0, [0.0] * 4)
+    store = spark.createDataFrame(rows, "relevant_id int, label int, embedding array<double>")
+    found = {q: [rows[(q * 7 + k) % 60 + 20][2] for k in range(1, 4)] for q in range(0, 90, 4)}
+    asked = spark.createDataFrame([(q, rows[q][1], f) for q, f in found.items()], "q int, label int, found array<array<double>>")
+
+    def cos(a, b):
+        n = math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b, strict=True)) / n if n else 0.0
+
+    want = {}
+    for q, f in found.items():
+        best = [max(cos(v, w) for w in f) for i, label, v in rows if i != q and label == rows[q][1] and label is not None and v]
+        want[q] = sum(b > 0.7 for b in best) / len(best)
+    got = {r["q"]: r["context_recall"] for r in evaluate.label_recall(asked, store, asked=3, tile=5).collect()}
+    assert got == pytest.approx(want)
