@@ -67,11 +67,15 @@ class Best:
             part = x[a : a + SLICE]
             part = part / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-300)
             c = np.round(m @ part.T, 9)  # equal vectors tie
-            i, j = np.nonzero(c >= self.least[own][:, None])
-            self.parts.append((own[i], c[i, j], ids[a + j]))
-            self.held += len(i)
-            if self.held > max(HELD, 2 * self.k * len(self.names)):
-                self.sort_out()
+            self.take(own, ids[a : a + SLICE], c, c >= self.least[own][:, None])
+
+    def take(self, own: np.ndarray, ids: np.ndarray, c: np.ndarray, good: np.ndarray) -> None:
+        """Candidates: where good, ids (columns) of the questions own (rows) with scores c."""
+        i, j = np.nonzero(good)
+        self.parts.append((own[i], c[i, j], ids[j]))
+        self.held += len(i)
+        if self.held > max(HELD, 2 * self.k * len(self.names)):
+            self.sort_out()
 
     def sort_out(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self.parts:

@@ -325,3 +325,33 @@ def test_label_recall_by_brute_force_in_blocks_and_tiles(spark):
         want[q] = sum(b > 0.7 for b in best) / len(best)
     got = {r["q"]: r["context_recall"] for r in evaluate.label_recall(asked, store, asked=3, tile=5).collect()}
     assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("most", [200_000, 3])
+def test_bm25_search_shuffles_no_scores(spark, monkeypatch, most):
+    monkeypatch.setattr(bm25, "ASKED", most, raising=False)
+    monkeypatch.setattr(bm25, "CELLS", 400, raising=False)
+    rng = random.Random(9)
+    words = ["ant", "bee", "cow", "dog", "eel", "fox"]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randrange(9)))) for i in range(80)] + [(80, None)]
+    asked = [(1, "ant ant bee"), (2, "cow"), (3, "gnu"), (4, "ant bee cow dog eel fox"), (5, "fox gnu fox")]
+    index = bm25.build(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).write()
+    q = spark.createDataFrame(asked, "q int, question string")
+    got = {}
+    for r in bm25.search(index, q, 6).orderBy("q", "rank").collect():
+        got.setdefault(r["q"], []).append((r["doc"], r["score"]))
+    counts = [Counter((t or "").split()) for _, t in docs]
+    mean = sum(sum(c.values()) for c in counts) / len(docs)
+    for name, question in asked:
+        worth = []
+        for (d, _), c in zip(docs, counts, strict=True):
+            s = 0.0
+            for w, n in Counter(question.split()).items():
+                df = sum(w in x for x in counts)
+                s += n * math.log((len(docs) - df + 0.5) / (df + 0.5)) * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * sum(c.values()) / mean))
+            worth.append((d, round(s, 9)))
+        want = sorted(worth, key=lambda x: (-x[1], x[0]))[:6]
+        assert [d for d, _ in got[name]] == [d for d, _ in want] and [s for _, s in got[name]] == pytest.approx([s for _, s in want], abs=2e-9)
+    if most > 3:  # of 5 parts at most 6 rows a question go to the ranking
+        found = bm25._shipped(index, bm25._asked(q, "q", "question"), bm25._asked(q, "q", "question").collect(), 6)
+        assert found.groupBy("q").count().agg(F.max("count")).first()[0] <= 5 * 6
