@@ -5,27 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import cut, numbered, shared_folder  # noqa: F401 - for the operators
+from ..shared import BATCH, bounded, cut, numbered, shared_folder  # noqa: F401 - for the operators
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Most rows and bytes of an Arrow batch that Python functions get, unless the session sets its own.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
-
-
-def bounded(spark: SparkSession) -> None:
-    """Small Arrow batches for this session: a batch is held by the JVM and by a Python worker at once.
-
-    A single row above the bound is a batch of its own.
-    """
-    for key, most in BATCH.items():
-        if spark.conf.get(key, None) is None:
-            spark.conf.set(key, most)
-
-
 def whole(column: str | Column) -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -11,14 +11,18 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import clean_chunk, content_features
+from ..shared import bounded
 
 SCHEMA = "doc_id long, chunk_index int, start_char int, end_char int, section string, text string"
+FIELDS = pa.schema([("doc_id", pa.int64()), ("chunk_index", pa.int32()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("section", pa.string()), ("text", pa.string())])
+#: Characters of chunks that a batch holds.
+HELD = 1 << 20
 Piece = tuple[int, int, str, str]  # start, end, section, text
 
 
@@ -131,12 +135,29 @@ def chunk(documents: DataFrame, c: ChunkConfig = ChunkConfig(), doc: str = "doc_
         raise ValueError(f"unknown strategy {c.strategy!r}")
     cut = STRATEGIES[c.strategy]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(d, i, *p) for d, t in zip(pdf["d"], pdf["t"], strict=True) for i, p in enumerate(cut(t or "", c))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "start_char", "end_char", "section", "text"])
-
-    return documents.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).mapInPandas(run, SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+        for batch in batches:
+            # a text at a time becomes a Python string; chunks leave as soon as they are HELD characters
+            for d, t in zip(batch.column(0), batch.column(1), strict=True):
+                for i, p in enumerate(cut(t.as_py() or "", c)):
+                    rows.append((d.as_py(), i, *p))
+                    held += len(p[3]) + 100
+                    if held >= HELD:
+                        yield _batch(rows)
+                        rows, held = [], 0
+            if rows:
+                yield _batch(rows)
+                rows, held = [], 0
+
+    narrow = documents.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t"))
+    bounded(documents.sparkSession)
+    return narrow.mapInArrow(run, SCHEMA)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), FIELDS, strict=True)], schema=FIELDS)
 
 
 def spans(documents: DataFrame, size: int, overlap: int, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -355,3 +355,15 @@ def test_bm25_search_shuffles_no_scores(spark, monkeypatch, most):
     if most > 3:  # of 5 parts at most 6 rows a question go to the ranking
         found = bm25._shipped(index, bm25._asked(q, "q", "question"), bm25._asked(q, "q", "question").collect(), 6)
         assert found.groupBy("q").count().agg(F.max("count")).first()[0] <= 5 * 6
+
+
+def test_chunks_leave_in_small_batches(spark, monkeypatch):
+    text = "A plain sentence stands here. " * 400
+    docs = spark.createDataFrame([(i, text if i % 3 else None) for i in range(40)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(chunk, "HELD", 20_000, raising=False)
+    c = chunk.ChunkConfig("hybrid", 250, 40, 100, 1000)
+    sizes = chunk.chunk(docs, c).mapInArrow(lambda bs: (b.select(["doc_id"]) for b in bs), "doc_id long").count()
+    assert sizes == sum(len(chunk.hybrid(text if i % 3 else "", c)) for i in range(40))
+    rows = [(1, i, i, i + 1, "content", "x" * 50) for i in range(3)]
+    assert chunk._batch(rows).to_pylist()[2] == {"doc_id": 1, "chunk_index": 2, "start_char": 2, "end_char": 3, "section": "content", "text": "x" * 50}
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
