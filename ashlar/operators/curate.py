@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,48 +42,92 @@ def not_duplicates(new: DataFrame, old: DataFrame, ratio: float = 0.8) -> DataFr
     """Rows of new that no row of old repeats: by id, by normalised title, or by a title that holds the other and is
     not much longer.
 
-    The first two are equi joins. In the third, the shorter title covers the middle of the longer one, as it has more
-    than four fifths of its length: the longer is filed under the few characters at its middle, and the shorter looks
-    up the pieces of its own middle, so only pairs that share such a piece are compared.
+    The first two are equi joins. In the third, the shorter title covers the core of the longer one, the part that is
+    left without what it may lack at either end: the longer is filed under the piece of its core with the lowest hash,
+    and the shorter looks up the lowest piece of each stretch of its own as long as the shortest such core, two or
+    three as a rule. So a title travels a few times whatever its length, and only pairs that share a piece are compared.
     """
+    if ratio < 0.8:
+        raise ValueError("ratio must be at least 0.8: the pieces are sized for it")
     # both sides are met several times: titles are normalised once, and written
     n = cut(new.select("id", normal_title("title").alias("nt")))
     o = cut(old.select(F.col("id").alias("oid"), normal_title("title").alias("ot")))
     fresh = n.join(o.select(F.col("oid").alias("id")).distinct(), "id", "left_anti").join(o.select(F.col("ot").alias("nt")).distinct(), "nt", "left_anti")
     left = fresh.select("id", "nt").where("nt <> ''")
     right = o.select("ot").distinct().where("ot <> ''")
-    inside = _pieces(left, "nt").join(_middle(right, "ot"), "piece").where("length(nt) <= length(ot) AND contains(ot, nt)")
-    around = _middle(left, "nt").join(_pieces(right, "ot"), "piece").where("length(ot) <= length(nt) AND contains(nt, ot)")
+    inside = _pieces(left, "nt", ratio).join(_core(right, "ot", ratio), "piece").where("length(nt) <= length(ot) AND contains(ot, nt)")
+    around = _core(left, "nt", ratio).join(_pieces(right, "ot", ratio), "piece").where("length(ot) <= length(nt) AND contains(nt, ot)")
     close = inside.select("id", "nt", "ot").unionByName(around.select("id", "nt", "ot"))
     close = close.where(F.least(F.length("nt"), F.length("ot")) / F.greatest(F.length("nt"), F.length("ot")) > ratio).select("id").distinct()
     return new.join(fresh.select("id"), "id", "left_semi").join(close, "id", "left_anti")
 
 
 #: (least, below, piece): how many characters titles of a length are filed under.
-PIECES = ((1, 16, 1), (16, 64, 4), (64, 1 << 30, 16))
-
-
-def _middle(titles: DataFrame, c: str) -> DataFrame:
-    n = F.length(c)
-    size = F.coalesce(*(F.when(n < below, F.lit(k)) for _, below, k in PIECES))
-    return titles.withColumn("piece", F.substring(F.col(c), F.floor(n / 2).cast("int") + 1, size))
-
-
-def _pieces(titles: DataFrame, c: str) -> DataFrame:
-    """Pieces where the middle of a title of up to 1.25 times the length can be, in each size it can have.
-
-    Cutting a long title at every place takes time in its square in SQL, so this runs over Arrow batches.
-    """
+PIECES = ((1, 5, 1), (5, 16, 4), (16, 32, 8), (32, 64, 16), (64, 256, 32), (256, 1 << 30, 128))
+
+
+def _lacks(n: int, ratio: float) -> int:
+    """The most characters that a title within one of n may lack."""
+    d = int(n * (1 - ratio)) + 1
+    while d and (n - d) / n <= ratio:
+        d -= 1
+    return d
+
+
+def _hashes(t: str, k: int) -> np.ndarray:
+    """A hash of each piece of k characters."""
+    h = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+    h, have, power = h * np.uint64(0x9E3779B97F4A7C15), 1, 0x9E3779B97F4A7C15
+    h ^= h >> np.uint64(29)
+    while have < k:  # k is a power of two
+        h = h[:-have] * np.uint64(power | 1) + h[have:]
+        power, have = power * 0xBF58476D1CE4E5B9 % (1 << 64), have * 2
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def _filed(t: str, ratio: float) -> list[tuple[int, int]]:
+    n, d = len(t), _lacks(len(t), ratio)
+    k = next(k for least, below, k in PIECES if least <= n < below)
+    return [(k, int(_hashes(t[d : n - d], k).min().view(np.int64)))]
+
+
+def _looked_up(t: str, ratio: float) -> list[tuple[int, int]]:
+    n, found = len(t), []
+    for least, below, k in PIECES:
+        # lengths of titles of this class that t can be within; the core is shortest for one of them
+        low, high = max(n, least), min(below - 1, int(n / ratio) + 1)
+        if low > high:
+            continue
+        # cores grow with the length but for steps of two, so the shortest is among the first
+        width = min(m - 2 * _lacks(m, ratio) for m in range(low, min(high, low + 64) + 1)) - k + 1
+        h = _hashes(t, k) if n >= k else np.zeros(0, dtype=np.uint64)
+        if len(h) < width or width < 1:
+            continue
+        lows, size = h, 1
+        while size < width:  # the lowest of width neighbours, by doubling
+            step = min(size, width - size)
+            lows = np.minimum(lows[:-step], lows[step:])
+            size += step
+        found += [(k, int(x)) for x in np.unique(lows).view(np.int64)]
+    return found
+
+
+def _core(titles: DataFrame, c: str, ratio: float) -> DataFrame:
+    return _with_pieces(titles, c, lambda t: _filed(t, ratio))
+
+
+def _pieces(titles: DataFrame, c: str, ratio: float) -> DataFrame:
+    return _with_pieces(titles, c, lambda t: _looked_up(t, ratio))
+
+
+def _with_pieces(titles: DataFrame, c: str, of: Callable[[str], list[tuple[int, int]]]) -> DataFrame:
+    """titles with each of their pieces, its length and hash."""
     at = titles.columns.index(c)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for row in pdf.itertuples(index=False, name=None):
-                t, n = row[at], len(row[at])
-                low, high = max(int(n * 0.375) - 1, 0), math.ceil(n * 0.625) + 2
-                found = {t[i : i + k] for least, below, k in PIECES if n < below and n * 1.25 >= least for i in range(low, high)}
-                rows += [(*row, x) for x in found if x]
+            rows = [(*row, f"{k} {h}") for row in pdf.itertuples(index=False, name=None) for k, h in of(row[at])]
             yield pd.DataFrame(rows, columns=[*pdf.columns, "piece"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in titles.schema)

@@ -367,3 +367,17 @@ def test_chunks_leave_in_small_batches(spark, monkeypatch):
     rows = [(1, i, i, i + 1, "content", "x" * 50) for i in range(3)]
     assert chunk._batch(rows).to_pylist()[2] == {"doc_id": 1, "chunk_index": 2, "start_char": 2, "end_char": 3, "section": "content", "text": "x" * 50}
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
+def test_title_pieces_meet_and_stay_few():
+    rng = random.Random(3)
+    for n in [*range(1, 90), 255, 256, 300, 1000, 5000]:
+        for _ in range(6):
+            t = "".join(rng.choices("abcdef gh", k=n))
+            d = rng.choice([0, 1, rng.randint(0, n // 5), curate._lacks(n, 0.8)])
+            if d < n and (n - d) / n > 0.8:
+                a = rng.randint(0, d)
+                s = t[a : a + n - d]
+                assert set(curate._filed(t, 0.8)) & set(curate._looked_up(s, 0.8)), (t, s)
+    long = "".join(rng.choices("abcdef gh", k=20_000))
+    assert len(curate._looked_up(long, 0.8)) < 20
