@@ -7,8 +7,8 @@ unit falls under the dropout rate: the segmentation varies between variants and
 Characters outside the vocabulary become their UTF-8 bytes, so decoding gives back every text exactly, a literal
 U+2581 included.
 
-All distinct units of an Arrow batch are merged at once in numpy, a merge in every unit at each step; units too long
-for that run over an agenda (a heap). Null counts as empty, which has no pieces. Documents choose their variant by a
+All distinct units of an Arrow batch are merged at once in numpy, a merge in every unit at each step, which touches only
+the symbols beside it; units too long for that run over an agenda (a heap). Units that come again are looked up. Null counts as empty, which has no pieces. Documents choose their variant by a
 hash of their id, so copies under different ids may be cut differently, and decode alike.
 """
 
@@ -18,6 +18,7 @@ import hashlib
 import heapq
 import os
 import re
+import zlib
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -34,7 +35,10 @@ MODEL = os.environ.get("ASHLAR_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 #: Units of up to so many characters are merged together; longer ones one by one.
 WIDE = 64
 CLASSES = (6, 8, 10, 12, 16, 24, 40, WIDE)
+#: Units merged at once: few enough for their tables to stay in a core's cache.
+TOGETHER = 8_192
 NEVER = np.int32(2**31 - 1)
+EMPTY = np.uint64(2**64 - 1)
 MARK = "▁"
 
 
@@ -74,6 +78,16 @@ class Vocabulary:
         return h.hexdigest()
 
 
+def _crc_table() -> np.ndarray:
+    out = np.empty(256, dtype=np.uint32)
+    for i in range(256):
+        out[255 ^ i] = (zlib.crc32(bytes([i])) ^ 0xFFFFFFFF) ^ 0x00FFFFFF
+    return out
+
+
+CRC = _crc_table()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of x moves every bit of the result."""
     x = x.astype(np.uint64)
@@ -85,8 +99,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Coder:
     """Encodes and decodes batches. What depends on the vocabulary alone is kept by a Python worker, units are not."""
 
-    def __init__(self, vocabulary: Vocabulary, dropout: float = 0.1, seed: int = 1, most: int = 40_000) -> None:
-        """most: units that are remembered from batch to batch before the memory is cleared."""
+    def __init__(self, vocabulary: Vocabulary, dropout: float = 0.1, seed: int = 1, most: int = 100_000) -> None:
+        """most: units that are remembered from batch to batch; beyond it those stay that the last batch met again, and new ones up to half."""
         self.v, self.dropout, self.seed, self.most = vocabulary, dropout, seed, most
         self.clear()
         ids = {p: i for i, p in enumerate(vocabulary.pieces) if p}
@@ -98,7 +112,6 @@ class Coder:
         self.of_char = np.full(0x110000, self.unknown, dtype=np.int32)
         for c in singles:
             self.of_char[ord(c)] = self.symbol[c]
-        self.names = {i: s for s, i in self.symbol.items()}
         pairs = {}
         for p, i in ids.items():
             for k in range(1, len(p)):
@@ -106,41 +119,45 @@ class Coder:
                 if a is not None and b is not None:
                     pairs[a << 20 | b] = i
         self.pairs = pairs
-        self.bits = 19
+        self.of_order = np.argsort(vocabulary.order).astype(np.int32)
+        if (vocabulary.order[self.of_order] != np.arange(n)).any():
+            raise ValueError("two pieces share a priority")
         keys = np.fromiter(pairs, dtype=np.uint64, count=len(pairs))
-        made = np.fromiter(pairs.values(), dtype=np.int32, count=len(pairs))
-        # two hash tables without chains; the few keys that neither holds are looked up by bisection
+        order = vocabulary.order[np.fromiter(pairs.values(), dtype=np.int32, count=len(pairs))].astype(np.uint64)
+        # two hash tables of key and order without chains; the few keys that neither holds are looked up by bisection
         self.tables, left = [], np.arange(len(keys))
-        for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-            at = self._slot(keys[left], factor)
-            table = np.full(1 << self.bits, -1, dtype=np.int32)
-            table[at[::-1]] = left[::-1]
-            self.tables.append((factor, table))
-            left = left[table[at] != left]
+        wide = max(8, (4 * len(keys)).bit_length())
+        for factor, bits in ((0x9E3779B97F4A7C15, wide), (0xC2B2AE3D27D4EB4F, wide - 3)):
+            at = slot(keys[left], factor, bits)
+            first = np.full(1 << bits, -1, dtype=np.int32)
+            first[at[::-1]] = left[::-1]
+            table = np.full(1 << bits, EMPTY)
+            held = first >= 0
+            table[held] = (keys[first[held]] << np.uint64(24)) | order[first[held]]
+            self.tables.append((factor, bits, table))
+            left = left[first[at] != left]
         rest = left[np.argsort(keys[left])]
-        self.keys, self.made, self.rest = keys, made, (keys[rest], made[rest])
+        self.rest = keys[rest], order[rest]
         parts = [p.encode() for p in vocabulary.pieces]
         for i in range(256):
             parts[vocabulary.byte0 + i] = bytes([i])
-        self.size = np.array([len(p) for p in parts])
-        self.start = np.cumsum(self.size) - self.size
-        self.blob = np.frombuffer(b"".join(parts), dtype=np.uint8)
-
-    def _slot(self, keys: np.ndarray, factor: int) -> np.ndarray:
-        return ((keys * np.uint64(factor)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.parts = pa.array(parts, pa.large_binary())
 
-    def merge_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The piece that two symbols make, -1 if none."""
+    def order_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The priority of the piece that two symbols make, -1 if none."""
         keys = (a.astype(np.uint64) << np.uint64(20)) | b.astype(np.uint64)
-        out = np.full(keys.shape, -1, dtype=np.int32)
-        for factor, table in self.tables:
-            i = table[self._slot(keys, factor)]
-            hit = (i >= 0) & (self.keys[i] == keys)
-            out[hit] = self.made[i[hit]]
-        if len(self.rest[0]):
+        out = np.full(len(keys), -1, dtype=np.int32)
+        at: np.ndarray | slice = slice(None)
+        for factor, bits, table in self.tables:
+            entry = table[slot(keys, factor, bits)]
+            hit = (entry >> np.uint64(24)) == keys
+            out[at] = np.where(hit, (entry & np.uint64(0xFFFFFF)).astype(np.int32), -1)
+            other = np.flatnonzero(~hit & (entry != EMPTY))
+            at, keys = other if isinstance(at, slice) else at[other], keys[other]
+        if len(self.rest[0]) and len(keys):
             j = np.minimum(np.searchsorted(self.rest[0], keys), len(self.rest[0]) - 1)
             hit = self.rest[0][j] == keys
-            out[hit] = self.rest[1][j[hit]]
+            out[at[hit]] = self.rest[1][j[hit]]
         return out
 
     def skipped(self, unit: np.ndarray, start: np.ndarray, middle: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -149,100 +166,106 @@ class Coder:
         return (mixed(mixed(key) ^ unit) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < self.dropout
 
     def unit_key(self, units: Sequence[str], variant: np.ndarray) -> np.ndarray:
-        import zlib
-
         raw = [u.encode("utf-8", "surrogatepass") for u in units]
         low = np.fromiter(map(zlib.crc32, raw), dtype=np.uint64, count=len(raw))
         high = np.fromiter(map(zlib.adler32, raw), dtype=np.uint64, count=len(raw))
-        return mixed(mixed((high << np.uint64(32)) | low) ^ mixed(variant.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(self.seed)))
+        return self._keyed(low, high, variant)
+
+    def _keyed(self, crc: np.ndarray, adler: np.ndarray, variant: np.ndarray) -> np.ndarray:
+        return mixed(mixed((adler << np.uint64(32)) | crc) ^ mixed(variant.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(self.seed)))
 
-    def encode_units(self, units: Sequence[str], variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode_units(self, units: Sequence[str] | pa.Array, variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each unit, the ids end to end); a blank before each unit is implied."""
-        units = [" " + u for u in units]
-        key = self.unit_key(units, variant)
-        size = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
-        odd = np.fromiter(("\0" in u for u in units), dtype=bool, count=len(units)) | (size > WIDE)
-        out_n = np.zeros(len(units), dtype=np.int64)
+        if not isinstance(units, pa.Array):
+            units = pa.array(units, pa.large_string())
+        units = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), units, pa.scalar("", pa.large_string()))
+        ends, data = flat(units)
+        key = self._keyed(*checksums(ends, data), variant)
+        code = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
+        chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[ends]
+        first, size = chars[:-1], np.diff(chars)
+        symbol = self.of_char[code]
         found: list[tuple[np.ndarray, np.ndarray]] = []  # (unit of each id, id), ids of a unit in order
         low = 0
         for high in CLASSES:
-            own = np.flatnonzero((size > low) & (size <= high) & ~odd)
+            own = np.flatnonzero((size > low) & (size <= high))
             low = high
-            for i in range(0, len(own), 100_000):
-                part = own[i : i + 100_000]
-                chars = np.array([units[j] for j in part], dtype=f"U{high}").view(np.uint32).reshape(len(part), high)
-                found.append(self._merge(chars, size[part], key[part], part))
-        for j in np.flatnonzero(odd):
-            ids = np.array(self.agenda(units[j], key[j]), dtype=np.int64)
+            for i in range(0, len(own), TOGETHER):
+                part = own[i : i + TOGETHER]
+                found.append(self._merge(high, code, symbol, first[part], size[part], key[part], part))
+        for j in np.flatnonzero(size > WIDE):
+            ids = np.array(self.agenda(units[int(j)].as_py(), key[j]), dtype=np.int64)
             found.append((np.full(len(ids), j), ids))
         if not found:
-            return out_n, np.zeros(0, dtype=np.int64)
+            return np.zeros(len(units), dtype=np.int64), np.zeros(0, dtype=np.int64)
         owner, ids = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         order = np.argsort(owner, kind="stable")
         return np.bincount(owner, minlength=len(units)), ids[order]
 
-    def _merge(self, chars: np.ndarray, size: np.ndarray, key: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All merges of units in rows of code points: in each step every row makes its best one."""
-        n, width = chars.shape
-        sym = np.full((n, width + 1), -1, dtype=np.int32)
-        sym[:, :width] = np.where(chars > 0, self.of_char[chars], -1)
-        start = np.broadcast_to(np.arange(width + 1, dtype=np.int16), (n, width + 1)).copy()
-        start = np.minimum(start, size[:, None].astype(np.int16))
-        made = self._candidates(sym[:, :-1], sym[:, 1:], key[:, None], start[:, :-1], start[:, 1:], self._next(start, size))
-        rank = self._rank(made)
-        alive = np.arange(n)
-        cols = np.arange(width)
-        while len(alive):
-            r = rank[alive]
-            best = r.argmin(axis=1)
-            go = r[np.arange(len(alive)), best] < NEVER
-            alive, best = alive[go], best[go]
-            if not len(alive):
+    def _merge(self, width: int, code: np.ndarray, symbol: np.ndarray, first: np.ndarray, size: np.ndarray, key: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All merges of units of up to width characters: in each step every unit makes its best one.
+
+        A symbol is known by the place of its first character, and has links to those beside it; a unit is a column.
+        Ranks are priority and place in one number, the lowest of a column being its next merge.
+        """
+        m = len(size)
+        place = np.arange(width + 1)[:, None]
+        alive = place < size
+        sym = np.where(alive, symbol[np.minimum(first + place, len(symbol) - 1)], self.unknown)
+        stop = np.broadcast_to(place + 1, alive.shape).copy()
+        before = stop - 2
+        rank = np.full((width, m), NEVER, dtype=np.int32)
+        i, j = np.nonzero(alive[1:])
+        rank[i, j] = self._ranks(sym[i, j], sym[i + 1, j], key[j], i, i + 1, i + 2)
+        for x in (alive, sym, stop, before):
+            x.shape = -1
+        live = np.arange(m)
+        while True:
+            best = rank.min(axis=0)
+            col = np.flatnonzero(best < NEVER)
+            if not len(col):
                 break
-            sym[alive, best] = made[alive, best]
-            # close the gap to the right of the merge
-            src = np.minimum(cols[None, :] + (cols[None, :] > best[:, None]), width)
-            for m in (sym, start):
-                rows = m[alive]
-                m[alive, :width] = np.take_along_axis(rows, src, axis=1)
-            made[alive] = np.take_along_axis(np.pad(made[alive], ((0, 0), (0, 1)), constant_values=-1), src, axis=1)
-            rank[alive] = np.take_along_axis(np.pad(rank[alive], ((0, 0), (0, 1)), constant_values=NEVER), src, axis=1)
-            for c, ok in ((best - 1, best > 0), (best, np.ones(len(best), dtype=bool))):
-                a, c = alive[ok], c[ok]
-                after = np.minimum(c + 2, width)
-                got = self._candidates(sym[a, c], sym[a, c + 1], key[a], start[a, c], start[a, c + 1], np.where(sym[a, c + 1] >= 0, start[a, after], 0))
-                made[a, c] = got
-                rank[a, c] = self._rank(got)
-        held = sym[:, :width] >= 0
-        ids, owner, at = sym[:, :width][held].astype(np.int64), np.repeat(unit, held.sum(axis=1)), start[:, :width][held]
-        row = np.repeat(np.arange(n), held.sum(axis=1))
+            best = best[col]
+            if len(col) < 0.8 * len(live):
+                rank, live, col = rank[:, col], live[col], np.arange(len(col))
+            row = live[col]
+            at, piece = (best & 63).astype(np.int64), self.of_order[best >> 6]
+            here = at * m + row
+            middle = stop[here]
+            gone = middle * m + row
+            end = stop[gone]
+            after = end * m + row
+            sym[here], stop[here], alive[gone], before[after] = piece, end, False, at
+            rank[middle, col] = NEVER
+            left = before[here]
+            ok = np.flatnonzero(left >= 0)
+            left = left[ok]
+            a, b = np.concatenate([piece, sym[left * m + row[ok]]]), np.concatenate([sym[after], piece[ok]])
+            start, owner = np.concatenate([at, left]), np.concatenate([col, col[ok]])
+            k, half = key[live[owner]], np.concatenate([end, at[ok]])
+            rank[start, owner] = self._ranks(a, b, k, start, half, np.concatenate([stop[after], end[ok]]))
+        row, at = np.nonzero(np.ascontiguousarray(alive.reshape(width + 1, m).T))
+        ids, owner = sym[at * m + row].astype(np.int64), unit[row]
         bare = ids >= len(self.v.pieces)
         if bare.any():
-            code = chars[row[bare], at[bare]]
+            char = code[first[row[bare]] + at[bare]]
             times = np.ones(len(ids), dtype=np.int64)
-            times[bare] = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
-            raw = np.frombuffer("".join(map(chr, code)).encode("utf-8", "surrogatepass"), dtype=np.uint8)
+            times[bare] = 1 + (char > 0x7F) + (char > 0x7FF) + (char > 0xFFFF)
+            raw = np.frombuffer("".join(map(chr, char)).encode(), dtype=np.uint8)
             owner, wide = np.repeat(owner, times), np.repeat(bare, times)
             ids = np.repeat(ids, times)
             ids[wide] = raw.astype(np.int64) + self.v.byte0
         return owner, ids
 
-    def _next(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Where the second half of each pair ends."""
-        return np.minimum(start[:, 1:] + 1, size[:, None].astype(np.int16))
-
-    def _rank(self, made: np.ndarray) -> np.ndarray:
-        return np.where(made >= 0, self.v.order[np.maximum(made, 0)], NEVER)
-
-    def _candidates(self, a: np.ndarray, b: np.ndarray, key: np.ndarray, start: np.ndarray, middle: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        made = np.full(a.shape, -1, dtype=np.int32)
-        real = (a >= 0) & (b >= 0)
-        made[real] = self.merge_of(a[real], b[real])
+    def _ranks(self, a: np.ndarray, b: np.ndarray, key: np.ndarray, start: np.ndarray, middle: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Priority and place of candidate merges, NEVER where there is none or it is skipped."""
+        order = self.order_of(a, b)
+        out = np.full(len(order), NEVER, dtype=np.int32)
+        real = np.flatnonzero(order >= 0)
         if self.dropout > 0:
-            real = made >= 0
-            gone = self.skipped(np.broadcast_to(key, a.shape)[real], start[real], middle[real], stop[real])
-            made[real] = np.where(gone, -1, made[real])
-        return made
+            real = real[~self.skipped(key[real], start[real], middle[real], stop[real])]
+        out[real] = (order[real] << 6) | start[real]
+        return out
 
     def agenda(self, unit: str, key: np.uint64) -> list[int]:
         """The same merges for one unit of any length, over a heap of candidates."""
@@ -289,7 +312,7 @@ class Coder:
         counts = np.diff(parts.offsets.to_numpy())
         coded = parts.flatten().dictionary_encode()
         unit = coded.indices.to_numpy().astype(np.int64)
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary
         doc = np.repeat(np.arange(len(counts)), counts)
         keep = ~empty[doc]
         doc, unit = doc[keep], unit[keep]
@@ -299,45 +322,47 @@ class Coder:
         held[code] = True
         pair = np.flatnonzero(held)
         back = (np.cumsum(held) - 1)[code]
-        at = self._stored(words, pair // most, pair % most)[back]
-        n, start = self.store_n[: self.stored][at], self.store_start[: self.stored][at]
-        total = np.bincount(doc, n, minlength=len(counts)).astype(np.int64)
-        return total, self.store_ids[ragged(start, n)]
-
-    def _stored(self, words: list[str], word: np.ndarray, variant: np.ndarray) -> np.ndarray:
-        """Places in the store of units under their variants; the store keeps what earlier batches had, to a bound."""
-        if self.stored > self.most:
-            self.clear()
-        keys = [words[i] + chr(v) for i, v in zip(word.tolist(), variant.tolist(), strict=True)]
-        known = self.known
-        new = [i for i, k in enumerate(keys) if k not in known]
-        if new:
-            n, ids = self.encode_units([words[word[i]] for i in new], variant[new])
-            known.update(zip((keys[i] for i in new), range(self.stored, self.stored + len(new)), strict=True))
-            base = len(self.store_ids)
-            self.store_n = np.concatenate([self.store_n[: self.stored], n])
-            self.store_start = np.concatenate([self.store_start[: self.stored], base + np.cumsum(n) - n])
-            self.store_ids = np.concatenate([self.store_ids, ids.astype(np.int32)])
-            self.stored += len(new)
-        return np.fromiter((known[k] for k in keys), dtype=np.int64, count=len(keys))
+        ends, raw = flat(self._stored(words.take(pa.array(pair // most)), pair % most).take(pa.array(back)))
+        total = np.bincount(doc, np.diff(ends) // 4, minlength=len(counts)).astype(np.int64)
+        return total, raw.view("<u4")
+
+    def _stored(self, words: pa.Array, variant: np.ndarray) -> pa.Array:
+        """Packed ids of units under their variants; the store keeps what earlier batches had, to a bound."""
+        tags = pa.array([f" {v}" for v in range(int(variant.max(initial=0)) + 1)], pa.large_string())
+        keys = pc.binary_join_element_wise(words, tags.take(pa.array(variant)), pa.scalar("", pa.large_string()))
+        found = pc.index_in(keys, value_set=self.known)
+        new = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+        at = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+        known, packed = self.known, self.packed
+        if len(new):
+            at[new] = len(known) + np.arange(len(new))
+            take = pa.array(new)
+            known = pa.concat_arrays([known, keys.take(take)])
+            packed = pa.concat_arrays([packed, self._packed(*self.encode_units(words.take(take), variant[new]))])
+        if len(known) > self.most:
+            again = np.unique(at[at < len(self.known)])
+            stay = pa.array(np.concatenate([again, at[new][: max(0, self.most // 2 - len(again))]]))
+            self.known, self.packed = known.take(stay), packed.take(stay)
+        else:
+            self.known, self.packed = known, packed
+        return packed.take(pa.array(at))
+
+    @staticmethod
+    def _packed(n: np.ndarray, ids: np.ndarray) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(n) * 4]).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))])
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.stored = 0
-        self.store_n = self.store_start = np.zeros(0, dtype=np.int64)
-        self.store_ids = np.zeros(0, dtype=np.int32)
+        self.known, self.packed = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
 
     def decode(self, counts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of each text, bytes end to end), without the implied first blank."""
-        size = self.size[ids]
-        data = self.blob[ragged(self.start[ids], size)]
+        sums, data = flat(self.parts.take(pa.array(ids)))
         ends = np.cumsum(counts)
-        sums = np.concatenate([[0], np.cumsum(size)])
         length = sums[ends] - sums[ends - counts]
         drop = (np.cumsum(length) - length)[length > 0]
         return np.maximum(length - 1, 0), np.delete(data, drop)
 
-
     def unpacked(self, packed: Sequence[bytes | None]) -> list[bytes]:
         """The texts' bytes of packed ids."""
         rows = [np.frombuffer(x or b"", dtype="<u4") for x in packed]
@@ -346,6 +371,42 @@ class Coder:
         return [raw[e - k : e] for e, k in zip(np.cumsum(n).tolist(), n.tolist(), strict=True)]
 
 
+def slot(keys: np.ndarray, factor: int, bits: int) -> np.ndarray:
+    return ((keys * np.uint64(factor)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(where the values end, from 0 on, all their bytes) of a large string or binary array without nulls."""
+    if not len(array):
+        return np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint8)
+    _, ends, data = array.buffers()
+    ends = np.frombuffer(ends, dtype=np.int64)[array.offset : array.offset + len(array) + 1]
+    data = np.frombuffer(data or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+    return ends - ends[0], data
+
+
+def checksums(ends: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """CRC-32 and Adler-32 of each value: a byte of all values at a time, one by one where they are long."""
+    size = np.diff(ends)
+    order = np.argsort(-np.minimum(size, WIDE + 1), kind="stable")
+    long, size = order[: np.count_nonzero(size > WIDE)], size[order]
+    order, size, start = order[len(long) :], size[len(long) :], ends[order[len(long) :]]
+    crc = np.full(len(order), 0xFFFFFFFF, dtype=np.uint32)
+    low, high = np.ones(len(order), dtype=np.uint32), np.zeros(len(order), dtype=np.uint32)
+    for k in range(int(size.max(initial=0))):
+        n = np.searchsorted(-size, -k)
+        byte = data[start[:n] + k]
+        crc[:n] = CRC[(crc[:n] ^ byte) & 0xFF] ^ (crc[:n] >> 8)
+        low[:n] += byte
+        high[:n] += low[:n]
+    out = np.zeros((2, len(ends) - 1), dtype=np.uint64)
+    out[0, order], out[1, order] = ~crc, (high % 65521) << 16 | low % 65521
+    for j in long:
+        raw = data[ends[j] : ends[j + 1]].tobytes()
+        out[:, j] = zlib.crc32(raw), zlib.adler32(raw)
+    return out[0], out[1]
+
+
 def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0] .. start[0]+size[0]-1, start[1] .. and so on."""
     out = np.repeat(start - (np.cumsum(size) - size), size)

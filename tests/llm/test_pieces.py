@@ -85,3 +85,27 @@ def test_long_texts_repeated_rows_null_ids_and_clashing_columns(spark, vocabular
     assert sorted((r["doc_id"] or 0, r["n_bytes"]) for r in got) == [(0, 3), (1, len(long)), (1, len(long)), (2, 80_000)]
     assert len({bytes(r["ids"]) for r in got if r["doc_id"] == 1}) == 1
 
+
+
+def test_units_that_recur_are_merged_once_though_the_store_is_full(vocabulary, monkeypatch):
+    merged = []
+    inner = pieces.Coder.encode_units
+    monkeypatch.setattr(pieces.Coder, "encode_units", lambda self, units, variant: merged.append(len(units)) or inner(self, units, variant))
+    c = pieces.Coder(vocabulary, 0.1, 1, most=70)
+    for batch in range(6):
+        words = [f"common{k}" for k in range(30)] + [f"rare{batch}x{k}" for k in range(30)]
+        n, ids = c.encode(pa.array([" ".join(words)]), np.zeros(1, dtype=np.int64))
+        assert c.unpacked([ids.astype("<u4").tobytes()]) == [" ".join(words).encode()]
+    assert merged == [60] + [30] * 5
+
+
+def test_units_of_all_lengths_equal_agenda(vocabulary):
+    rng = np.random.default_rng(2)
+    letters = np.array(list("aeinrst\0.éß日😀"))
+    units = ["".join(rng.choice(letters, n)) for n in [*range(80)] * 4] + [w * k for w in ("er", "é", "日", "😀", "the") for k in (5, 15, 16, 17, 31, 63, 64, 90)]
+    variant = np.arange(len(units)) % 4
+    for dropout in (0.0, 0.1, 0.6, 1.0):
+        c = pieces.Coder(vocabulary, dropout, 9)
+        key = c.unit_key([" " + u for u in units], variant)
+        for u, k, ids in zip(units, key, cut(*c.encode_units(units, variant)), strict=True):
+            assert ids == c.agenda(" " + u, k), u
